@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import line_dedup, mixing, quality_rules, sharding
+from tidewater.llm import line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding
 from tidewater.sources.tables import table
 
 
@@ -22,17 +22,35 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken.join(sources, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def vocabulary() -> tuple[str, str]:
+    """The byte-level BPE vocabulary of 50,257 ids, as ranks, and its pattern.
+
+    Its ids are those of byte_bpe_50k.json (compared in tests/llm); ranks are read by a library that is faster here.
+    """
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), *vocabulary(), with_ids=False)
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
 
+def op8_superminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"), k=2)
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.drop_common_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op7_sharding, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op5_packing, op7_sharding, op8_superminhash, op9_line_dedup)}
 
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
