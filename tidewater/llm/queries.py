@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding
+from tidewater.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, toxicity
 from tidewater.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken.join(sources, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op4_itq_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
 def vocabulary() -> tuple[str, str]:
     """The byte-level BPE vocabulary of 50,257 ids, as ranks, and its pattern.
 
@@ -36,6 +40,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), *vocabulary(), with_ids=False)
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    out = toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "plain", "misspelled", "quoted")
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(table(spark, folder, "documents"))
 
@@ -49,8 +58,12 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op5_packing, op7_sharding, op8_superminhash, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_itq_embeddings, op5_packing, op6_toxicity, op7_sharding, op8_superminhash, op9_line_dedup, op10_language_id)}
 
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
