@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, toxicity
+from tidewater.llm import embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, toxicity
 from tidewater.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken.join(sources, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, folder, "documents"))
+
+
 def op4_itq_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(table(spark, folder, "embeddings"))
 
@@ -63,7 +67,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_itq_embeddings, op5_packing, op6_toxicity, op7_sharding, op8_superminhash, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_license_scan, op4_itq_embeddings, op5_packing, op6_toxicity, op7_sharding, op8_superminhash, op9_line_dedup, op10_language_id)}
 
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
