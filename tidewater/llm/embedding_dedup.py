@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.arrow_groups import forest, whole_groups
 from tidewater.llm.components import connected_components
 from tidewater.sources.work import materialize
 
@@ -66,22 +67,6 @@ def keys_of(codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     return np.stack([codes[:, t] @ (1 << np.arange(len(t), dtype=np.int64)) for t in tables], axis=1)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the edges (a, b) over n nodes."""
-    parent = list(range(n))
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        i, j = x, y
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        while parent[j] != j:
-            parent[j] = j = parent[parent[j]]
-        if i != j:
-            parent[i] = j
-            out.append((x, y))
-    return out
-
-
 def _compare(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, keys: np.ndarray, block: np.ndarray, table: int, blocks: tuple[int, int], threshold: float) -> tuple[list, list, list]:
     """(node, linked weight, other end or None) rows of one pair of blocks of one bucket."""
     left, right = np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[1])
@@ -94,8 +79,8 @@ def _compare(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, keys: np.ndarra
     a, b = left[i], right[j]
     total = np.bincount(a, weights=weight[b], minlength=len(ids)) + np.bincount(b, weights=weight[a], minlength=len(ids))
     some = np.flatnonzero(total)
-    edges = _forest(a, b, len(ids))
-    return ([*ids[some].tolist(), *(int(ids[p]) for p, _ in edges)], [*total[some].astype(int).tolist(), *[0] * len(edges)], [*[None] * len(some), *(int(ids[q]) for _, q in edges)])
+    edges = forest(a, b, len(ids))
+    return ([*ids[some].tolist(), *ids[a[edges]].tolist()], [*total[some].astype(int).tolist(), *[0] * len(edges)], [*[None] * len(some), *ids[b[edges]].tolist()])
 
 
 def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -142,37 +127,17 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     full = full.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            mark = np.stack([np.asarray(group.column(c).combine_chunks()) for c in ("bucket", "b1", "b2")], axis=1)
-            edge = np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1
-            node, weight = (np.asarray(group.column(c).combine_chunks()) for c in ("node", "weight"))
-            block, t = (np.asarray(group.column(c).combine_chunks()) for c in ("block", "t"))
+        for group, bounds in whole_groups(batches, ["bucket", "b1", "b2"]):
+            node, weight, block, t, b1, b2 = (np.asarray(group.column(c).combine_chunks()) for c in ("node", "weight", "block", "t", "b1", "b2"))
             keys = np.asarray(group.column("keys").combine_chunks().flatten()).reshape(len(node), -1)
             x = unit_rows(group.column("v").combine_chunks())
             rows: tuple[list, list, list] = ([], [], [])
-            for lo, hi in zip([0, *edge], [*edge, len(node)], strict=True):
-                if hi - lo < 2:
-                    continue
+            for lo, hi in bounds:
                 s = slice(lo, hi)
-                for column, more in zip(rows, _compare(node[s], weight[s], x[s], keys[s], block[s], int(t[lo]), (int(mark[lo, 1]), int(mark[lo, 2])), threshold), strict=True):
+                for column, more in zip(rows, _compare(node[s], weight[s], x[s], keys[s], block[s], int(t[lo]), (int(b1[lo]), int(b2[lo])), threshold), strict=True):
                     column.extend(more)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["node", "linked", "other"])
 
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = now if held is None else pa.concat_tables([held, now])
-            # The last group may go on in the next batch.
-            mark = [np.asarray(now.column(c).combine_chunks()) for c in ("bucket", "b1", "b2")]
-            last = np.flatnonzero(np.any([m[1:] != m[:-1] for m in mark], axis=0))
-            cut = last[-1] + 1 if len(last) else 0
-            held = now.slice(cut)
-            if cut:
-                yield from run(now.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield from run(held)
-
     found = materialize(full.mapInArrow(link, "node long, linked long, other long"), "vector_links")
     counts = found.filter("other is null").groupBy("node").agg(F.sum("linked").alias("linked"))
     groups = connected_components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -6,12 +6,15 @@ from step to step; a document stops as soon as every slot is filled, since later
 Signatures are cut into bands. Documents with the same set are one class, represented by their smallest id. Classes
 that share a band are candidates:
 
-1. in each bucket (band and its hash) every member is paired with the bucket's smallest and largest member;
+1. in each bucket (band and its hash) every member is paired with the bucket's most popular member, the one whose
+   buckets are largest together (an original shares more bands with its copies than these do among each other);
 2. pairs are confirmed on the full sets; confirmed pairs are joined to components by union-find (star contraction);
-3. in buckets that still hold more than one component, members of different components are paired and confirmed.
+3. in buckets that still hold more than one component, tasks compare members of different components. A bucket is cut
+   into blocks and a task holds two of them, with 32-bit hashes of the sets; it gives back no more pairs than it takes
+   to join the components it found linked, and these pairs are confirmed on the full sets.
 
-After that every candidate pair has been confirmed, has been refuted, or lies in one component, so no link that the
-bands find is lost, while a bucket of thousands of alike documents costs a number of pairs in proportion to its size.
+After that every candidate pair has been compared or lies in one component, so no link that the bands find is lost,
+while the number of pairs that are written is in proportion to the documents, whatever the size of a bucket.
 With the default 25 bands of 5 a pair at the threshold of 0.8 is a candidate with probability 0.99995.
 
 Defined cases: a document with fewer than k words has one shingle, the whole sequence; one without words or text has
@@ -25,15 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.arrow_groups import forest, whole_groups
 from tidewater.llm.components import connected_components
 from tidewater.llm.textkernel import Chunk, chunks, mix, window_hashes
 from tidewater.sources.work import materialize
 
 SHINGLE_WORDS, PERCENT = 5, 80
 BANDS, BAND_ROWS = 25, 5
+#: Classes in a block of a bucket, and columns of the incidence matrix of two blocks held at once.
+BLOCK, TERMS_AT_ONCE = 512, 4096
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -131,17 +138,56 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
     return sets.select(_class_key().alias("class_key"), "elements")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b: class keys) whose full sets are alike enough."""
-    wanted = materialize(pairs.select(F.col("a").alias("class_key")).union(pairs.select("b")).distinct(), "candidate_classes")
-    ids = materialize(classes.join(wanted, "class_key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "candidate_ids")
-    sets = _full_sets(docs.join(ids, "doc_id", "left_semi"), k)  # the smallest id of each class stands for its texts
-    sets = materialize(sets.dropDuplicates(["class_key"]), "candidate_sets")
     one, two = (sets.select(F.col("class_key").alias(c), F.col("elements").alias(f"e_{c}")) for c in ("a", "b"))
     met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("e_a", "e_b")))
     return materialize(met.filter(100 * F.col("both") >= percent * (F.size("e_a") + F.size("e_b") - F.col("both"))).select("a", "b"), "links")
 
 
+def _alike(flat: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of left, j of right) of sets that are alike enough; sets lie back to back in flat."""
+    n = len(sizes)
+    terms, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    shared = np.full((len(left), len(right)), np.count_nonzero(times == n), np.float32)
+    wanted = (times > 1) & (times < n)
+    number = np.cumsum(wanted) - 1
+    keep = wanted[which]
+    owner, term = owner[keep], number[which[keep]]
+    order = np.argsort(term, kind="stable")
+    owner, term = owner[order], term[order]
+    for lo in range(0, int(wanted.sum()), TERMS_AT_ONCE):
+        a, b = np.searchsorted(term, [lo, lo + TERMS_AT_ONCE])
+        held = np.zeros((n, TERMS_AT_ONCE), np.float32)
+        held[owner[a:b], term[a:b] - lo] = 1
+        shared += held[left] @ held[right].T
+    total = sizes[left][:, None] + sizes[right][None, :]
+    return np.nonzero(100 * shared >= percent * (total - shared))
+
+
+def _links_within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) pairs that join the components of a block pair's members; rows: bucket, b1, b2, block, c, comp, marks."""
+    for group, bounds in whole_groups(batches, ["bucket", "b1", "b2"]):
+        b1, b2, block, c, comp = (np.asarray(group.column(x).combine_chunks()) for x in ("b1", "b2", "block", "c", "comp"))
+        marks = group.column("marks").combine_chunks()
+        flat, ends = np.asarray(marks.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(marks)))])
+        rows: tuple[list, list] = ([], [])
+        for lo, hi in bounds:
+            _, place = np.unique(comp[lo:hi], return_inverse=True)
+            if place.max() == 0:
+                continue
+            left, right = np.flatnonzero(block[lo:hi] == b1[lo]), np.flatnonzero(block[lo:hi] == b2[lo])
+            i, j = _alike(flat[ends[lo] : ends[hi]], np.diff(ends[lo : hi + 1]), left, right, percent)
+            i, j = left[i], right[j]
+            apart = place[i] != place[j]
+            i, j = i[apart], j[apart]
+            picked = forest(place[i], place[j], hi - lo)
+            rows[0].extend(c[lo:hi][i[picked]].tolist())
+            rows[1].extend(c[lo:hi][j[picked]].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT,
                     bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id, kept (it has its component's smallest id)."""
@@ -152,25 +198,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialize(classes.withColumn("class_key", _class_key()), "classes")
     entries = classes.select("class_key", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("pos", "key"))
     entries = entries.select(F.col("class_key").alias("c"), "n", F.xxhash64("pos", "key").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("low"), F.max(F.struct("c", "n")).alias("high")).filter("low.c < high.c")
-    members = materialize(entries.join(shared, "bucket"), "buckets")
-    alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")  # sets of too different sizes can't reach the threshold
-    ends = members.select("c", "n", F.explode(F.array("low", "high")).alias("o")).select("c", "n", F.col("o.c").alias("o"), F.col("o.n").alias("m"))
-    stars = ends.filter((F.col("o") != F.col("c")) & alike).select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
-    stars = materialize(stars, "star_pairs")
-    links = _confirmed(stars, plain, classes, k, percent)
+    crowds = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = materialize(entries.join(crowds, "bucket"), "buckets")
+    # The full sets of all classes that share a bucket; the smallest id of each class stands for its texts.
+    popular = materialize(members.groupBy("c").agg(F.sum("size").alias("popularity")), "popularity")
+    ids = materialize(classes.join(popular, F.col("class_key") == F.col("c"), "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "candidate_ids")
+    sets = materialize(_full_sets(plain.join(ids, "doc_id", "left_semi"), k).dropDuplicates(["class_key"]), "candidate_sets")
+    pivots = members.join(popular, "c").groupBy("bucket").agg(F.max(F.struct("popularity", "c", "n")).alias("p"))
+    pairs = members.join(pivots, "bucket").select("c", "n", F.col("p.c").alias("o"), F.col("p.n").alias("m"))
+    # Sets of too different sizes can't reach the threshold.
+    pairs = pairs.filter((F.col("o") != F.col("c")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    links = _confirmed(pairs.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct(), sets, percent)
     found = materialize(connected_components(links), "components")
-    # Buckets in which more than one component is left: pair the members of different components.
-    placed = members.select("bucket", "c", "n").join(found, F.col("c") == F.col("node"), "left").select("bucket", "c", "n", F.coalesce("component", "c").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("bucket")
-    placed = materialize(placed.join(mixed, "bucket", "left_semi"), "open_buckets")
-    other = placed.select(F.col("bucket").alias("ob"), F.col("c").alias("o"), F.col("n").alias("m"), F.col("comp").alias("ocomp"))
-    cross = placed.join(other, (F.col("bucket") == F.col("ob")) & (F.col("comp") < F.col("ocomp")) & alike)
-    cross = cross.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
-    cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "cross_pairs")
-    if cross.head(1):
-        links = links.unionByName(_confirmed(cross, plain, classes, k, percent))
-        found = materialize(connected_components(links), "components")
+    placed = members.select("bucket", "c").join(found, F.col("c") == F.col("node"), "left").select("bucket", "c", F.coalesce("component", "c").alias("comp"))
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size")).filter("c1 < c2")
+    blocks = placed.join(open_.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("pieces")), "bucket").withColumn("block", F.pmod(F.hash("c"), F.col("pieces")))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    blocks = blocks.select("bucket", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "c", "comp")
+    marks = sets.select(F.col("class_key").alias("c"), F.transform("elements", lambda x: F.shiftright(x, 32).cast("int")).alias("marks"))
+    dealt = blocks.join(marks, "c").select("bucket", "b1", "b2", "block", "c", "comp", "marks")
+    dealt = dealt.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
+    more = dealt.mapInArrow(lambda batches: _links_within(batches, percent), "a long, b long").distinct()
+    more = _confirmed(materialize(more, "block_links"), sets, percent)
+    found = materialize(connected_components(links.unionByName(more)), "components")
     placed = classes.select("class_key", "rep").join(found, F.col("class_key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "class_key"))
     least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_class = materialize(placed.join(least, "comp").select("class_key", F.col("component_id").alias("__comp")), "class_components")
