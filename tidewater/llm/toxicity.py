@@ -28,7 +28,9 @@ from tidewater.llm.held_out import held_out
 from tidewater.llm.textkernel import Chunk, chunks
 
 SAMPLE = 20_000
-MAX_ENTRIES, LEAST_TOXIC_DOCS, LEAST_RATIO, LEAST_PRECISION = 500, 4, 15.0, 0.6
+MAX_ENTRIES, LEAST_RATIO, LEAST_PRECISION = 500, 15.0, 0.6
+#: An entry is found in so many toxic documents at least, and in this share of them.
+LEAST_TOXIC_DOCS, LEAST_TOXIC_SHARE = 4, 0.005
 PREFIX_LENGTHS, FUZZY_LENGTH, EDITS = (4, 5, 6, 7), 5, 1
 #: A beginning is no entry where one word makes up this share of its documents.
 ONE_WORD = 0.8
@@ -42,21 +44,29 @@ FEATURES = ("plain", "misspelled", "quoted", "weight", "best", "density")
 
 
 class Lexicon:
-    """A trie of entries: words, and beginnings of words, with weights."""
+    """A trie of entries (words, and beginnings of words, with weights), and two tries for misspellings.
+
+    One edit leaves the left or the right half of an entry as it is. A word that runs exactly to the end of an entry's
+    left half in the trie of entries, or to the end of its right half in the trie of reversed entries, is handed to the
+    automaton there, which goes on through the part of the trie below.
+    """
 
     def __init__(self, entries: list[tuple[str, bool, float]]):
         self.entries = entries  # (text, is a beginning, weight)
-        self.root: dict = {}
-        self.sides: set[str] = set()
+        self.root, self.ahead, self.back = {}, {}, {}
         for number, (text, beginning, _) in enumerate(entries):
-            node = self.root
-            for c in text:
-                node = node.setdefault(c, {})
-            node["beginning" if beginning else "word"] = number
+            self._insert(self.root, text, 0)["beginning" if beginning else "word"] = number
             if not beginning and len(text) >= FUZZY_LENGTH:
-                # One edit leaves the left or the right half of the entry as it is.
-                self.sides |= {f"{text[: len(text) // 2]}*", f"*{text[len(text) // 2 :]}"}
-        self.side_lengths = sorted({(len(s) - 1, s[0] == "*") for s in self.sides})
+                self._insert(self.ahead, text, len(text) // 2)["word"] = number
+                self._insert(self.back, text[::-1], len(text) - len(text) // 2)["word"] = number
+
+    @staticmethod
+    def _insert(node: dict, text: str, half: int) -> dict:
+        for depth, c in enumerate(text, 1):
+            node = node.setdefault(c, {})
+            if depth == half:
+                node["half"] = True
+        return node
 
     def exact(self, word: str) -> int | None:
         """The entry that is the word, or else the longest beginning of it."""
@@ -70,44 +80,51 @@ class Lexicon:
 
     def fuzzy(self, word: str) -> int | None:
         """An entry within EDITS edits of the word; the one of the greatest weight."""
-        if not any((f"*{word[-n:]}" if right else f"{word[:n]}*") in self.sides for n, right in self.side_lengths):
-            return None
         found: list[int] = []
-
-        def close(states: dict[int, int]) -> dict[int, int]:
-            # Leaving out a letter of the word is an edit; fewest edits at each place of the word.
-            for place in range(len(word)):
-                if place in states and states[place] < EDITS and states[place] + 1 < states.get(place + 1, EDITS + 1):
-                    states[place + 1] = states[place] + 1
-            return states
-
-        def walk(node: dict, states: dict[int, int], depth: int) -> None:
-            if "word" in node and depth >= FUZZY_LENGTH and states.get(len(word), EDITS + 1) <= EDITS:
-                found.append(node["word"])
-            for c, child in node.items():
-                if len(c) > 1:
-                    continue
-                after: dict[int, int] = {}
-                for place, edits in states.items():
-                    for there, cost in ((place + 1, edits + (place >= len(word) or word[place] != c)), (place, edits + 1)):
-                        if there <= len(word) and cost <= EDITS and cost < after.get(there, EDITS + 1):
-                            after[there] = cost
-                if after:
-                    walk(child, close(after), depth + 1)
-
-        walk(self.root, close({0: 0}), 0)
+        for node, letters in ((self.ahead, word), (self.back, word[::-1])):
+            for place, c in enumerate(letters, 1):
+                node = node.get(c)
+                if node is None:
+                    break
+                if "half" in node:
+                    self._automaton(node, _closed({place: 0}, len(letters)), letters, found)
         return max(found, key=lambda i: (self.entries[i][2], -i), default=None)
 
+    def _automaton(self, node: dict, states: dict[int, int], word: str, found: list[int]) -> None:
+        """Run from a trie node on; states: fewest edits for each place of the word that may be reached."""
+        if "word" in node and states.get(len(word), EDITS + 1) <= EDITS:
+            found.append(node["word"])
+        for c, child in node.items():
+            if len(c) > 1:
+                continue
+            after: dict[int, int] = {}
+            for place, edits in states.items():
+                for there, cost in ((place + 1, edits + (place >= len(word) or word[place] != c)), (place, edits + 1)):
+                    if there <= len(word) and cost <= EDITS and cost < after.get(there, EDITS + 1):
+                        after[there] = cost
+            if after:
+                self._automaton(child, _closed(after, len(word)), word, found)
+
+
+def _closed(states: dict[int, int], length: int) -> dict[int, int]:
+    """The states with those that leave out letters of the word, an edit each."""
+    for place in range(min(states), length):
+        if states.get(place, EDITS) < EDITS and states[place] + 1 < states.get(place + 1, EDITS + 1):
+            states[place + 1] = states[place] + 1
+    return states
+
+
+_NOT_ALNUM = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
+
 
 def core(word: str) -> str:
     """The word in lower case without other characters than letters and digits at its ends."""
-    word = word.lower()
-    lo, hi = 0, len(word)
-    while lo < hi and not word[lo].isalnum():
-        lo += 1
-    while lo < hi and not word[hi - 1].isalnum():
-        hi -= 1
-    return word[lo:hi]
+    word = word.lower().strip(_NOT_ALNUM)
+    while word and not word[0].isalnum():
+        word = word[1:]
+    while word and not word[-1].isalnum():
+        word = word[:-1]
+    return word
 
 
 class Matcher:
@@ -187,7 +204,7 @@ def _entries(sample: DataFrame) -> list[tuple[str, bool, float]]:
     counted = sample.mapInArrow(count, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     ratio = 2 * (k * F.log(k / (n * share)) + F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0))
-    good = counted.filter((F.col("k") >= LEAST_TOXIC_DOCS) & (k / n >= max(LEAST_PRECISION, share))).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
+    good = counted.filter((F.col("k") >= max(LEAST_TOXIC_DOCS, math.ceil(LEAST_TOXIC_SHARE * toxic))) & (k / n >= max(LEAST_PRECISION, share))).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
     rows = good.orderBy(F.col("ratio").desc(), F.length("term").desc(), "term").limit(MAX_ENTRIES).collect()
     words = {r["term"][1:]: r["k"] for r in rows if r["term"][0] == "="}
     taken: dict[str, tuple[str, bool, float]] = {}
