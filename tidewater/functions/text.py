@@ -31,17 +31,17 @@ def replace_words(text: Column, table: Mapping[str, str]) -> Column:
 def sentence_ngrams(text: Column, lengths: Sequence[int]) -> Column:
     """Word n-grams of the given lengths that don't cross the end of a sentence (. ? !)."""
 
-    def of(sentence: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(sentence), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    # Words are found in a step of their own: within one step a lambda would find them again for every n-gram.
+    words_of = F.transform(F.split(text, r"[.?!]+"), lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
-        def grams(n: int) -> Column:
-            last = F.size(words) - n + 1
-            starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    def grams(words: Column, n: int) -> Column:
+        if n == 1:
+            return words
+        last = F.size(words) - n + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-        return F.concat(*[grams(n) for n in lengths])
-
-    return F.flatten(F.transform(F.split(text, r"[.?!]+"), of))
+    return F.flatten(F.transform(words_of, lambda words: F.concat(*[grams(words, n) for n in lengths])))
 
 
 def capitalise(text: Column) -> Column:
