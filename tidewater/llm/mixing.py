@@ -15,6 +15,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import defaultdict, deque
 
@@ -31,6 +32,8 @@ MAX_PATTERNS = 20_000
 EXACT_DOCS, STEP_BITS, HASH_BITS = 4096, 12, 60
 #: Passes that look for a document to fill a pattern's remaining gap.
 FILL_PASSES = 4
+#: Exchanges of a taken for an untaken document near the cut, tried while a pattern is further off than this share.
+SWAPS, CLOSE_ENOUGH = 4, 0.0005
 
 
 def word_count(text: Column) -> Column:
@@ -134,13 +137,14 @@ def route(patterns: dict[tuple, int], quotas: dict[object, int], max_repeats: in
 
 
 def _plan_frame(docs: DataFrame, plan: dict[int, dict]) -> DataFrame:
-    schema = "__pid long, __full long, __rest long, __cut long, __picks array<long>"
-    rows = [(pid, p["full"], p["rest"], p["cut"], p["picks"]) for pid, p in plan.items()]
+    schema = "__pid long, __full long, __cut long, __picks array<long>, __drops array<long>"
+    rows = [(pid, p["full"], p["cut"], p["picks"], p["drops"]) for pid, p in plan.items()]
     return F.broadcast(docs.sparkSession.createDataFrame(rows, schema))  # at most max_patterns rows
 
 
 def _choose(items: DataFrame, plan: dict[int, dict], hash_bits: int = HASH_BITS, exact: int = EXACT_DOCS) -> None:
     """Fill in each pattern's cut: documents with a hash up to it are taken once more; picks: single hashes beside."""
+    near: dict[int, list[tuple[int, int]]] = {}  # the documents about the cut
     depth, inside = 0, {pid: (0, 0, None) for pid, p in plan.items() if p["rest"] > 0}  # pid -> prefix, words before it, documents
     spark = items.sparkSession
     while inside and depth < hash_bits and any(n is None or n > exact for _, _, n in inside.values()):
@@ -170,6 +174,7 @@ def _choose(items: DataFrame, plan: dict[int, dict], hash_bits: int = HASH_BITS,
             by_pid[r["__pid"]].append((r["__u"], r["words"]))
         for pid, rows_ in by_pid.items():
             before = inside[pid][1]
+            near[pid] = rows_
             for u, words in sorted(rows_):
                 if before + words > plan[pid]["rest"]:
                     break
@@ -193,8 +198,30 @@ def _choose(items: DataFrame, plan: dict[int, dict], hash_bits: int = HASH_BITS,
     if open_:
         gaps = F.broadcast(spark.createDataFrame(open_, "__pid long, gap long, cut long, picks array<long>"))
         over = items.join(gaps, "__pid").filter((F.col("__u") > F.col("cut")) & (F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")) & ~F.array_contains("picks", F.col("__u")))
-        for r in over.groupBy("__pid").agg(F.min(F.struct("size", "__u")).alias("b")).select("__pid", "b.__u").collect():  # a row per pattern
+        for r in over.groupBy("__pid").agg(F.min(F.struct("size", "__u")).alias("b")).select("__pid", "b.size", "b.__u").collect():  # a row per pattern
             plan[r["__pid"]]["picks"].append(r["__u"])
+            plan[r["__pid"]]["got"] += r["size"]
+    for pid, rows_ in near.items():
+        _swap(plan[pid], rows_)
+
+
+def _swap(p: dict, rows: list[tuple[int, int]]) -> None:
+    """Exchange single documents (hash, words) about the cut while that brings the words taken closer to p["rest"]."""
+    for _ in range(SWAPS):
+        gap = p["rest"] - p["got"]
+        if abs(gap) <= CLOSE_ENOUGH * p["rest"]:
+            return
+        taken = sorted([(0, -1), *((w, u) for u, w in rows if w and u <= p["cut"] and u not in p["drops"])])
+        free = sorted([(0, -1), *((w, u) for u, w in rows if w and u > p["cut"] and u not in p["picks"])])
+        best = (abs(gap), 0, -1, -1)
+        for w, u in taken:
+            at = bisect.bisect_left(free, (w + gap, -1))
+            best = min([best, *((abs(gap + w - x), x - w, u, v) for x, v in free[max(0, at - 1) : at + 1])])
+        if best[0] >= abs(gap):
+            return
+        p["got"] += best[1]
+        p["drops"] += [best[2]] * (best[2] >= 0)
+        p["picks"] += [best[3]] * (best[3] >= 0)
 
 
 def mix(docs: DataFrame, members: str, weights: dict[object, float] | None = None, doc_id: str = "doc_id", text: str = "text",
@@ -229,13 +256,13 @@ def mix(docs: DataFrame, members: str, weights: dict[object, float] | None = Non
         min(t * scale, max_repeats * size_of[s]) for s, t in zip(sources, capped_targets([size_of[s] for s in sources], weight, max_repeats), strict=True)]
     given = route(patterns, {s: round(t) for s, t in zip(sources, target, strict=True)}, max_repeats)
     ids = {p: i for i, p in enumerate(patterns)}
-    plan = {ids[p]: {"full": given[p] // w if w else 0, "rest": given[p] % w if w else 0, "cut": -1, "picks": [], "got": 0} for p, w in patterns.items()}
+    plan = {ids[p]: {"full": given[p] // w if w else 0, "rest": given[p] % w if w else 0, "cut": -1, "picks": [], "drops": [], "got": 0} for p, w in patterns.items()}
     id_schema = T.StructType([T.StructField("__p", T.ArrayType(kind)), T.StructField("__pid", T.LongType())])
     lookup = F.broadcast(spark.createDataFrame([(list(p), i) for p, i in ids.items()], id_schema))  # at most max_patterns rows
     items = materialize(narrow.join(lookup, F.col("__pattern").eqNullSafe(F.col("__p"))).select("__pid", "size", "__u"), "mix_items")
     _choose(items, plan)
     chosen = sized.withColumn("__u", hashed).join(lookup, F.col("__pattern").eqNullSafe(F.col("__p")), "left").join(_plan_frame(docs, plan), "__pid", "left")
-    extra = (F.col("__u") <= F.col("__cut")) | F.array_contains("__picks", F.col("__u"))
+    extra = ((F.col("__u") <= F.col("__cut")) & ~F.array_contains("__drops", F.col("__u"))) | F.array_contains("__picks", F.col("__u"))
     copies = F.when(F.col("size") > 0, F.col("__full") + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(0)
     chosen = chosen.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long"))
     out = chosen.select(*[at[c].alias(c) for c in columns if c not in ("size", "copies", "taken")], "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
