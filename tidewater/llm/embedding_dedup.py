@@ -5,8 +5,10 @@ alternating signs and the orthogonal Procrustes solution) on a bounded sample; t
 binary code. Codes go into several hash tables, each keyed by its own choice of bits. Vectors that share a key in any
 table are compared by their original values in double precision; those with a cosine of at least `threshold` are linked.
 
-The tables follow from the data's size: as many bits as it takes to count the largest label's vectors, and as many
-tables as give a pair at the threshold a chance of RECALL to share one.
+The tables follow from the data: as many bits as it takes to count the largest label's vectors (fewer where that needs
+more than MAX_TABLES tables, down to none, which compares a whole label), and as many tables as it takes until a share
+RECALL of pairs made at the threshold from the sample agrees in one. Members of a bucket are first compared by codes:
+only those within the Hamming distance of such pairs, and SPARE_BITS more, are compared by their values.
 
 Vectors that are equal are one class with a weight. A bucket is cut into blocks, so that a task compares two blocks at a
 time whatever the bucket's size; a pair is counted in the first table it shares. A task returns, per class, the number
@@ -31,11 +33,13 @@ from tidewater.llm.arrow_groups import forest, whole_groups
 from tidewater.llm.components import connected_components
 from tidewater.sources.work import materialize
 
-THRESHOLD, RECALL = 0.93, 0.995
+THRESHOLD, RECALL = 0.93, 0.998
 SAMPLE, ROUNDS, SEED = 10_000, 30, 7
 LEAST_BITS = 12
 BLOCK = 512
-MAX_CODE_BITS = 64
+MAX_CODE_BITS, MAX_TABLES = 64, 64
+#: Pairs at the threshold that are made to choose the tables, and bits added to the greatest distance of their codes.
+TRIAL_PAIRS, SPARE_BITS = 10_000, 2
 
 
 def fit_itq(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +57,25 @@ def fit_itq(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = SEED) ->
     return mean, main @ rotation
 
 
-def table_plan(largest: int, code_bits: int, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = SEED) -> list[np.ndarray]:
-    """The bits that key each table."""
-    bits = min(code_bits, max(LEAST_BITS, math.ceil(math.log2(max(2, largest)))))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.permutation(code_bits)[:bits]) for _ in range(tables)]
+def neighbours(x: np.ndarray, threshold: float, seed: int = SEED) -> np.ndarray:
+    """For each unit row a random unit row whose cosine with it is the threshold."""
+    u = np.random.default_rng(seed).normal(size=x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    norm = np.linalg.norm(u, axis=1, keepdims=True)
+    return threshold * x + math.sqrt(1 - threshold * threshold) * u / np.where(norm > 1e-9, norm, 1)
+
+
+def table_plan(agree: np.ndarray, largest: int, recall: float = RECALL, seed: int = SEED) -> list[np.ndarray]:
+    """The bits that key each table, from which bits agree in pairs at the threshold (pairs x bits)."""
+    code_bits = agree.shape[1]
+    for bits in range(min(code_bits, max(LEAST_BITS, math.ceil(math.log2(max(2, largest))))), 0, -1):
+        rng, tables, found = np.random.default_rng(seed), [], np.zeros(len(agree), bool)
+        while len(tables) < MAX_TABLES:
+            tables.append(np.sort(rng.permutation(code_bits)[:bits]))
+            found |= agree[:, tables[-1]].all(axis=1)
+            if found.mean() >= recall:
+                return tables
+    return [np.zeros(0, np.int64)]
 
 
 def keys_of(codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
@@ -67,6 +83,24 @@ def keys_of(codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     return np.stack([codes[:, t] @ (1 << np.arange(len(t), dtype=np.int64)) for t in tables], axis=1)
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """The bits of each row as one 64-bit number."""
+    return (codes.astype(np.uint64) << np.arange(codes.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _near_codes(code: np.ndarray, block: np.ndarray, b1: int, b2: int, most: int) -> np.ndarray:
+    """Which rows of one pair of blocks have a partner within `most` bits."""
+    out = np.zeros(len(code), bool)
+    left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+    bits = code.view(np.uint64)  # counts of signed numbers are those of their absolute values
+    near = np.bitwise_count(bits[left][:, None] ^ bits[right][None, :]) <= most
+    if b1 == b2:
+        np.fill_diagonal(near, False)
+    out[left[near.any(axis=1)]] = True
+    out[right[near.any(axis=0)]] = True
+    return out
+
+
 def _compare(ids: np.ndarray, weight: np.ndarray, x: np.ndarray, keys: np.ndarray, block: np.ndarray, table: int, blocks: tuple[int, int], threshold: float) -> tuple[list, list, list]:
     """(node, linked weight, other end or None) rows of one pair of blocks of one bucket."""
     left, right = np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[1])
@@ -99,8 +133,12 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     drawn = classes.filter((F.size("v") == dims) & (F.pmod("node", F.lit(1 << 30)) <= int(share * (1 << 30)))).select("node", "v").collect()  # about SAMPLE rows
     sample = np.array([r["v"] for r in sorted(drawn, key=lambda r: r["node"])]).reshape(-1, dims)
     code_bits = min(dims, MAX_CODE_BITS)
-    mean, projection = fit_itq(sample / np.linalg.norm(sample, axis=1, keepdims=True), code_bits) if len(sample) else (np.zeros(dims), np.eye(dims)[:, :code_bits])
-    tables = table_plan(largest, code_bits, threshold, recall)
+    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    mean, projection = fit_itq(sample, code_bits)
+    trial = sample[:TRIAL_PAIRS]
+    agree = ((trial - mean) @ projection >= 0) == ((neighbours(trial, threshold) - mean) @ projection >= 0)
+    tables = table_plan(agree, largest, recall)
+    most_apart = int((~agree).sum(axis=1).max()) + SPARE_BITS
 
     def unit_rows(column: pa.Array) -> np.ndarray:
         x = np.asarray(column.flatten()).reshape(len(column), -1)
@@ -110,18 +148,28 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = keys_of((unit_rows(batch.column(1)) - mean) @ projection >= 0, tables)
+            codes = (unit_rows(batch.column(1)) - mean) @ projection >= 0
+            keys = keys_of(codes, tables)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(tables)), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed(codes)), lists], ["node", "code", "keys"])
 
-    coded = classes.filter(F.size("v") == dims).select("node", "v").mapInArrow(enter, "node long, keys array<long>")
+    coded = classes.filter(F.size("v") == dims).select("node", "v").mapInArrow(enter, "node long, code long, keys array<long>")
     coded = materialize(coded.join(classes.select("node", "label", "weight"), "node"), "vector_codes")
-    entries = coded.select("node", "label", F.posexplode("keys").alias("t", "key"))
+    entries = coded.select("node", "label", "code", F.posexplode("keys").alias("t", "key"))
     crowds = entries.groupBy("label", "t", "key").count().filter("count > 1")
     pieces = F.ceil(F.col("count") / BLOCK).cast("int")
     placed = entries.join(crowds, ["label", "t", "key"]).withColumn("pieces", pieces).withColumn("block", F.pmod(F.hash("node"), F.col("pieces")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    placed = placed.select("node", "t", "block", F.xxhash64("label", "t", "key").alias("bucket"), F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    placed = placed.select("node", "code", "t", "block", F.xxhash64("label", "t", "key").alias("bucket"), F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    placed = placed.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, bounds in whole_groups(batches, ["bucket", "b1", "b2"]):
+            code, block, b1, b2 = (np.asarray(group.column(c).combine_chunks()) for c in ("code", "block", "b1", "b2"))
+            keep = np.concatenate([_near_codes(code[lo:hi], block[lo:hi], int(b1[lo]), int(b2[lo]), most_apart) for lo, hi in bounds])
+            yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    placed = placed.mapInArrow(near, placed.schema).drop("code")
     values = classes.select("node", "v").join(coded.select("node", "weight", "keys"), "node")
     full = placed.join(values, "node").select("bucket", "b1", "b2", "t", "block", "node", "weight", "keys", "v")
     full = full.repartition("bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
