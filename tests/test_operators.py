@@ -181,3 +181,35 @@ def test_context_fit(spark):
 def test_density_peaks_at_one(spark):
     out = htest.density_on_grid(spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 1.1)], "g string, v double"), ["g"], "v", 5).agg(F.max("density")).first()[0]
     assert math.isclose(out, 1)
+
+
+def test_reports_and_settings(spark):
+    from tidewater.operators import reports
+    from tidewater.sources.settings import parse_settings
+
+    assert parse_settings(["# x", "", "export A=1", "B = 'two words'", 'C="x=y"', "bad"]) == {"A": "1", "B": "two words", "C": "x=y"}
+    rows = spark.createDataFrame([(1, "a", 0.5, 0), (2, "b", 0.6, 1)], "lab_id int, lab_name string, p double, target_x int")
+    assert reports.columns_like(rows, contains=["lab"], starts=["target_"], without=["name"]) == ["lab_id", "target_x"]
+    assert reports.rename_by_rules(rows, [("lab_n", "n"), ("lab", "test")]).columns == ["test_id", "name", "p", "target_x"]
+    assert [r["p"] for r in reports.set_where(rows, {"lab_id": 2, "lab_name": "b"}, ["p"], -1.0).orderBy("lab_id").collect()] == [0.5, -1.0]
+    lines = spark.createDataFrame([(d, x, 2.0 * x + d) for d in (0, 1) for x in (1.0, 2.0, 4.0)], "draw int, x double, v double").withColumn("u", F.col("x"))
+    out = {(r["draw"], r["term"]): r["coefficient"] for r in reports.regress_per_draw(lines.select("draw", "u", "v"), "draw", "u", "v", lines.select("u", "x").distinct(), ["x"]).collect()}
+    assert out[(1, "x")] == pytest.approx(2) and out[(1, "constant")] == pytest.approx(1) and out[(0, "constant")] == pytest.approx(0, abs=1e-9)
+
+
+def test_sources_round_trip(spark, tmp_path):
+    from tidewater.sources import sinks
+
+    rows = spark.createDataFrame([(1, 'say "x",\ny'), (2, None)], "id long, t string")
+    sinks.write_parts(rows, f"{tmp_path}/t.csv", 2, "id", "csv", "none")
+    assert {(r["id"], r["t"]) for r in readers.load_table(spark, f"{tmp_path}/t.csv", "id long, t string").collect()} == {(1, 'say "x",\ny'), (2, None)}
+    sinks.write_json_map(rows.filter("id = 1"), f"{tmp_path}/m", "id", "t")
+    assert [(r["id"], r["text"]) for r in readers.read_json_map(spark, f"{tmp_path}/m").collect()] == [("1", 'say "x",\ny')]
+    many = readers.read_many(spark, f"{tmp_path}/t.csv", "csv", "id long, t string")
+    assert "source_file" in many.columns
+    good, again = sinks.sweep(spark.createDataFrame([("a", None), ("a", 1), ("b", None)], "k string, v int"), F.col("v").isNotNull(), ["k"])
+    assert good.count() == 1 and [r["k"] for r in again.collect()] == ["b"]
+    bundle = spark.createDataFrame([("m", [1, 2], [0.1, 0.2])], "m string, a array<int>, b array<double>")
+    assert [(r["x"], r["y"]) for r in readers.bundle_to_long(bundle, ["m"], {"a": "x", "b": "y"}).collect()] == [(1, 0.1), (2, 0.2)]
+    with pytest.raises(Exception, match="unequal"):
+        readers.bundle_to_long(bundle.withColumn("b", F.array(F.lit(0.5))), ["m"], {"a": "x", "b": "y"}).collect()

@@ -30,7 +30,9 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType
 
 def read_many(spark: SparkSession, pattern: str, kind: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
     """All files of a pattern as one table with their path; unreadable files are skipped."""
-    reader = spark.read.format(kind).option("ignoreCorruptFiles", True).option("header", True)
+    reader = spark.read.format(kind).option("ignoreCorruptFiles", True)
+    if kind == "csv":
+        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     df = (reader.schema(schema) if schema is not None else reader).load(pattern)
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 

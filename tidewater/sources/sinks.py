@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def write_parts(df: DataFrame, path: str, n: int, key: str, kind: str = "parquet", compression: str = "gzip") -> None:
     """n parts of about equal size, dealt by a hash of the key."""
-    df.repartition(n, key).write.mode("overwrite").format(kind).option("header", True).option("compression", compression).save(path)
+    df.repartition(n, key).write.mode("overwrite").format(kind).option("header", True).option("escape", '"').option("compression", compression).save(path)
 
 
 def write_by(df: DataFrame, path: str, columns: list[str]) -> None:
