@@ -105,16 +105,20 @@ def host_verdicts(judged: DataFrame, host: str, max_host_rate: float = MAX_HOST_
     """
     hosts = judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    whole = hosts.agg(
-        F.sum("n_docs").alias("n"), F.count(F.lit(1)).alias("h"), (F.sum("n_failed") / F.sum("n_docs")).alias("m"),
-        F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("square"))
-    spread = F.col("square") / F.col("n") - F.col("m") * F.col("m")
-    excess = F.greatest(spread - F.col("m") * (1 - F.col("m")) * (F.col("h") - 1) / F.col("n"), F.lit(1e-9))
-    prior = whole.select("m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / excess - 1, F.lit(1.0)), F.lit(10000.0)).alias("k"))
-    # `prior` is one row by construction.
-    return hosts.crossJoin(F.broadcast(prior)).select(
-        "host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k"))).alias("host_rate")
-    ).withColumn("host_rejected", F.col("host_rate") > max_host_rate)
+    n, k = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    whole = hosts.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("h"), F.sum(k).alias("f"), F.sum(k * k / n).alias("square")).first()  # one row
+    mean, weight = beta_prior(whole["n"] or 0.0, whole["h"], whole["f"] or 0.0, whole["square"] or 0.0)
+    rate = (k + mean * weight) / (n + weight)
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("host_rate"), (rate > max_host_rate).alias("host_rejected"))
+
+
+def beta_prior(n: float, hosts: int, failures: float, square: float) -> tuple[float, float]:
+    """(mean, weight) of the prior from the sums over hosts: documents, hosts, failures, and failures^2 / documents."""
+    if not n:
+        return 0.0, 1.0
+    m = failures / n
+    excess = max(square / n - m * m - m * (1 - m) * (hosts - 1) / n, 1e-9)
+    return m, min(max(m * (1 - m) / excess - 1, 1.0), 10000.0)
 
 
 def _rejected_hosts(judged: DataFrame, host: str, max_host_rate: float) -> DataFrame:
