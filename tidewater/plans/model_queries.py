@@ -129,7 +129,7 @@ def model_calls(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def context_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with three examples in a context of 600 words: how many examples stay, and whether the text is cut."""
-    shots = table(spark, folder, "benchmark").filter("item_id < 3").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.concat(F.lit("\nExample: "), x["text"])).alias("shots"))
+    shots = table(spark, folder, "benchmark").orderBy("item_id").limit(3).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.concat(F.lit("\nExample: "), x["text"])).alias("shots"))
     docs = table(spark, folder, "documents").select("doc_id", "text").crossJoin(F.broadcast(shots))  # one row of three texts
     fit = prompting.fit_context(F.lit("Give the risk."), F.col("shots"), F.col("text"), 600)
     return docs.select("doc_id", fit.alias("f")).select("doc_id", "f.n_examples", "f.truncated", F.sha2(F.concat("f.system", "f.note"), 256).alias("message_key"))
@@ -167,13 +167,14 @@ def sink_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) FILTER (value IS NULL OR value < 20) > 0 AND count(*) FILTER (value >= 20) = 0
+SELECT user_id, event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL HAVING count(*) FILTER (value IS NULL OR value < 20) > 0 AND count(*) FILTER (value >= 20) = 0
 """)
 def invalid_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Keys that have invalid results only, to be done again, with the number of their rows."""
-    rows = table(spark, folder, "events").select("user_id", "event_type", "value")
-    _, again = sinks.sweep(rows, F.col("value") >= 20, ["user_id", "event_type"])
-    return rows.join(again, ["user_id", "event_type"], "left_semi").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["user_id", "event_type", "day"]
+    rows = table(spark, folder, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), "value")
+    _, again = sinks.sweep(rows, F.col("value") >= 20, keys)
+    return rows.join(again, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
