@@ -29,8 +29,8 @@ from tidewater.llm.textkernel import Chunk, chunks
 
 SAMPLE = 20_000
 MAX_ENTRIES, LEAST_RATIO, LEAST_PRECISION = 500, 15.0, 0.6
-#: An entry is found in so many toxic documents at least, and in this share of them.
-LEAST_TOXIC_DOCS, LEAST_TOXIC_SHARE = 4, 0.005
+#: An entry is found in so many toxic documents at least, however many there are.
+LEAST_TOXIC_DOCS = 4
 PREFIX_LENGTHS, FUZZY_LENGTH, EDITS = (4, 5, 6, 7), 5, 1
 #: A beginning is no entry where one word makes up this share of its documents.
 ONE_WORD = 0.8
@@ -204,7 +204,7 @@ def _entries(sample: DataFrame) -> list[tuple[str, bool, float]]:
     counted = sample.mapInArrow(count, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     ratio = 2 * (k * F.log(k / (n * share)) + F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0))
-    good = counted.filter((F.col("k") >= max(LEAST_TOXIC_DOCS, math.ceil(LEAST_TOXIC_SHARE * toxic))) & (k / n >= max(LEAST_PRECISION, share))).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
+    good = counted.filter((F.col("k") >= LEAST_TOXIC_DOCS) & (k / n >= max(LEAST_PRECISION, share))).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
     rows = good.orderBy(F.col("ratio").desc(), F.length("term").desc(), "term").limit(MAX_ENTRIES).collect()
     words = {r["term"][1:]: r["k"] for r in rows if r["term"][0] == "="}
     taken: dict[str, tuple[str, bool, float]] = {}
