@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import toxicity
+from tidewater.llm import license_scan, toxicity
 
 
 def test_rare_toxic_terms_are_entries_however_many_toxic_texts(spark):
@@ -10,3 +10,18 @@ def test_rare_toxic_terms_are_entries_however_many_toxic_texts(spark):
     plain = [(f"good text of {i}", 0) for i in range(9000)]
     words = {text for text, _, _ in toxicity._entries(spark.createDataFrame(toxic + plain, "text string, toxic int"))}
     assert any("schlimmwort".startswith(w) for w in words)
+
+
+def test_near_misses_are_not_the_license(spark):
+    expected = {
+        "Released under the MIT License.": "mit-line", "Released under the BSD License.": "bsd-line", "Released under the Apache License.": None, "Licensed under CC BY 4.0.": "cc-by-4.0-line",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0-line", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-line", "Licensed under CC BY NC 4.0.": None, "Licensed under CC BY-NC 5.0.": None, "CC BY-SA 4.0.": None,
+        "Licensed under the Apache License, Version 1.1.": "apache-1.1-line", "Licensed under the Apache License, Version 2": "apache-2.0-line",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-line", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-line",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0-line", "This work is licensed under the GNU General Public License, version 2. Chapter 3": "gpl-2.0-line",
+        "SPDX-License-Identifier: ISC": "isc-spdx", **{text: name for name, text in license_scan.TEMPLATES.items() if not name.endswith("-line")},
+        license_scan.TEMPLATES["gpl-3.0-or-later"].replace("version 3", "version 4"): None,
+    }
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(expected)], "doc_id int, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan_licenses(docs).collect()}
+    assert [(t[:80], got[i]) for i, t in enumerate(expected)] == [(t[:80], name) for t, name in expected.items()]

@@ -1,10 +1,11 @@
 """License scans by patience alignment.
 
 A text and a license template are aligned over their words (A-Z lower-cased, other ASCII than letters and digits left
-out at a word's ends). Words that occur once in both are anchors; the longest increasing subsequence of their positions
+out at a word's ends; "v2.0", "2.0" and "2" are one version). Words that occur once in both are anchors; the longest increasing subsequence of their positions
 is kept, and the gaps between kept anchors, where other words may have become unique, are aligned in the same way.
 Around each anchor and at the ends of a gap equal neighbours are matched as well. The coverage of a template is the
-share of its words that are aligned. A license is found where that is at least `min_coverage`.
+share of its words that are aligned. A license is found where that is at least `min_coverage` and the words that tell
+licenses apart (name, version, BY/NC/SA, clauses: KEYS) are aligned with no other telling word between them.
 
 Before aligning, the number of a template's words that a text could give at most (its multiset intersection) is taken
 from hashed counts; a text below `min_coverage` there can't reach it by an alignment, and only such pairs are left out.
@@ -18,6 +19,8 @@ the name. Repeated rows get a row each.
 from __future__ import annotations
 
 import bisect
+import pkgutil
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +33,8 @@ from tidewater.llm.textkernel import Chunk, chunks
 
 MIN_COVERAGE = 0.8
 SPAN = 2
+#: Templates of up to so many words without a key must be aligned in full.
+SHORT = 15
 MEMO_WORDS = 500_000
 #: Wordings by which licenses are stated, by name.
 TEMPLATES = {
@@ -43,11 +48,62 @@ TEMPLATES = {
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+#: Name of a line, how the license is named in it (with its version, if any), and its SPDX identifiers.
+_NAMED = {
+    "mit": ("MIT License", ["MIT"]), "isc": ("ISC License", ["ISC"]), "bsd": ("BSD License", ["BSD-2-Clause", "BSD-3-Clause"]),
+    "apache-1.1": ("Apache License, Version 1.1", ["Apache-1.1"]), "apache-2.0": ("Apache License, Version 2.0", ["Apache-2.0"]),
+    "gpl-2.0": ("GNU General Public License, version 2", ["GPL-2.0-only", "GPL-2.0-or-later"]), "gpl-3.0": ("GNU General Public License, version 3", ["GPL-3.0-only", "GPL-3.0-or-later"]),
+    "lgpl-2.1": ("GNU Lesser General Public License, version 2.1", ["LGPL-2.1-only", "LGPL-2.1-or-later"]), "lgpl-3.0": ("GNU Lesser General Public License, version 3", ["LGPL-3.0-only", "LGPL-3.0-or-later"]),
+    "agpl-3.0": ("GNU Affero General Public License, version 3", ["AGPL-3.0-only", "AGPL-3.0-or-later"]), "mpl-2.0": ("Mozilla Public License, version 2.0", ["MPL-2.0"]),
+}
+KEYS = {
+    "mit": ["this permission notice"], "apache-2.0": ["apache license version 2"], "gpl-3.0-or-later": ["gnu general public license", "version 3", "any later version"],
+    "bsd-2-clause": ["redistributions in binary form"], "mpl-2.0": ["mozilla public license v 2"],
+}
+for _name, (_stated, _ids) in _NAMED.items():
+    TEMPLATES.setdefault(f"{_name}-line", f"Licensed under the {_stated}.")
+    KEYS[f"{_name}-line"] = [_stated]
+    for _id in _ids:
+        TEMPLATES[f"{_id.lower()}-spdx"] = f"SPDX-License-Identifier: {_id}"
+for _kind, _long in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _version in ("3.0", "4.0"):
+        TEMPLATES.setdefault(f"cc-{_kind}-{_version}-line", f"Licensed under CC {_kind.upper()} {_version}.")
+        KEYS[f"cc-{_kind}-{_version}-line"] = [f"CC {_kind.upper()} {_version}"]
+        TEMPLATES[f"cc-{_kind}-{_version}-notice"] = f"This work is licensed under a Creative Commons {_long} {_version} License."
+        KEYS[f"cc-{_kind}-{_version}-notice"] = [f"Creative Commons {_long} {_version}"]
+for _name, _title, _version, _prefix in (("gpl-2.0", "GNU General Public License", "2", ""), ("lgpl-2.1", "GNU Lesser General Public License", "2.1", ""), ("lgpl-3.0", "GNU Lesser General Public License", "3", ""), ("agpl-3.0", "GNU Affero General Public License", "3", "")):
+    TEMPLATES[f"{_name}-or-later"] = TEMPLATES["gpl-3.0-or-later"].replace("GNU General Public License", _title).replace("version 3", f"version {_version}")
+    KEYS[f"{_name}-or-later"] = [_title, f"version {_version}", "any later version"]
+_DISCLAIMER = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+TEMPLATES |= {
+    "mit-text": TEMPLATES["mit"] + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause-text": TEMPLATES["bsd-2-clause"] + _DISCLAIMER,
+    "bsd-3-clause-text": TEMPLATES["bsd-2-clause"] + _THIRD + _DISCLAIMER,
+    "bsd-3-clause": TEMPLATES["bsd-2-clause"] + _THIRD,
+}
+KEYS |= {"mit-text": ["this permission notice"], "isc-text": ["this permission notice appear"], "bsd-2-clause-text": ["the distribution this software"], "bsd-3-clause-text": ["endorse or promote"], "bsd-3-clause": ["endorse or promote"]}
+#: Whole texts, from the files beside; a title is not needed, as excerpts often lack it.
+for _file, _keys in {"Apache-2.0": [], "GPL-2": [], "GPL-3": ["The GNU General Public License is a free"], "LGPL-2.1": ["GNU Lesser General Public License"], "LGPL-3": [], "MPL-2.0": [], "CC0-1.0": []}.items():
+    TEMPLATES[f"{_file.lower()}-text"] = pkgutil.get_data(__package__, f"licenses/{_file}.txt").decode()
+    KEYS[f"{_file.lower()}-text"] = _keys
+#: Words that tell licenses apart, besides numbers.
+TELLING = frozenset(b"mit isc bsd apache lesser library affero mozilla cc nc sa nd noncommercial sharealike noderivatives noderivs endorse".split())
 _EDGE = bytes(i for i in range(33, 128) if not chr(i).isalnum())
+_VERSION = re.compile(rb"v?(\d+(?:\.\d+)*?)(?:\.0)*")
 
 
 def core(word: bytes) -> bytes:
-    return word.lower().strip(_EDGE)
+    word = word.lower().strip(_EDGE)
+    version = _VERSION.fullmatch(word)
+    return version[1] if version else b"license" if word == b"licence" else word
+
+
+def telling(word: bytes) -> bool:
+    return word in TELLING or word[:3] in (b"by-", b"cc-") or _VERSION.fullmatch(word) is not None
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -97,18 +153,27 @@ def patience_align(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], min_coverage: float):
+    def __init__(self, templates: dict[str, str], min_coverage: float, keys: dict[str, list[str]] | None = None):
         self.names = list(templates)
         self.words = [[w for w in map(core, templates[n].encode().split()) if w] for n in self.names]
         self.min_coverage = min_coverage
         vocabulary = sorted({w for words in self.words for w in words})
         self.number = {w: i + 1 for i, w in enumerate(vocabulary)}  # 0: in no template
-        self.need = np.zeros((len(vocabulary) + 1, len(self.names)), np.int64)
+        self.other = len(vocabulary) + 1  # a telling word that is in no template
+        self.telling = np.array([False, *map(telling, vocabulary), True])
+        self.need = np.zeros((len(vocabulary) + 2, len(self.names)), np.int64)
         for t, words in enumerate(self.words):
             for w, n in Counter(words).items():
                 self.need[self.number[w], t] = n
         self.sizes = np.array([len(w) for w in self.words])
         self.coded = [[self.number[w] for w in words] for words in self.words]
+        # For each key of a template its places there; a key that the template does not hold is no key.
+        keys = KEYS if keys is None else keys
+        self.keys = []
+        for name, words in zip(self.names, self.words, strict=True):
+            sought = [[w for w in map(core, key.encode().split()) if w] for key in keys.get(name, [])]
+            places = [[range(i, i + len(k)) for i in range(len(words) - len(k) + 1) if words[i : i + len(k)] == k] for k in sought]
+            self.keys.append([p for p in places if p] if len(words) > SHORT or any(places) else [[range(len(words))]])
         self.memo: dict[int, int] = {}
 
     def scan(self, chunk: Chunk) -> list[list[tuple]]:
@@ -123,13 +188,16 @@ class Scanner:
         raw, names = chunk.data.tobytes(), keys.tolist()
         for i, k in enumerate(names):
             if k not in self.memo:
-                self.memo[k] = self.number.get(core(raw[start[at[i]] : end[at[i]]]), 0)
+                word = core(raw[start[at[i]] : end[at[i]]])
+                self.memo[k] = self.number.get(word, self.other if telling(word) else 0)
         code = np.fromiter(map(self.memo.__getitem__, names), np.int64, len(names))[which]
         known = code > 0
         width = len(self.need)
         cells, counts = np.unique(row[known] * width + code[known], return_counts=True)
         most = np.zeros((chunk.rows, len(self.names)), np.int64)
-        np.add.at(most, cells // width, np.minimum(counts[:, None], self.need[cells % width]))
+        of_row, of_word = cells // width, cells % width
+        for t in range(len(self.names)):
+            most[:, t] = np.bincount(of_row, np.minimum(counts, self.need[of_word, t]), chunk.rows)
         first = np.searchsorted(row, np.arange(chunk.rows + 1))
         line_of = np.cumsum(chunk.data == 0x0A)
         for r, t in zip(*np.nonzero(most >= self.min_coverage * self.sizes), strict=True):
@@ -155,10 +223,24 @@ class Scanner:
                 continue
             pairs = patience_align(block.tolist(), template)
             coverage = len(pairs) / len(template)
-            if coverage >= self.min_coverage and (best is None or coverage > best[0]):
+            if coverage >= self.min_coverage and (best is None or coverage > best[0]) and self._keyed(block, pairs, t):
                 best = (coverage, s + pairs[0][0], s + pairs[-1][0])
+                if coverage == 1:
+                    break
         return best
 
+    def _keyed(self, block: np.ndarray, pairs: list[tuple[int, int]], t: int) -> bool:
+        """Whether each key of template t is aligned at one of its places, with no telling word between its words."""
+        place = {j: i for i, j in pairs}
+
+        def holds(key: range) -> bool:
+            if any(j not in place for j in key):
+                return False
+            between = [i for j, k in zip(key, key[1:], strict=False) for i in range(place[j] + 1, place[k])]
+            return not self.telling[block[between]].any()
+
+        return all(any(holds(key) for key in places) for places in self.keys[t])
+
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """For each document: doc_id, the best license, its coverage and word span, and how many licenses were found."""
