@@ -25,3 +25,12 @@ def test_near_misses_are_not_the_license(spark):
     docs = spark.createDataFrame([(i, text) for i, text in enumerate(expected)], "doc_id int, text string")
     got = {r["doc_id"]: r["license"] for r in license_scan.scan_licenses(docs).collect()}
     assert [(t[:80], got[i]) for i, t in enumerate(expected)] == [(t[:80], name) for t, name in expected.items()]
+
+
+def test_misspelled_inflections_of_a_beginning_are_hits(spark):
+    toxic = [(f"you {word} of {i}", 1) for i in range(20) for word in ("grobianisch", "grobianismus")]
+    lexicon = toxicity.Lexicon(toxicity._entries(spark.createDataFrame(toxic + [(f"good text of {i}", 0) for i in range(400)], "text string, toxic int")))
+    whole = lexicon.exact("grobianismus")
+    assert lexicon.entries[whole][1] and "grobianismus".startswith(lexicon.entries[whole][0])
+    for word, meant in (("grxbianismus", "grobianismus"), ("gobianisch", "grobianisch"), ("goobianisch", "grobianisch")):
+        assert lexicon.exact(word) is None and lexicon.entries[lexicon.fuzzy(word)][0] == meant

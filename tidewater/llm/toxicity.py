@@ -2,7 +2,8 @@
 
 The lexicon holds words and word beginnings that mark documents labelled toxic; it is learned from labelled documents by
 a log-likelihood ratio test. It is kept as a trie. A Levenshtein automaton of a text's word runs along the trie's edges
-and gives the entries within one edit (entries of fewer than FUZZY_LENGTH letters, and beginnings, match exactly only).
+and gives the entries within one edit (entries of fewer than FUZZY_LENGTH letters, and beginnings, match exactly only; the
+learned words that a beginning stands for are matched with misspellings).
 Each hit is weighed by its context: a hit within quotation marks, or close after a word of reporting, counts as quoted.
 A logistic model over a document's hits (plain, misspelled, quoted, their weights and density) gives the score.
 
@@ -48,14 +49,16 @@ class Lexicon:
 
     One edit leaves the left or the right half of an entry as it is. A word that runs exactly to the end of an entry's
     left half in the trie of entries, or to the end of its right half in the trie of reversed entries, is handed to the
-    automaton there, which goes on through the part of the trie below.
+    automaton there, which goes on through the part of the trie below. Words that a beginning covers (None in place of
+    "is a beginning") match by their beginning as they are, and are in the tries for misspellings only.
     """
 
-    def __init__(self, entries: list[tuple[str, bool, float]]):
+    def __init__(self, entries: list[tuple[str, bool | None, float]]):
         self.entries = entries  # (text, is a beginning, weight)
         self.root, self.ahead, self.back = {}, {}, {}
         for number, (text, beginning, _) in enumerate(entries):
-            self._insert(self.root, text, 0)["beginning" if beginning else "word"] = number
+            if beginning is not None:
+                self._insert(self.root, text, 0)["beginning" if beginning else "word"] = number
             if not beginning and len(text) >= FUZZY_LENGTH:
                 self._insert(self.ahead, text, len(text) // 2)["word"] = number
                 self._insert(self.back, text[::-1], len(text) - len(text) // 2)["word"] = number
@@ -182,7 +185,7 @@ def is_quoted(before: str, word: str, after: str) -> bool:
     return any(core(w) in REPORTING for w in before[-REPORT_BYTES:].split())
 
 
-def _entries(sample: DataFrame) -> list[tuple[str, bool, float]]:
+def _entries(sample: DataFrame) -> list[tuple[str, bool | None, float]]:
     """The lexicon learned from rows of (text, toxic)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,15 +210,16 @@ def _entries(sample: DataFrame) -> list[tuple[str, bool, float]]:
     good = counted.filter((F.col("k") >= LEAST_TOXIC_DOCS) & (k / n >= max(LEAST_PRECISION, share))).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
     rows = good.orderBy(F.col("ratio").desc(), F.length("term").desc(), "term").limit(MAX_ENTRIES).collect()
     words = {r["term"][1:]: r["k"] for r in rows if r["term"][0] == "="}
-    taken: dict[str, tuple[str, bool, float]] = {}
+    taken: dict[str, tuple[str, bool | None, float]] = {}
     for r in rows:
         text, beginning = r["term"][1:], r["term"][0] == "^"
         if beginning and any(w.startswith(text) and k >= ONE_WORD * r["k"] for w, k in words.items()):
             continue  # nearly always the same word, which is an entry itself
-        if any(text.startswith(old) and is_beginning for old, is_beginning, _ in taken.values()):
+        covered = any(text.startswith(old) and is_beginning for old, is_beginning, _ in taken.values())
+        if covered and beginning:
             continue  # a shorter beginning with a greater ratio has it
         weight = math.log((r["k"] + 0.5) / (r["n"] - r["k"] + 0.5)) - math.log(share / (1 - share))
-        taken.setdefault(text, (text, beginning, max(weight, 0.1)))
+        taken.setdefault(r["term"] if covered else text, (text, None if covered else beginning, max(weight, 0.1)))
     return list(taken.values())
 
 
