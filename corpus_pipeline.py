@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import line_dedup, minhash_dedup, mixing, packing, quality_rules
-from tidewater.llm.queries import vocabulary
+from tidewater.llm.queries import added_tokens, vocabulary
 from tidewater.sources.tables import table
 from tidewater.sources.work import materialize
 
@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences; each row is a piece of a document in its sequence."""
-    return packing.pack(docs, *vocabulary())
+    return packing.pack(docs, *vocabulary(), added=added_tokens())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

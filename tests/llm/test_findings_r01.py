@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tidewater.llm import license_scan, toxicity
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
+
+from tidewater.llm import license_scan, packing, queries, toxicity
+from tidewater.llm.textkernel import chunks
 
 
 def test_rare_toxic_terms_are_entries_however_many_toxic_texts(spark):
@@ -34,3 +39,20 @@ def test_misspelled_inflections_of_a_beginning_are_hits(spark):
     assert lexicon.entries[whole][1] and "grobianismus".startswith(lexicon.entries[whole][0])
     for word, meant in (("grxbianismus", "grobianismus"), ("gobianisch", "grobianisch"), ("goobianisch", "grobianisch")):
         assert lexicon.exact(word) is None and lexicon.entries[lexicon.fuzzy(word)][0] == meant
+
+
+END_OF_TEXT = ["a <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b", "a  <|endoftext|>\n<|endoftext|> don't", "<|endoftext| > <|endoftext |>", "é <|endoftext|>é", "plain text"]
+
+
+def test_added_tokens_are_one_id(spark):
+    prescribed = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [prescribed.encode(text, add_special_tokens=False).ids for text in END_OF_TEXT]
+    assert expected[0] == [64, 220, 50256, 2124]
+    for kind in ("json", "tiktoken"):
+        tokens = packing.Tokens(public_tokenizers.path(f"byte_bpe_50k.{kind}"), public_tokenizers.PATTERN, queries.added_tokens())
+        assert [ids.tolist() for c in chunks(pa.array(END_OF_TEXT), 30) for ids in tokens(c)] == expected
+
+
+def test_packing_counts_added_tokens_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a <|endoftext|> x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["doc_tokens"] for r in queries.op5_packing(spark, str(tmp_path)).collect()] == [5]

@@ -40,21 +40,24 @@ class Tokens:
     The pattern of these vocabularies always starts a piece at a single space whose neighbours are not white space, so a
     text is cut there and its ids are those of the parts. Each different part of a chunk is tokenized once and
     remembered under its 64-bit hash; the rest is gathering by numpy. Spaces beside anything that could be white space
-    are not cut at. `pattern` is needed for ranks. A vocabulary of over 65,536 ids is refused.
+    are not cut at. `pattern` is needed for ranks. `added` names tokens that stand for their literal text, with their ids
+    (without white space); without it such texts are tokenized as any other. A vocabulary of over 65,536 ids is refused.
     """
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, added: dict[str, int] | None = None):
+        added = added or {}
         if path.endswith(".tiktoken"):
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            spaced, top = [i for token, i in ranks.items() if token[:1] == b" "], max(ranks.values())
+            own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={token: i for token, i in ranks.items() if i not in added.values()}, special_tokens=added)
+            self.encode = lambda text: own.encode(text, allowed_special="all") if any(token in text for token in added) else own.encode_ordinary(text)
+            spaced, top = [i for token, i in ranks.items() if token[:1] == b" "], max([*ranks.values(), *added.values()])
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+            tokenizer.encode_special_tokens = not added
             vocabulary = tokenizer.get_vocab()
             self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
             spaced, top = [i for token, i in vocabulary.items() if token[:1] == "\u0120"], max(vocabulary.values())
@@ -187,7 +190,8 @@ def padding(length: int, width: int = WIDTH) -> int:
 
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str | None = None, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
-         end_id: int = END_ID, seed: int = SEED, group_tokens: int = GROUP_TOKENS, max_waste: float = MAX_WASTE, with_ids: bool = True) -> DataFrame:
+         end_id: int = END_ID, seed: int = SEED, group_tokens: int = GROUP_TOKENS, max_waste: float = MAX_WASTE, with_ids: bool = True,
+         added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length and,
     with_ids, the ids themselves as little-endian 32-bit numbers.
     """
@@ -200,7 +204,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str | None = None, doc_id: s
     dealt = dealt.repartition("deal").sortWithinPartitions("deal", "doc_id").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(vocabulary, pattern)
+        tokens = Tokens(vocabulary, pattern, added)
         next_id = TaskContext.get().partitionId() << 32
         ids: list[np.ndarray] = []
         owners: list = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,16 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def added_tokens() -> dict[str, int]:
+    """The texts that byte_bpe_50k.json takes as one token each, with their ids."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), *vocabulary(), with_ids=False)
+    return packing.pack(table(spark, folder, "documents"), *vocabulary(), with_ids=False, added=added_tokens())
 
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
