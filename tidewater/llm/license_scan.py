@@ -74,6 +74,9 @@ for _kind, _long in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by
 for _name, _title, _version, _prefix in (("gpl-2.0", "GNU General Public License", "2", ""), ("lgpl-2.1", "GNU Lesser General Public License", "2.1", ""), ("lgpl-3.0", "GNU Lesser General Public License", "3", ""), ("agpl-3.0", "GNU Affero General Public License", "3", "")):
     TEMPLATES[f"{_name}-or-later"] = TEMPLATES["gpl-3.0-or-later"].replace("GNU General Public License", _title).replace("version 3", f"version {_version}")
     KEYS[f"{_name}-or-later"] = [_title, f"version {_version}", "any later version"]
+for _name in ("gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0"):
+    TEMPLATES[f"{_name}-only"] = TEMPLATES[f"{_name}-or-later"].replace("either ", "", 1).replace(", or (at your option) any later version", "")
+    KEYS[f"{_name}-only"] = [*KEYS[f"{_name}-or-later"][:2], "license this program is distributed"]
 _DISCLAIMER = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
     "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
     "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
@@ -91,7 +94,7 @@ for _file, _keys in {"Apache-2.0": [], "GPL-2": [], "GPL-3": ["The GNU General P
     TEMPLATES[f"{_file.lower()}-text"] = pkgutil.get_data(__package__, f"licenses/{_file}.txt").decode()
     KEYS[f"{_file.lower()}-text"] = _keys
 #: Words that tell licenses apart, besides numbers.
-TELLING = frozenset(b"mit isc bsd apache lesser library affero mozilla cc nc sa nd noncommercial sharealike noderivatives noderivs endorse".split())
+TELLING = frozenset(b"mit isc bsd apache lesser library affero mozilla cc nc sa nd noncommercial sharealike noderivatives noderivs endorse later".split())
 _EDGE = bytes(i for i in range(33, 128) if not chr(i).isalnum())
 _VERSION = re.compile(rb"v?(\d+(?:\.\d+)*?)(?:\.0)*")
 
