@@ -5,11 +5,14 @@ DIMS dimensions, with log term frequency, inverse document frequency and unit le
 centroids: spherical k-means over a sample of its texts. A text gets the language of the centroid with the greatest
 cosine; it is marked rejected where that cosine is below what nearly all of the language's sample has.
 
-Document frequencies and the languages' numbers of texts are counted over all texts to learn from. The centroids are
-fitted on at most about SAMPLE_PER_LANGUAGE texts of a language and SAMPLE_TOTAL in all, drawn by a hash of the text.
+Document frequencies are counted over all texts to learn from. The centroids are fitted on at most SAMPLE_PER_LANGUAGE
+texts of a language and SAMPLE_TOTAL in all (CENTROIDS of each at least): the ones with the smallest hash of (id, text)
+among the language's different rows. So a text that many documents repeat is drawn as often as its documents are, a row
+that is repeated as a whole is drawn once, and no language with a text is left without centroids.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0 and rejected; so is every text when there
-is nothing to learn from. Repeated rows get a row each. A null id is never held out and never learned from.
+is nothing to learn from. Repeated rows get a row each. A null id is never held out and never learned from. More than
+MAX_LANGUAGES values of lang to learn from are refused with an error: the centroids are held whole by each task.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.held_out import held_out
@@ -27,6 +30,8 @@ from tidewater.llm.textkernel import Chunk, chunks
 DIMS, LONGEST = 4096, 3
 CENTROIDS, ROUNDS = 3, 8
 SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL, MAX_LANGUAGES = 400, 4000, 1000
+#: Rows of a language that are ranked by their hash to draw the sample, as a multiple of it and beyond it.
+SPARE, SPARE_ROWS = 1.5, 50
 #: Share of a language's sample whose cosine a text may not fall below, and how much of that cosine is asked for.
 REJECT_QUANTILE, REJECT_SLACK = 0.005, 0.8
 UNKNOWN = "und"
@@ -89,8 +94,21 @@ class Model:
         return self.owner[best], np.clip(cosine[np.arange(len(best)), best], 0, 1)
 
 
+def draw(rows: DataFrame) -> DataFrame:
+    """(text, lang): of each language those of the different rows (doc_id, text, lang) that have the smallest hashes."""
+    hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id", "text"), 2))
+    of = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least")).collect()  # a row per language
+    each = max(CENTROIDS, min(SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL // max(1, len(of))))
+    # A share of the hashes that holds the `each` smallest ones; the smallest of all is in it in any case.
+    bounds = [(r["lang"], max(r["least"], int(min(1.0, (SPARE * each + SPARE_ROWS) / max(1, r["n"])) * 2**62))) for r in of]
+    limits = F.broadcast(rows.sparkSession.createDataFrame(bounds, "lang string, most long"))  # at most MAX_LANGUAGES rows
+    near = hashed.join(limits, "lang").filter(F.col("h") <= F.col("most")).dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # about SPARE * each + SPARE_ROWS rows of a language
+    return near.withColumn("place", place).filter(F.col("place") <= each).select("text", "lang")
+
+
 def fit(rows: DataFrame) -> Model | None:
-    """Learn from rows with a text and a lang."""
+    """Learn from rows (doc_id, text, lang) with a text and a lang."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     of = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(of) > MAX_LANGUAGES:
@@ -110,10 +128,7 @@ def fit(rows: DataFrame) -> Model | None:
     for r in rows.select("text").mapInArrow(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():  # DIMS rows
         df[r["dim"]] = r["n"]
     idf = (np.log((1 + sum(of.values())) / (1 + df)) + 1).astype(np.float32)
-    each = max(CENTROIDS, min(SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL // len(of)))
     languages = sorted(of)
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(each / of[name])) for name in languages])
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,8 +137,7 @@ def fit(rows: DataFrame) -> Model | None:
                     packed = pa.array([x.astype(np.float16).tobytes() for x in np.log1p(counts)], pa.binary())
                     yield pa.RecordBatch.from_arrays([batch.column(1).slice(c.lo + lo, len(counts)), packed], ["lang", "v"])
 
-    # About SAMPLE_TOTAL rows of 8 KB by the shares above.
-    sample = drawn.mapInArrow(vectors, "lang string, v binary").collect()
+    sample = draw(rows).mapInArrow(vectors, "lang string, v binary").collect()  # SAMPLE_TOTAL rows of 8 KB, or CENTROIDS for each language
     found: dict[str, list[np.ndarray]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], bytes(r["v"]))):
         found.setdefault(r["lang"], []).append(np.frombuffer(r["v"], np.float16).astype(np.float32))
@@ -143,7 +157,7 @@ def fit(rows: DataFrame) -> Model | None:
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """For each document: doc_id, held_out, lang_pred, score (the cosine) and rejected."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), held_out(F.col(doc_id)).alias("held_out"))
-    model = fit(plain.filter(~F.col("held_out") & F.col("doc_id").isNotNull()).select("text", "lang"))
+    model = fit(plain.filter(~F.col("held_out") & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
     kind = docs.schema[doc_id].dataType.simpleString()
     ask = plain.select("doc_id", "held_out", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("has_letter"), "text")
 
