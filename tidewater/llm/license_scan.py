@@ -9,8 +9,10 @@ licenses apart (name, version, BY/NC/SA, clauses: KEYS) are aligned with no othe
 
 Before aligning, the number of a template's words that a text could give at most (its multiset intersection) is taken
 from hashed counts; a text below `min_coverage` there can't reach it by an alignment, and only such pairs are left out.
-So that a template in a long text is not read together with like words far off, a text is aligned line block by line
-block: each block starts at a line that could start the template and holds up to SPAN times the template's words.
+Then the shortest runs of a text that still hold `min_coverage` of a template's words, wherever they start, are found by
+two moving ends, and each is aligned alone and with more of the template's words to both sides (WIDER). The ends move on
+by an eighth of the template's words from one alignment to the next, so that work is in proportion to the text. Words of
+no use to the template are no obstacle, as long as the aligned words make up MIN_DENSITY of the words that they span.
 
 Defined cases: a null or empty text has no license. Of templates with equal coverage the one with more words wins, then
 the name. Repeated rows get a row each.
@@ -19,6 +21,7 @@ the name. Repeated rows get a row each.
 from __future__ import annotations
 
 import bisect
+import math
 import pkgutil
 import re
 from collections import Counter
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.textkernel import Chunk, chunks
 
-MIN_COVERAGE = 0.8
-SPAN = 2
+MIN_COVERAGE, MIN_DENSITY = 0.8, 0.2
+#: Alignments of a run a template, and by what part of the template's words each is wider than the run on both sides.
+WIDER = (0, 1 / 3, 1)
 #: Templates of up to so many words without a key must be aligned in full.
 SHORT = 15
 MEMO_WORDS = 500_000
@@ -170,6 +174,7 @@ class Scanner:
                 self.need[self.number[w], t] = n
         self.sizes = np.array([len(w) for w in self.words])
         self.coded = [[self.number[w] for w in words] for words in self.words]
+        self.counts = [Counter(words) for words in self.coded]
         # For each key of a template its places there; a key that the template does not hold is no key.
         keys = KEYS if keys is None else keys
         self.keys = []
@@ -202,45 +207,63 @@ class Scanner:
         for t in range(len(self.names)):
             most[:, t] = np.bincount(of_row, np.minimum(counts, self.need[of_word, t]), chunk.rows)
         first = np.searchsorted(row, np.arange(chunk.rows + 1))
-        line_of = np.cumsum(chunk.data == 0x0A)
         for r, t in zip(*np.nonzero(most >= self.min_coverage * self.sizes), strict=True):
-            words = code[first[r] : first[r + 1]]
-            lines = line_of[start[first[r] : first[r + 1]]]
-            found = self._best(words, lines, int(t))
+            found = self._best(code[first[r] : first[r + 1]], int(t))
             if found:
                 out[r].append((self.names[t], *found))
         for found in out:
             found.sort(key=lambda f: (-f[1], -len(self.words[self.names.index(f[0])]), f[0]))
         return out
 
-    def _best(self, words: np.ndarray, lines: np.ndarray, t: int) -> tuple[float, int, int] | None:
+    def _runs(self, usable: list[int], t: int) -> Iterator[tuple[int, int]]:
+        """(first, last) of the shortest runs of usable words that hold min_coverage of template t, by their ends."""
+        need, have = self.counts[t], dict.fromkeys(self.counts[t], 0)
+        goal, total, lo = math.ceil(self.min_coverage * len(self.coded[t])), 0, 0
+        for hi, word in enumerate(usable):
+            total += have[word] < need[word]
+            have[word] += 1
+            if total < goal:
+                continue
+            while total > goal or have[usable[lo]] > need[usable[lo]]:
+                total -= have[usable[lo]] <= need[usable[lo]]
+                have[usable[lo]] -= 1
+                lo += 1
+            yield lo, hi
+
+    def _best(self, words: np.ndarray, t: int) -> tuple[float, int, int] | None:
         """(coverage, first word, last word) of the best alignment of template t that reaches min_coverage."""
-        template = self.coded[t]
-        span, best = SPAN * len(template), None
-        usable = self.need[words, t] > 0
-        # Blocks start at the words of the template that follow a line's start or a word of no use.
-        starts = np.flatnonzero(usable & np.concatenate([[True], (lines[1:] != lines[:-1]) | ~usable[:-1]]))
-        for s in starts.tolist():
-            block = words[s : s + span]
-            if np.count_nonzero(usable[s : s + span]) < self.min_coverage * len(template):
+        size, best = len(self.coded[t]), None
+        places = np.flatnonzero(self.need[words, t] > 0)
+        usable, at = words[places].tolist(), places.tolist()
+        step, done, before = max(1, size // 8), -1, (-1, -1)
+        for lo, hi in self._runs(usable, t):
+            last = hi == len(usable) - 1
+            if at[hi] - at[lo] >= size / MIN_DENSITY or (hi < done + step and not last) or (lo == before[0] and step == 1):
                 continue
-            pairs = patience_align(block.tolist(), template)
-            coverage = len(pairs) / len(template)
-            if coverage >= self.min_coverage and (best is None or coverage > best[0]) and self._keyed(block, pairs, t):
-                best = (coverage, s + pairs[0][0], s + pairs[-1][0])
-                if coverage == 1:
-                    break
+            done, before = hi, (lo, hi)
+            for share in WIDER:
+                more = math.ceil(share * size)
+                a = max(lo - more, bisect.bisect_left(at, at[lo] - more / MIN_DENSITY))
+                b = min(hi + more, bisect.bisect_right(at, at[hi] + more / MIN_DENSITY) - 1)
+                pairs = [(at[a + i], j) for i, j in patience_align(usable[a : b + 1], self.coded[t])]
+                coverage = len(pairs) / size
+                if coverage < self.min_coverage or (best and coverage <= best[0]) or len(pairs) < MIN_DENSITY * (pairs[-1][0] - pairs[0][0] + 1):
+                    continue
+                if self._keyed(words, pairs, t):
+                    best = (coverage, pairs[0][0], pairs[-1][0])
+            if best and best[0] == 1:
+                break
         return best
 
-    def _keyed(self, block: np.ndarray, pairs: list[tuple[int, int]], t: int) -> bool:
-        """Whether each key of template t is aligned at one of its places, with no telling word between its words."""
+    def _keyed(self, words: np.ndarray, pairs: list[tuple[int, int]], t: int) -> bool:
+        """Whether each key of template t is aligned at one of its places, close by and with no telling word between its words."""
         place = {j: i for i, j in pairs}
 
         def holds(key: range) -> bool:
-            if any(j not in place for j in key):
+            if any(j not in place for j in key) or place[key[-1]] - place[key[0]] >= len(key) / MIN_DENSITY:
                 return False
             between = [i for j, k in zip(key, key[1:], strict=False) for i in range(place[j] + 1, place[k])]
-            return not self.telling[block[between]].any()
+            return not self.telling[words[between]].any()
 
         return all(any(holds(key) for key in places) for places in self.keys[t])
 
