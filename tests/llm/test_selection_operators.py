@@ -53,15 +53,15 @@ def test_mix_comes_near_targets(docs):
     assert {(r["doc_id"], r["copies"]) for r in again.collect()} == {(r["doc_id"], r["copies"]) for r in rows}
 
 
-def test_mix_refines_histograms(docs):
-    """The cut is the same when found in many small steps."""
-    plain = mixing.mix(docs, "source")[0].groupBy().agg(F.sum("copies")).first()[0]
-    was = mixing.EXACT_DOCS, mixing.STEP_BITS, mixing._choose.__defaults__
-    try:
-        mixing.STEP_BITS, mixing._choose.__defaults__ = 2, (mixing.HASH_BITS, 1)
-        assert mixing.mix(docs, "source")[0].groupBy().agg(F.sum("copies")).first()[0] == plain
-    finally:
-        mixing.EXACT_DOCS, mixing.STEP_BITS, mixing._choose.__defaults__ = was
+def test_mix_refines_histograms(docs, monkeypatch):
+    """The cut is found in many small steps as well."""
+    monkeypatch.setattr(mixing, "STEP_BITS", 2)
+    monkeypatch.setattr(mixing, "NEAR_DOCS", 4)
+    taken, sources = mixing.mix(docs, "source")
+    rows = taken.collect()
+    for r in sources.collect():
+        own = [x for x in rows if x["source"] == r["source"]]
+        assert abs(sum(x["taken"] for x in own) - r["target"]) <= 0.02 * r["target"] + max(x["size"] for x in own) / 2
 
 
 def test_mix_edge_cases(odd_docs, no_docs):
