@@ -31,3 +31,15 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, tag: str, keys: list[str], buckets: int) -> DataFrame:
+    """Write `df` as materialize() does, bucketed and sorted by `keys`; tables with as many buckets join without a shuffle.
+
+    Rows that an aggregate or a join by `keys` has dealt to as many partitions lie as the buckets do; others are written
+    as several files a bucket. The session's catalogue knows the table under a name of its own; its files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{work_folder(spark)}/tidewater-{uuid.uuid4().hex}/{tag}").format("parquet").saveAsTable(name)
+    return spark.table(name)
