@@ -1,25 +1,33 @@
 """Dropping lines that many documents share, by levelled sorted runs of line hashes.
 
-A line's key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased. Documents come in batches. A batch's
-keys, with the number of its documents that hold each, make one sorted run of (hash, documents). Keys already known to
-be common are left out of it by a merge anti-join; the rest is added as a run of its own. Once `fan_out` runs stand on
-the same level they are merged into one run of the next level, and keys that have reached `min_docs` documents move to
-the common keys. After the last batch everything left is merged. Then every line whose key is common goes, in every
-document that holds it.
+A line's key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased. Documents come in batches. A batch's keys,
+with the number of its documents that hold each, are a run that is sorted by hash. Each new batch is anti-joined with the
+keys already found common, and then with the runs: keys that no run holds are new, those of the runs are counted up with
+what the runs know, and the keys that so reach `min_docs` documents move to the common keys. The rest, new or not, is
+added as a run of its own. Once `fan_out` runs stand on the same level they are compacted to one run of the next level,
+which also leaves out what has become common since. In the end every line whose key is common goes, in every document.
+
+Runs and common keys are stored tables that are bucketed and sorted by the hash alike, so that all these joins and merges
+read them as they lie, without a shuffle. `LineRuns.add()` takes any later batch of counted keys.
 
 DataFrame functions only. Keys are compared by 64 + 32 hash bits. Batches are taken by a hash of the document, and all
-of them are counted in one pass over the texts; the runs are stored tables, so a lost executor repeats single tasks.
+of them are counted in one pass over the texts; a lost executor repeats single tasks.
 
 Defined cases: a null or empty text is one empty line. An empty key is common only if min_key_chars is 0. Rows are told
-apart by id and text, so that rows with the same or a null id don't mix. Repeated rows count as documents each.
+apart by id and text, so that rows with the same or a null id don't mix. Repeated rows count as documents each. An input
+column named n_lines or n_dropped is replaced by the operator's; keep_own_lines() leaves all columns as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.sources.work import materialize
+from tidewater.llm.skew import join_hot
+from tidewater.sources.work import materialize, materialize_bucketed
 
 MIN_DOCS, MIN_KEY_CHARS = 10, 1
 BATCHES, FAN_OUT = 4, 2
@@ -42,50 +50,68 @@ def key_hash(key: Column) -> Column:
 
 
 class LineRuns:
-    """Levels of sorted runs (h, g, n_docs) and the keys found common so far."""
+    """Levels of sorted runs (h, g, n_docs) and the keys found common so far, (h, g); no key is common twice."""
 
-    def __init__(self, min_docs: int = MIN_DOCS, fan_out: int = FAN_OUT):
-        self.min_docs, self.fan_out = min_docs, fan_out
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fan_out: int = FAN_OUT):
+        self.spark, self.min_docs, self.fan_out = spark, min_docs, fan_out
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
         self.common: list[DataFrame] = []
 
+    def stored(self, rows: DataFrame) -> DataFrame:
+        """The rows as a table that is bucketed and sorted by (h, g)."""
+        return materialize_bucketed(rows, "line_run", ["h", "g"], self.buckets)
+
     def _undecided(self, run: DataFrame) -> DataFrame:
         for known in self.common:
-            run = run.join(known, ["h", "g"], "left_anti")
+            run = run.hint("merge").join(known, ["h", "g"], "left_anti")
         return run
 
     def add(self, batch: DataFrame) -> None:
-        """Add a stored batch of (h, g, n_docs)."""
-        self.levels[0].append(self._undecided(batch))
+        """Add a batch of (h, g, n_docs), bucketed and sorted as stored() does; a key is in it once."""
+        runs = [run for level in self.levels for run in level]
+        mine = self._undecided(batch)
+        if runs:
+            before = runs[0]
+            for run in runs[1:]:
+                before = before.unionByName(run)
+            fresh = mine
+            for run in runs:
+                fresh = fresh.hint("merge").join(run.select("h", "g"), ["h", "g"], "left_anti")
+            again = mine
+            for i, run in enumerate(runs):
+                again = again.hint("merge").join(run.withColumnRenamed("n_docs", f"n_{i}"), ["h", "g"], "left")
+            known = reduce(add, [F.coalesce(f"n_{i}", F.lit(0)) for i in range(len(runs))])
+            again = again.withColumn("known", known).filter("known > 0").select("h", "g", "n_docs", (F.col("n_docs") + F.col("known")).alias("total"))
+            rows = fresh.withColumn("total", F.col("n_docs")).unionByName(again)
+        else:
+            rows = mine.withColumn("total", F.col("n_docs"))
+        run = self.stored(rows)
+        self._settle(run)
+        self.levels[0].append(run.filter(F.col("total") < self.min_docs).select("h", "g", "n_docs"))
         level = 0
         while len(self.levels[level]) >= self.fan_out:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._merge(self.levels[level]))
+            self.levels[level + 1].append(self._compacted(self.levels[level]))
             self.levels[level] = []
             level += 1
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        merged = runs[0]
-        for run in runs[1:]:
-            merged = merged.unionByName(run)
-        merged = merged.groupBy("h", "g").agg(F.sum("n_docs").alias("n_docs")).withColumn("is_common", F.col("n_docs") >= self.min_docs)
-        stored = materialize(merged.sortWithinPartitions("h", "g"), "line_run", ["is_common"])
-        self.common.append(stored.filter("is_common").select("h", "g"))
-        return stored.filter("not is_common").select("h", "g", "n_docs")
+    def _settle(self, run: DataFrame) -> None:
+        self.common.append(run.filter(F.col("total") >= self.min_docs).select("h", "g"))
+        if len(self.common) > self.fan_out:
+            self.common = [self.stored(reduce(DataFrame.unionByName, self.common))]
+
+    def _compacted(self, runs: list[DataFrame]) -> DataFrame:
+        merged, names = runs[0].withColumnRenamed("n_docs", "n_0"), [f"n_{i}" for i in range(len(runs))]
+        for name, run in zip(names[1:], runs[1:], strict=True):
+            merged = merged.hint("merge").join(run.withColumnRenamed("n_docs", name), ["h", "g"], "full")
+        total = reduce(add, [F.coalesce(n, F.lit(0)) for n in names])
+        return self.stored(self._undecided(merged.select("h", "g", total.alias("n_docs"))))
 
     def common_keys(self) -> DataFrame:
-        """All keys found in min_docs documents or more, as (h, g); closes the runs."""
-        left = [self._undecided(run) for level in self.levels for run in level]
-        if len(left) > 1:
-            self._merge(left)
-        elif left:
-            self.common.append(left[0].filter(F.col("n_docs") >= self.min_docs).select("h", "g"))
-        self.levels = [[]]
-        out = self.common[0]
-        for more in self.common[1:]:
-            out = out.unionByName(more)
-        return out
+        """All keys found in min_docs documents or more, as (h, g)."""
+        return reduce(DataFrame.unionByName, self.common)
 
 
 def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_key_chars: int = MIN_KEY_CHARS,
@@ -98,18 +124,28 @@ def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     long_enough = lambda k: F.char_length(k) >= min_key_chars
     keys = F.array_distinct(F.filter(line_keys(at[text]), long_enough))
     exploded = inner.select(row_key.alias("row_key"), F.explode(keys).alias("key")).select("row_key", key_hash(F.col("key")).alias("k")).select("row_key", "k.h", "k.g")
-    by_batch = exploded.groupBy(F.pmod(F.hash("row_key"), F.lit(batches)).alias("batch"), "h", "g").agg(F.count(F.lit(1)).alias("n_docs"))
-    stored = materialize(by_batch.sortWithinPartitions("batch", "h", "g"), "line_batches", ["batch"])
-    runs = LineRuns(min_docs, fan_out)
+    batch = F.pmod(F.hash("row_key"), F.lit(batches))
+    runs = LineRuns(docs.sparkSession, min_docs, fan_out)
+    counted = runs.stored(exploded.groupBy("h", "g").agg(*[F.count_if(batch == b).alias(f"batch_{b}") for b in range(batches)]))
     for b in range(batches):
-        runs.add(stored.filter(F.col("batch") == b).select("h", "g", "n_docs"))
-    common = materialize(runs.common_keys(), "common_lines")
-    hits = exploded.join(common, ["h", "g"]).groupBy("row_key").agg(F.collect_set(F.struct("h", "g")).alias("__hits"))
+        runs.add(counted.filter(F.col(f"batch_{b}") > 0).select("h", "g", F.col(f"batch_{b}").alias("n_docs")))
+    total = reduce(add, [F.col(f"batch_{b}") for b in range(batches)])
+    # How often each common line occurs tells the hot ones.
+    common = materialize(counted.select("h", "g", total.alias("rows")).hint("merge").join(runs.common_keys(), ["h", "g"]), "common_lines")
+    marked = F.transform(line_keys(at[text]), lambda k, i: F.struct(i.alias("i"), long_enough(k).alias("long"), key_hash(k).alias("k")))
+    lines = inner.select(row_key.alias("row_key"), F.explode(F.filter(marked, lambda x: x["long"])).alias("x")).select("row_key", "x.i", "x.k.h", "x.k.g")
+    hits = join_hot(lines, common.select("h", "g"), ["h", "g"], "row_key", counts=common).groupBy("row_key").agg(F.collect_set("i").alias("__gone"))
     hits = materialize(hits, "line_hits").withColumnRenamed("row_key", "__row_key")
     joined = inner.withColumn("__row_key", row_key).join(hits, "__row_key", "left")
-    lines, found = F.split(F.coalesce(at[text], F.lit("")), "\n"), F.col("__hits")
-    gone = F.transform(line_keys(at[text]), lambda k: long_enough(k) & F.array_contains(found, key_hash(k)))
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), gone.alias("gone")), lambda x: ~x["gone"]), lambda x: x["line"])
-    joined = joined.withColumn("__n", F.size(lines).cast("long")).withColumn("__kept", F.when(found.isNotNull(), kept))
-    out = [F.when(found.isNull(), F.coalesce(at[text], F.lit(""))).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text else at[c].alias(c) for c in columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*out, F.col("__n").alias("n_lines"), F.when(found.isNull(), F.lit(0)).otherwise(F.col("__n") - F.size("__kept")).cast("long").alias("n_dropped"))
+    every = F.split(F.coalesce(at[text], F.lit("")), "\n")
+    joined = joined.withColumn("__lines", every).withColumn("__stay", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"))
+    kept = F.array_join(F.transform("__stay", lambda i: F.get(F.col("__lines"), i)), "\n")
+    out = [F.when(F.col("__gone").isNull(), F.coalesce(at[text], F.lit(""))).otherwise(kept).alias(c) if c == text else at[c].alias(c) for c in columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*out, F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__lines") - F.size("__stay"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def keep_own_lines(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` without common lines, with the same columns."""
+    back = {c: f"__kept_{c}" for c in docs.columns if c in ("n_lines", "n_dropped")}
+    out = drop_common_lines(docs.withColumnsRenamed(back), **options).drop("n_lines", "n_dropped")
+    return out.withColumnsRenamed({v: k for k, v in back.items()}).select(*docs.columns)
