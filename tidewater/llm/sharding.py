@@ -1,14 +1,16 @@
 """Sharding by extendible hashing.
 
-A document's key is a 60-bit hash of its id, followed by 60 bits that tell equal ids apart. A shard is a prefix of that
-key. The directory starts with the empty prefix; a bucket that holds more than `limit` bytes splits on the next bit,
+A document's key is a 60-bit hash of its id, followed by 60 bits of a hash of its text, which tell equal ids apart. Rows
+that agree in both, and are too many bytes for one shard, are numbered and get 60 bits of a hash of that number instead.
+So the shards' sizes and members don't depend on how the table is partitioned. A shard is a prefix of the key. The directory starts with the empty prefix; a bucket that holds more than `limit` bytes splits on the next bit,
 and only such buckets split, until every bucket fits. A document that is larger than the limit by itself is a shard of
 its own.
 
 The directory is found from histograms: one aggregation counts bytes by the next STEP_BITS bits for the buckets that
 are still too large, and all splits within those bits follow from it. No task holds a bucket. DataFrame functions only.
 
-Defined cases: a null text has 0 bytes; null and equal ids are spread by their extra bits; an empty table has no shards.
+Defined cases: a null text has 0 bytes; a null id counts as an empty one, and ids that are equal as text are spread by
+their texts; an empty table has no shards.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.skew import number_equal_rows
 from tidewater.sources.work import materialize
 
 LIMIT_BYTES = 1 << 20
@@ -73,9 +76,15 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
     shard_id is "depth:prefix", or "one:" and the key for a document over the limit by itself.
     """
-    extra = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.monotonically_increasing_id()), 64 - HALF_BITS)
-    keys = docs.select(F.col(doc_id).alias("doc_id"), id_bits(F.col(doc_id)).alias("hi"), extra.alias("lo"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes"))
-    keys = materialize(keys, "shard_keys")  # from here on the extra bits stay the same
+    spare = lambda *what: F.shiftrightunsigned(F.xxhash64(*what), 64 - HALF_BITS)
+    keys = docs.select(F.col(doc_id).alias("doc_id"), id_bits(F.col(doc_id)).alias("hi"), spare(F.lit(5), F.col(text)).alias("lo"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes"))
+    keys = materialize(keys, "shard_keys")
+    heavy = materialize(keys.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all")).filter((F.col("n") > 1) & (F.col("all") > limit)).select("hi", "lo"), "heavy_keys")
+    n_heavy = heavy.count()
+    if n_heavy:  # each holds over `limit` bytes
+        heavy = F.broadcast(heavy) if n_heavy <= BROADCAST_SHARDS else heavy
+        numbered = number_equal_rows(keys.join(heavy, ["hi", "lo"], "left_semi"), ["hi", "lo"], "place").withColumn("lo", spare(F.lit(7), "lo", "place")).drop("place")
+        keys = materialize(keys.join(heavy, ["hi", "lo"], "left_anti").unionByName(numbered), "shard_keys")
     shared = keys.filter(F.col("bytes") <= limit)
     shards = _directory(shared.select("hi", "lo", "bytes"), limit)
     depths = [r[0] for r in shards.select("depth").distinct().collect()]  # at most 120 numbers
