@@ -70,6 +70,33 @@ def test_line_dedup(spark, odd_docs, batches, fan_out):
         assert got == drop_lines([(r["doc_id"], r["text"]) for r in f.collect()], m)
 
 
+def test_line_runs_take_later_batches(spark):
+    """Batches of counted keys, added one by one, settle as one count over all of them does."""
+    import random
+
+    rng, runs, whole = random.Random(3), line_dedup.LineRuns(spark, min_docs=6, fan_out=2), Counter()
+    for _ in range(5):
+        batch = Counter(rng.choices(range(60), k=40))
+        whole.update(batch)
+        runs.add(runs.stored(spark.createDataFrame(list(batch.items()), "h long, n_docs long").selectExpr("h", "cast(h % 3 as int) as g", "n_docs")))
+        assert {r["h"] for r in runs.common_keys().collect()} == {h for h, n in whole.items() if n >= 6}
+        assert runs.common_keys().count() == runs.common_keys().distinct().count()
+    assert sum(len(level) for level in runs.levels) == 2  # 5 batches at a fan-out of 2: runs on levels 0 and 2
+
+
+def test_line_runs_merge_without_a_shuffle(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=3)
+    one, two = (runs.stored(spark.range(k, 100 + k).selectExpr("id as h", "0 as g", "id % 4 as n_docs")) for k in (0, 50))
+    plan = one.hint("merge").join(two.select("h", "g"), ["h", "g"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_clashing_columns_stay(spark):
+    frame = spark.createDataFrame([(i, "common\nown", 7, "x") for i in range(12)], "doc_id long, text string, n_lines int, n_dropped string")
+    out = line_dedup.keep_own_lines(frame)
+    assert out.columns == frame.columns and {tuple(r)[1:] for r in out.collect()} == {("", 7, "x")}
+
+
 def test_line_dedup_empty(no_docs):
     out = line_dedup.drop_common_lines(no_docs)
     assert out.count() == 0 and out.columns == [*no_docs.columns, "n_lines", "n_dropped"]
@@ -96,6 +123,13 @@ def test_sharding_hot_and_large(spark, odd_docs, no_docs):
     assert sharding.assign_shards(odd_docs).count() == odd_docs.count() and sharding.assign_shards(no_docs).count() == 0
 
 
+def test_shards_do_not_follow_the_partitioning(spark):
+    rows = [(7, "y" * 50)] * 200 + [(7, "z" * 40)] * 3 + [(1, "z" * 5000)] * 2 + [(i, "w" * i) for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    got = [Counter(tuple(r) for r in sharding.assign_shards(frame.repartition(n), limit=1000).collect()) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and sum(got[0].values()) == len(rows)
+
+
 def longest_common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -105,6 +105,10 @@ def host_verdicts(judged: DataFrame, host: str, max_host_rate: float = MAX_HOST_
     """
     hosts = judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    return _judged_hosts(hosts, max_host_rate)
+
+
+def _judged_hosts(hosts: DataFrame, max_host_rate: float) -> DataFrame:
     n, k = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     whole = hosts.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("h"), F.sum(k).alias("f"), F.sum(k * k / n).alias("square")).first()  # one row
     mean, weight = beta_prior(whole["n"] or 0.0, whole["h"], whole["f"] or 0.0, whole["square"] or 0.0)
@@ -137,12 +141,17 @@ def apply_quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 
 def keep_good_documents(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of `docs` that pass, with all their columns and nothing else."""
+    """The rows of `docs` that pass, with all their columns and nothing else.
+
+    Texts are scanned once: rows that pass the base rules are stored, and a host's failures are its rows without them.
+    """
     columns = docs.columns
     inner = docs.toDF(*[f"__c{i}" for i in range(len(columns))])
     at = {c: f"__c{i}" for i, c in enumerate(columns)}
-    plain = with_counts(inner.select(F.col(at[host]).alias("__host"), F.col(at[text]).alias("__t")), ["__host"], "__t")
-    bad = _rejected_hosts(plain.withColumn("base_failed", base_failed()), "__host", max_host_rate)
-    judged = with_counts(inner, inner.columns, at[text]).filter(~base_failed())
-    kept = judged.join(bad, F.col(at[host]) == F.col("__bad"), "left_anti").select(*inner.columns)
+    good = materialize(with_counts(inner, inner.columns, at[text]).filter(~base_failed()).select(*inner.columns), "base_passed")
+    hosts = inner.select(F.col(at[host]).alias("__host"), F.lit(1).alias("all"), F.lit(0).alias("good")).unionByName(good.select(F.col(at[host]).alias("__host"), F.lit(0).alias("all"), F.lit(1).alias("good")))
+    hosts = hosts.filter(F.col("__host").isNotNull()).groupBy(F.col("__host").alias("host")).agg(F.sum("all").alias("n_docs"), (F.sum("all") - F.sum("good")).alias("n_failed"))
+    bad = materialize(_judged_hosts(hosts, max_host_rate).filter("host_rejected").select(F.col("host").alias("__bad")), "rejected_hosts")
+    n = bad.count()
+    kept = good.join(F.broadcast(bad) if n <= BROADCAST_HOSTS else bad, F.col(at[host]) == F.col("__bad"), "left_anti") if n else good
     return kept.toDF(*columns)
