@@ -134,3 +134,50 @@ def test_embeddings_edge_cases(spark):
     links = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in out)
     assert links == sorted([(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (11, 3, 1, False), (0, 0, 0, True), *[(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 12)]])
     assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_strays_among_many_copies_stay_linear(spark, monkeypatch):
+    """A stray is compared with each block of the copies; blocks of the copies are not compared with each other."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 10)
+    placed = spark.createDataFrame([(1, c, 5, 7) for c in range(1000)] + [(1, 5000, 5, 5000), (1, 5001, 5, 5001)], "bucket long, c long, n long, comp long")
+    tasks = minhash_dedup._compared(placed).collect()
+    assert len(tasks) <= 1000 + 2 * 101 + 2 and {r["c"] for r in tasks} == {*range(1000), 5000, 5001}
+    sides = {}
+    for r in tasks:
+        sides.setdefault(r["task"], set()).add(r["comp"])
+    assert all(s != {7} for s in sides.values())
+
+
+def test_links_across_blocks_of_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ELEMENTS", 300)
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{i}" for i in range(50)], []
+    for _ in range(120):
+        words = list(base)
+        for p in rng.integers(0, 50, rng.integers(0, 6)):
+            words[p] = f"z{rng.integers(1 << 30)}"
+        rows.append((len(rows), " ".join(words)))
+    want, _ = brute(rows, 2)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    assert got == want
+
+
+def test_hot_joins(spark, monkeypatch):
+    from tidewater.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST_ROWS", 5)
+    left = spark.createDataFrame([(1, i) for i in range(500)] + [(k, k) for k in range(2, 40)] + [(None, 3)], "k int, x int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 30)], "k int, y string")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, skew.join_hot(left, right, ["k"], "x", how).select("k", "x", "y").collect()), key=repr)
+        assert got == sorted(map(tuple, left.join(right, "k", how).select("k", "x", "y").collect()), key=repr)
+
+
+def test_equal_rows_are_numbered(spark, monkeypatch):
+    from tidewater.llm import skew
+
+    monkeypatch.setattr(skew, "CELL_BITS", 3)
+    rows = spark.createDataFrame([("a", None)] * 100 + [("b", 1)] * 3 + [(None, None)] * 20, "x string, y int").repartition(3)
+    got = [(r["x"], r["n"]) for r in skew.number_equal_rows(rows, ["x", "y"], "n").collect()]
+    assert sorted(got, key=repr) == sorted([("a", i) for i in range(100)] + [("b", i) for i in range(3)] + [(None, i) for i in range(20)], key=repr)

@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star steps (Kiveris et al., 2014): every step points neighbours at the smallest
 neighbour, until the edges are stars around each component's smallest node. Each round is stored as a table in the
-shared folder. Nothing but the round's count and checksum reaches the driver.
+shared folder. Nothing but the round's count and checksum, and the few nodes with very many neighbours, reach the driver.
+More than MAX_ROUNDS rounds (the number grows with the logarithm of a component's size) are an error.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.skew import join_hot
 from tidewater.sources.work import materialize
 
 MAX_ROUNDS = 60
@@ -30,12 +32,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = _fingerprint(now)
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows")).withColumn("m", F.least("u", "m")), "least")
         # Large star: larger neighbours of u point at u's least neighbour.
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_hot(both, least.select("u", "m"), ["u"], "v", counts=least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.distinct(), "large_star")
         # Small star: u and its neighbours, all smaller now, point at the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows")), "least")
+        small = join_hot(large, least.select("u", "m"), ["u"], "v", counts=least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         before, mark = mark, _fingerprint(now)
         if mark == before:

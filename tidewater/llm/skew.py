@@ -16,23 +16,28 @@ SHARES, LEAST_ROWS = 128, 1000
 CELL_BITS = 15
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """`left` joined with `right`, which has one row for each `key`.
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """`left` joined with `right`, which has one row for each value of `keys`.
 
     The rows of a hot key are dealt by a hash of the column `spread` to as many parts as it takes, and the key's row of
-    `right` is repeated for each part. The hot keys, at most SHARES rows, are all that is sent to the driver. `left` is
-    read twice: it should be a stored table. `how` is inner or left.
+    `right` is repeated for each part. The hot keys, at most SHARES rows, are all that is sent to the driver. `counts`
+    (stored; keys and a column rows) tells how many rows of `left` have each key; without it they are counted, and `left`
+    should be a stored table. `how` is inner or left.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col(key).isNotNull())
-    total = left.agg(F.count(F.lit(1))).first()[0]
-    limit = max(LEAST_ROWS, total // SHARES)
-    hot = counts.filter(F.col("__rows") > limit).select(F.col(key).alias("__hot"), F.ceil(F.col("__rows") / limit).cast("int").alias("__parts")).collect()  # at most SHARES rows
-    if not hot:
-        return left.join(right, key, how)
-    parts = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(F.col(key).alias("__hot"), F.lit(1).alias("__parts")).schema))
-    dealt = left.join(parts, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.coalesce(F.pmod(F.hash(spread), F.col("__parts")), F.lit(0))).drop("__hot", "__parts")
-    repeated = right.join(parts, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0))))).drop("__hot", "__parts")
-    return dealt.join(repeated, [key, "__part"], how).drop("__part")
+    if counts is None:
+        counts = materialize(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "key_counts")
+    whole = counts.agg(F.sum("rows").alias("all"), F.max("rows").alias("most")).first()
+    limit = max(LEAST_ROWS, (whole["all"] or 0) // SHARES)
+    if (whole["most"] or 0) <= limit:
+        return left.join(right, keys, how)
+    names = {k: f"__hot_{i}" for i, k in enumerate(keys)}
+    hot = counts.filter(F.col("rows") > limit).select(*[F.col(k).alias(n) for k, n in names.items()], F.ceil(F.col("rows") / limit).cast("int").alias("__parts"))
+    rows = hot.collect()  # at most SHARES
+    parts = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
+    on = [F.col(k) == F.col(n) for k, n in names.items()]
+    dealt = left.join(parts, on, "left").withColumn("__part", F.coalesce(F.pmod(F.hash(spread), F.col("__parts")), F.lit(0))).drop("__parts", *names.values())
+    repeated = right.join(parts, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0))))).drop("__parts", *names.values())
+    return dealt.join(repeated, [*keys, "__part"], how).drop("__part")
 
 
 def number_equal_rows(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
