@@ -31,15 +31,34 @@ def _edges(rows: pa.Table, by: list[str]) -> list[int]:
     return (np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1).tolist()
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-    """Numbers of those edges (a, b) over n nodes that make up a spanning forest."""
-    parent, out = list(range(n)), []
-    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        while parent[j] != j:
-            parent[j] = j = parent[parent[j]]
-        if i != j:
-            parent[i] = j
-            out.append(k)
-    return out
+def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that the edges (a, b) connect it with."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def pairs_between(start: np.ndarray, split: np.ndarray, end: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for all i in start:split and j in split:end of each group, and all i < j where split is start; at most
+    about `most` pairs at a time (or those of one row).
+    """
+    rows = np.where(split > start, split - start, end - start)
+    left = np.repeat(np.arange(len(start)), rows)
+    within = np.arange(len(left)) - np.repeat(np.cumsum(rows) - rows, rows)
+    i = start[left] + within
+    first = np.where(split[left] > start[left], split[left], i + 1)
+    count = end[left] - first
+    done = np.concatenate([[0], np.cumsum(count)])
+    lo = 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + most, side="right")) - 1)
+        n = count[lo:hi]
+        yield np.repeat(i[lo:hi], n), np.arange(done[hi] - done[lo]) - np.repeat(done[lo:hi] - done[lo], n) + np.repeat(first[lo:hi], n)
+        lo = hi
