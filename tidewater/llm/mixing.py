@@ -160,7 +160,7 @@ def route(patterns: dict[tuple, int], quotas: dict[object, int], max_repeats: in
 
 def _attach(left: DataFrame, right: DataFrame, key: str, spread: str, n: int) -> DataFrame:
     """`left` (stored) joined with the n rows of `right`."""
-    return left.join(F.broadcast(right), key) if n <= BROADCAST_PATTERNS else join_hot(left, right, key, spread)
+    return left.join(F.broadcast(right), key) if n <= BROADCAST_PATTERNS else join_hot(left, right, [key], spread)
 
 
 def take_near(sizes: np.ndarray, copies: np.ndarray, wanted: int) -> np.ndarray:
@@ -323,12 +323,12 @@ def mix(docs: DataFrame, members: str, weights: dict[object, float] | None = Non
     if n <= BROADCAST_PATTERNS:
         items = narrow.join(F.broadcast(key), same)
     else:
-        items = join_hot(narrow.withColumn("__key", F.xxhash64("__pattern")), key, "__key", "__u").filter(F.col("__pattern").eqNullSafe(F.col("__p")))
+        items = join_hot(narrow.withColumn("__key", F.xxhash64("__pattern")), key, ["__key"], "__u").filter(F.col("__pattern").eqNullSafe(F.col("__p")))
     items = materialize(items.select("__pid", "__u", "size", "copies"), "mix_items")
     chosen = plan.join(_choose(items, plan, n), "__pid", "left").select(F.xxhash64("__p").alias("__key"), "__p", "__full", "__cut", "__picks", "__drops", "__partial")
     chosen = materialize(chosen, "mix_chosen")
     keyed = sized.withColumn("__key", F.xxhash64("__pattern"))
-    placed = keyed.join(F.broadcast(chosen), "__key", "left") if n <= BROADCAST_PATTERNS else join_hot(keyed, chosen, "__key", "__u", "left")
+    placed = keyed.join(F.broadcast(chosen), "__key", "left") if n <= BROADCAST_PATTERNS else join_hot(keyed, chosen, ["__key"], "__u", "left")
     placed = placed.withColumn("__m", F.get(F.filter("__partial", lambda x: x["u"] == F.col("__u")), F.lit(0))["m"])
     once = ((F.col("__u") <= F.col("__cut")) & ~F.array_contains("__drops", F.col("__u"))) | F.array_contains("__picks", F.col("__u"))
     if chosen.filter(F.size("__partial") > 0).head(1):  # some of several equal rows are taken
