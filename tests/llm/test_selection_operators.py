@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -113,6 +114,11 @@ def reference_tokenizer():
     return t
 
 
+@functools.cache
+def rank_tokens():
+    return packing.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 ODD = ["", " ", "  a", "a  b", " a", "a ", "a\n b", "a \nb", "é ö", "x  y", "x  y", "  q", "q  ", "don't 12 3.4", "<|endoftext|> x", "a\u0085 b", "日本 語 x", "\x1c a \x1f b", "a b\n", "tab\t x", "é e"]
 
 
@@ -127,7 +133,19 @@ def test_tokens_are_the_vocabularys(reference_tokenizer, docs, kind):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab é \n\t.'1 ", max_size=12), min_size=1, max_size=5))
 def test_tokens_of_any_text(reference_tokenizer, texts):
-    tokens = packing.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokens = rank_tokens()
+    got = [ids.tolist() for c in chunks(pa.array(texts)) for ids in tokens(c)]
+    assert got == [e.ids for e in reference_tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+SPACES = " \t\n\r\x0b\x0c\x1c\x1f\x85\u00a0\u1680\u2000\u2009\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(SPACES), st.sampled_from("abé漢字かな한🙂👩‍👩‍👧\u0301\u093f1٣½'s.-_<|>"), st.characters(exclude_categories=["Cs"])), max_size=25), min_size=1, max_size=4))
+def test_tokens_of_any_unicode(reference_tokenizer, texts):
+    tokens = rank_tokens()
+    assert packing.LOOK_AHEAD in public_tokenizers.PATTERN
     got = [ids.tolist() for c in chunks(pa.array(texts)) for ids in tokens(c)]
     assert got == [e.ids for e in reference_tokenizer.encode_batch(texts, add_special_tokens=False)]
 

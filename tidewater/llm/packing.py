@@ -1,6 +1,7 @@
 """Packing documents into sequences of a fixed number of tokens.
 
-Documents are dealt at random (by a hash) to partitions and there, in the order of that hash, to groups of bounded size.
+Documents are dealt at random to partitions (by a hash of id, text and input partition, so that a row that is repeated
+very often isn't dealt to one task) and there, in the order of that hash, to groups of bounded size.
 In a group every document gives full sequences first; the remainders are packed first-fit in decreasing size. A
 tournament tree over the bins' free room finds the first bin that fits in logarithmic time. What padding is then left
 is filled by dissolving the emptiest bins: their pieces are cut to fit the room in the others, until the group has at
@@ -15,6 +16,7 @@ each on their own. An empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,18 +32,15 @@ WIDTH, END_ID = 2048, 1
 #: Tokens of a group at which it is closed, and the padding that cutting may leave.
 GROUP_TOKENS, MAX_WASTE = 2_000_000, 0.002
 SEED = 23
-#: Different parts of texts whose ids a task remembers.
-MEMO_PARTS = 600_000
 
 
 class Tokens:
     """Ids of texts under a byte-level BPE vocabulary: a tokenizers .json file, or the same as .tiktoken ranks.
 
-    The pattern of these vocabularies always starts a piece at a single space whose neighbours are not white space, so a
-    text is cut there and its ids are those of the parts. Each different part of a chunk is tokenized once and
-    remembered under its 64-bit hash; the rest is gathering by numpy. Spaces beside anything that could be white space
-    are not cut at. `pattern` is needed for ranks. `added` names tokens that stand for their literal text, with their ids
-    (without white space); without it such texts are tokenized as any other. A vocabulary of over 65,536 ids is refused.
+    `pattern` cuts texts into the pieces of ranks. Its part for runs of white space looks ahead, which makes matching
+    slow; in a text without two white-space characters in a row that part matches nothing that the last part would not
+    match as well, so such texts are cut without it. `added` names tokens that stand for their literal text, with their
+    ids; without it such texts are tokenized as any other.
     """
 
     def __init__(self, path: str, pattern: str | None = None, added: dict[str, int] | None = None):
@@ -49,75 +48,26 @@ class Tokens:
         if path.endswith(".tiktoken"):
             import tiktoken
 
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={token: i for token, i in ranks.items() if i not in added.values()}, special_tokens=added)
-            self.encode = lambda text: own.encode(text, allowed_special="all") if any(token in text for token in added) else own.encode_ordinary(text)
-            spaced, top = [i for token, i in ranks.items() if token[:1] == b" "], max([*ranks.values(), *added.values()])
+            with open(path, "rb") as file:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+            ranks = {token: i for token, i in ranks.items() if i not in added.values()}
+            whole, plain = (tiktoken.Encoding("own", pat_str=cut, mergeable_ranks=ranks, special_tokens=added) for cut in (pattern, pattern.replace(LOOK_AHEAD, "")))
+            self.encode = lambda text: (whole if TWO_SPACES.search(text) else plain).encode_to_numpy(text, allowed_special="all", disallowed_special=())
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = not added
-            vocabulary = tokenizer.get_vocab()
-            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-            spaced, top = [i for token, i in vocabulary.items() if token[:1] == "\u0120"], max(vocabulary.values())
-        if top > 0xFFFF:
-            raise ValueError("the vocabulary has more than 65,536 ids")
-        self.spaced = np.zeros(top + 1, bool)
-        self.spaced[spaced] = True
-        self.memo: dict[int, bytes] = {}
-
-    def _learn(self, keys: list[int], parts: list[bytes]) -> None:
-        # Plain parts follow each other in one text; each has one id that starts with a space, its first.
-        plain = [i for i, part in enumerate(parts) if part[0] == 0x20 and len(part) > 1 and part[-1] > 0x20 and not part[1:].translate(None, _PLAIN)]
-        ids = np.array(self.encode(b"".join(parts[i] for i in plain).decode()), "<u2")
-        starts = 2 * np.flatnonzero(self.spaced[ids])
-        if len(starts) == len(plain):
-            raw = ids.tobytes()
-            bounds = [*starts.tolist(), len(raw)]
-            self.memo.update((keys[i], raw[a:b]) for i, a, b in zip(plain, bounds, bounds[1:], strict=False))
-        for key, part in zip(keys, parts, strict=True):
-            if key not in self.memo:
-                self.memo[key] = np.array(self.encode(part.decode()), "<u2").tobytes()
+            self.encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, chunk: Chunk) -> list[np.ndarray]:
         """The ids of each row of a chunk."""
-        data, n = chunk.data, len(chunk.data)
-        if not n:
-            return [np.zeros(0, np.uint16)] * chunk.rows
-        cut = np.flatnonzero(data == 0x20)
-        cut = cut[(cut > 2) & (cut < n - 1)]
-        before, after = data[cut - 1], data[cut + 1]
-        fine = _SURE[before] & _SURE[after] & ((before < 0x80) | ((data[cut - 2] != 0xC2) & _SURE[data[np.maximum(cut - 3, 0)]]))
-        first = chunk.offsets[:-1][np.diff(chunk.offsets) > 0]
-        start = np.union1d(cut[fine], first)
-        # A space at the edge of a text belongs to the text's first or last part.
-        edge = np.zeros(n, bool)
-        edge[chunk.offsets[1:][chunk.offsets[1:] > 0] - 1] = True
-        start = start[~edge[start] | np.isin(start, first)]
-        end = np.append(start[1:], n)
-        keys, at, which = np.unique(chunk.hash_spans(chunk.prefix_hash(lower=False), start, end), return_index=True, return_inverse=True)
-        if len(self.memo) > MEMO_PARTS:
-            self.memo = {}
-        names = keys.tolist()
-        new = [i for i, k in enumerate(names) if k not in self.memo]
-        raw, at = data.tobytes(), at[new]
-        self._learn([names[i] for i in new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-        found = list(map(self.memo.__getitem__, names))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
-        flat, offset = np.frombuffer(b"".join(found), "<u2"), np.cumsum(sizes) - sizes
-        length = sizes[which]
-        done = np.cumsum(length)
-        ids = flat[np.arange(done[-1]) + np.repeat(offset[which] - (done - length), length)]
-        bounds = np.concatenate([[0], done])[np.searchsorted(start, chunk.offsets)]
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-#: Bytes beside which a space is cut at: none up to the space, and no first byte of a character that may be white space.
-_SURE = np.ones(256, bool)
-_SURE[:0x21] = False
-_SURE[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
-_PLAIN = bytes(i for i in range(256) if i != 0x20 and i not in (0xC2, 0xE1, 0xE2, 0xE3))
+        raw, bounds = chunk.data.tobytes(), chunk.offsets.tolist()
+        return [self.encode(raw[a:b].decode()) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+LOOK_AHEAD = r"\s+(?!\S)|"
+TWO_SPACES = re.compile(r"\s\s")
 
 
 class BinTree:
@@ -199,7 +149,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str | None = None, doc_id: s
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"]
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]) + (", ids binary" if with_ids else "")
     names += ["ids"] * with_ids
-    deal = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
+    deal = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), F.spark_partition_id())
     dealt = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), deal.alias("deal"))
     dealt = dealt.repartition("deal").sortWithinPartitions("deal", "doc_id").select("doc_id", "text")
 
@@ -228,7 +178,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str | None = None, doc_id: s
             owner_type = batch.schema.field(0).type
             for c in chunks(batch.column(1)):
                 for owner, found in zip(batch.column(0).slice(c.lo, c.rows).to_pylist(), tokens(c), strict=True):
-                    ids.append(np.append(found, np.uint16(end_id)))
+                    ids.append(np.append(found, np.uint32(end_id)))
                     owners.append(owner)
                     held += len(ids[-1])
                     if held >= group_tokens:
