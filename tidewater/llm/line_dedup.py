@@ -136,7 +136,8 @@ def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     lines = inner.select(row_key.alias("row_key"), F.explode(F.filter(marked, lambda x: x["long"])).alias("x")).select("row_key", "x.i", "x.k.h", "x.k.g")
     hits = join_hot(lines, common.select("h", "g"), ["h", "g"], "row_key", counts=common).groupBy("row_key").agg(F.collect_set("i").alias("__gone"))
     hits = materialize(hits, "line_hits").withColumnRenamed("row_key", "__row_key")
-    joined = inner.withColumn("__row_key", row_key).join(hits, "__row_key", "left")
+    # The hits grow with the documents: they are merged, and never broadcast, at any size.
+    joined = inner.withColumn("__row_key", row_key).join(hits.hint("merge"), "__row_key", "left")
     every = F.split(F.coalesce(at[text], F.lit("")), "\n")
     joined = joined.withColumn("__lines", every).withColumn("__stay", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"))
     kept = F.array_join(F.transform("__stay", lambda i: F.get(F.col("__lines"), i)), "\n")
