@@ -134,7 +134,7 @@ def benjamini_yekutieli(df: DataFrame, group: list[str], p: str, adjusted: str =
     raw = join_groups(at, whole.withColumn("h", harmonic), group).withColumn("__raw", F.col(p) * F.col("m") * F.col("h") / (F.col("before_n") + F.col("n")))
     later = Window.partitionBy(*group).orderBy(F.col(p)).rowsBetween(0, Window.unboundedFollowing)  # distinct p-values of one family of tests
     done = raw.withColumn(adjusted, F.least(F.min("__raw").over(later), F.lit(1.0))).select(*group, p, adjusted)
-    return df.join(done, [*group, p], "left")
+    return join_groups(df, done, [*group, p], "left")
 
 
 def placements(df: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
@@ -145,7 +145,7 @@ def placements(df: DataFrame, group: list[str], label: str, score: str) -> DataF
     over_neg = (F.col("before_neg") + F.col("neg") / 2) / F.nullif(F.col("n_neg"), F.lit(0))
     under_pos = (F.col("n_pos") - F.col("before_pos") - F.col("pos") / 2) / F.nullif(F.col("n_pos"), F.lit(0))
     at = at.select(*group, score, over_neg.alias("__v10"), under_pos.alias("__v01"))
-    return df.join(at, [*group, score]).withColumn("placement", F.when(F.col(label) == 1, F.col("__v10")).otherwise(F.col("__v01"))).drop("__v10", "__v01")
+    return join_groups(df, at, [*group, score]).withColumn("placement", F.when(F.col(label) == 1, F.col("__v10")).otherwise(F.col("__v01"))).drop("__v10", "__v01")
 
 
 def delong_paired(df: DataFrame, group: list[str], key: str, label: str, method: str, score: str, one: str, two: str) -> DataFrame:
@@ -154,7 +154,7 @@ def delong_paired(df: DataFrame, group: list[str], key: str, label: str, method:
     wide = both.groupBy(*group, key).agg(F.max(label).alias("y"), F.max(F.when(F.col(method) == one, F.col(score))).alias("s1"), F.max(F.when(F.col(method) == two, F.col(score))).alias("s2")).filter("s1 is not null and s2 is not null")
     first = placements(wide, group, "y", "s1").withColumnRenamed("placement", "v1")
     second = placements(wide.select(*group, key, "y", "s2"), group, "y", "s2").select(*group, key, F.col("placement").alias("v2"))
-    by_class = first.join(second, [*group, key]).groupBy(*group, "y").agg(F.count(F.lit(1)).alias("n"), F.avg("v1").alias("a1"), F.avg("v2").alias("a2"), (F.var_samp("v1") + F.var_samp("v2") - 2 * F.covar_samp("v1", "v2")).alias("s"))
+    by_class = join_groups(first, second, [*group, key]).groupBy(*group, "y").agg(F.count(F.lit(1)).alias("n"), F.avg("v1").alias("a1"), F.avg("v2").alias("a2"), (F.var_samp("v1") + F.var_samp("v2") - 2 * F.covar_samp("v1", "v2")).alias("s"))
     out = by_class.groupBy(*group).agg(F.max(F.when(F.col("y") == 1, F.col("a1"))).alias("auc_1"), F.max(F.when(F.col("y") == 1, F.col("a2"))).alias("auc_2"), F.sum(F.col("s") / F.col("n")).alias("variance"))
     return out.withColumn("z", (F.col("auc_1") - F.col("auc_2")) / F.nullif(F.sqrt("variance"), F.lit(0.0)))
 
@@ -176,7 +176,7 @@ def density_on_grid(df: DataFrame, group: list[str], value: str, points: int = 5
     counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     span = df.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), (F.stddev_samp(value) * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("h"))
     grid = span.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / (points - 1))
-    near = grid.join(counted, group).withColumn("k", F.col("n") * F.exp(-F.pow((F.col("x") - F.col(value)) / F.nullif(F.col("h"), F.lit(0.0)), F.lit(2.0)) / 2))
+    near = join_groups(grid, counted, group).withColumn("k", F.col("n") * F.exp(-F.pow((F.col("x") - F.col(value)) / F.nullif(F.col("h"), F.lit(0.0)), F.lit(2.0)) / 2))
     out = near.groupBy(*group, "step", "x").agg(F.sum("k").alias("k"))
     return out.withColumn("density", F.col("k") / F.max("k").over(Window.partitionBy(*group))).drop("k")
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.ranks import prefix_totals
+from tidewater.operators.ranks import join_groups, prefix_totals
 
 _EPSILON = 2.220446049250313e-16
+#: Bins of scores per group in a bootstrap, and rows whose draws are held at once.
+BOOT_BINS, ROWS_AT_ONCE = 64, 2000
 
 
 def auc(df: DataFrame, group: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
@@ -48,17 +56,92 @@ def concordance(x: str, y: str) -> Column:
     return 2 * F.covar_pop(x, y) / F.nullif(F.var_pop(x) + F.var_pop(y) + gap * gap, F.lit(0.0))
 
 
+#: Modulus and multipliers of the draws, and the cumulative Poisson(1) probabilities they are held against.
+PRIME, KEY_FACTOR, REP_FACTOR, SEED_FACTOR = 2_147_483_647, 48_271, 69_621, 7_919
+POISSON_STEPS = (0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182, 0.999916758850, 0.999989750803)
+
+
+def key_number(key: Column) -> Column:
+    """A number below PRIME from a key of any type."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 13), 16, 10).cast("long") % PRIME
+
+
+def draws(key: np.ndarray, rep: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) numbers for key numbers and replicates: a hash with two squarings, so that keys keep no relation over replicates."""
+    x = (key * KEY_FACTOR + (rep + 1) * REP_FACTOR + seed * SEED_FACTOR) % PRIME
+    x = (x * x + key) % PRIME
+    x = (x * x + rep) % PRIME
+    return np.searchsorted(POISSON_STEPS, x / PRIME, side="right").astype(np.int32)
+
+
+def draws_sql(rows: str, key: str, reps: int, seed: int) -> str:
+    """The same draws as a table (key, rep, w) in DuckDB's SQL, from a table `rows` with the column `key`."""
+    steps = " + ".join(f"(x / {PRIME}::DOUBLE >= {s})::INT" for s in POISSON_STEPS)
+    first = f"SELECT {key}, k, rep, (k * {KEY_FACTOR} + (rep + 1) * {REP_FACTOR} + {seed * SEED_FACTOR}) % {PRIME} AS x FROM (SELECT DISTINCT {key}, ('0x' || substr(md5({key}::VARCHAR), 1, 13))::BIGINT % {PRIME} AS k FROM {rows}), (SELECT unnest(range(0, {reps})) AS rep)"
+    second = f"SELECT {key}, k, rep, (x * x + k) % {PRIME} AS x FROM ({first})"
+    return f"SELECT {key}, rep, {steps} AS w FROM (SELECT {key}, rep, (x * x + rep) % {PRIME} AS x FROM ({second}))"
+
+
 def bootstrap_counts(df: DataFrame, key: str, reps: int, seed: int = 0) -> DataFrame:
     """Each row once per replicate with a Poisson(1) number of draws `w` from a hash of (key, replicate); zeros are left out.
 
     Rows with the same key get the same draws, so methods compared on the same patients are resampled together. Nothing
     is counted or ordered, so a replicate costs one pass and the plan is the same at any size.
     """
-    u = F.pmod(F.crc32(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col(key).cast("string")).cast("binary")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    steps, mass, total = [], 0.36787944117144233, 0.0  # e^-1 and the cumulative Poisson probabilities from it
-    for k in range(8):
-        total += mass
-        mass /= k + 1
-        steps.append(total)
-    draws = sum((u >= F.lit(round(s, 12))).cast("int") for s in steps)
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", draws).filter("w > 0")
+    rows = df.withColumn("__k", key_number(F.col(key))).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+    rows = rows.withColumn("__x", (F.col("__k") * KEY_FACTOR + (F.col("rep") + 1) * REP_FACTOR + seed * SEED_FACTOR) % PRIME)
+    rows = rows.withColumn("__x", (F.col("__x") * F.col("__x") + F.col("__k")) % PRIME)
+    rows = rows.withColumn("__x", (F.col("__x") * F.col("__x") + F.col("rep")) % PRIME)
+    u = F.col("__x") / PRIME
+    w = reduce(add, [(u >= s).cast("int") for s in POISSON_STEPS])
+    return rows.withColumn("w", w).filter("w > 0").drop("__k", "__x")
+
+
+def bootstrap_auc(df: DataFrame, group: list[str], key: str, label: str, score: str, reps: int, seed: int = 0) -> DataFrame:
+    """(group, rep, auc) of Poisson bootstrap replicates; the draws are those of bootstrap_counts().
+
+    A row is not repeated for each replicate: a batch of rows becomes, per (group, score), two arrays with the drawn
+    positives and negatives of every replicate. These are added up within bins of scores (at quantiles, as in
+    prefix_totals), and a group's few bins give the areas by running sums over whole arrays.
+    """
+    known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*group, key_number(F.col(key)).alias("k"), F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
+    cuts = known.groupBy(*group).agg(F.percentile_approx("s", [i / BOOT_BINS for i in range(1, BOOT_BINS)], 1000).alias("cuts"))
+    rows = join_groups(known, cuts, group).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
+    schema = known.select(*group).schema
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in schema.fields)
+    number = np.arange(reps, dtype=np.int64)
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[lo : lo + ROWS_AT_ONCE]
+                keys, place = np.unique(part["k"].to_numpy(), return_inverse=True)
+                w = draws(keys[:, None], number[None, :], seed)[place]
+                y = part["y"].to_numpy()[:, None]
+                at = part.groupby([*group, "bin", "s"], dropna=False, sort=False).ngroup().to_numpy()
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
+                pos, neg = (np.add.reduceat((w * side)[order], first, axis=0) for side in (y, 1 - y))
+                yield part.iloc[order[first]][[*group, "bin", "s"]].assign(pos=list(pos), neg=list(neg))
+
+    def in_bin(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("s")
+        scores, place = np.unique(rows["s"].to_numpy(), return_inverse=True)
+        pos, neg = (np.zeros((len(scores), reps)) for _ in range(2))
+        np.add.at(pos, place, np.stack(rows["pos"].to_numpy()))
+        np.add.at(neg, place, np.stack(rows["neg"].to_numpy()))
+        below = np.cumsum(neg, axis=0) - neg
+        return rows.iloc[:1][[*group, "bin"]].assign(pos=[pos.sum(axis=0)], neg=[neg.sum(axis=0)], area=[(pos * (below + neg / 2)).sum(axis=0)])
+
+    def whole(_: tuple, bins: pd.DataFrame) -> pd.DataFrame:
+        bins = bins.sort_values("bin")
+        pos, neg, area = (np.stack(bins[c].to_numpy()) for c in ("pos", "neg", "area"))
+        total = (area + pos * (np.cumsum(neg, axis=0) - neg)).sum(axis=0)
+        pairs = pos.sum(axis=0) * neg.sum(axis=0)
+        out = pd.DataFrame({"rep": number, "auc": np.where(pairs > 0, total / np.where(pairs > 0, pairs, 1), np.nan)})
+        return out.assign(**{c: bins[c].iloc[0] for c in group})[[*group, "rep", "auc"]]
+
+    counted = rows.mapInPandas(drawn, f"{fields}bin int, s double, pos array<int>, neg array<int>")
+    sums = counted.groupBy(*group, "bin").applyInPandas(in_bin, f"{fields}bin int, pos array<double>, neg array<double>, area array<double>")
+    found = sums.groupBy(*group).applyInPandas(whole, f"{fields}rep long, auc double")
+    return found.withColumn("auc", F.nanvl("auc", F.lit(None).cast("double")))

@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.ranks import join_groups, prefix_totals
+
 
 def with_group_stats(df: DataFrame, group: Sequence[str], stats: dict[str, Column]) -> DataFrame:
     """Aggregates of each group beside its rows. They combine before the shuffle and are joined back, so that a hot group
-    is no single task, as it would be in a window.
+    is no single task, as it would be in a window. Rows with null in a group column are a group as well.
     """
     if not group:
         return df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in stats.items()])))
-    return df.join(df.groupBy(*group).agg(*[c.alias(n) for n, c in stats.items()]), list(group))
+    return join_groups(df, df.groupBy(*group).agg(*[c.alias(n) for n, c in stats.items()]), list(group))
 
 
 def zscore(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
@@ -47,8 +49,6 @@ def factorise(df: DataFrame, value: str, order: str, out: str) -> DataFrame:
     The distinct values' places come from a count of earlier first appearances, taken from range-partitioned counts, not
     from a window over all of them.
     """
-    from tidewater.operators.ranks import prefix_totals
-
     first = df.groupBy(value).agg(F.min(order).alias("__first"))
     place = prefix_totals(first, [], "__first", {"__n": F.count(F.lit(1))}).select("__first", F.col("before___n").alias(out))
     return df.join(first.join(place, "__first").select(value, out), value)
@@ -79,8 +79,6 @@ def thin_by_gap(df: DataFrame, key: str, time: str, tie: str, seconds: int) -> D
 
 def contiguous_parts(df: DataFrame, order: str, n: int, out: str = "part") -> DataFrame:
     """n parts that follow each other in order, the first count % n of them longer by one; places by range-wise counts."""
-    from tidewater.operators.ranks import prefix_totals
-
     place = prefix_totals(df, [], order, {"__n": F.count(F.lit(1))}).select(order, F.col("before___n").alias("__i"))
     rows = df.join(place, order).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__all"))))
     size, extra = F.floor(F.col("__all") / n), F.col("__all") % n
@@ -93,7 +91,7 @@ def balanced_parts(df: DataFrame, key: str, weight: str, n: int, out: str = "par
 
     Rows of equal small integer weight are alike to a greedy longest-first packing, which then deals them round by round.
     So each weight is a class; within a class rows are dealt in turn by a seeded hash place, the turn reversed from class
-    to class. Loads differ by at most the sum of one weight of each class.
+    to class.
     """
     classes = Window.partitionBy(weight, "__salt").orderBy(F.xxhash64(key), key)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.lit(1), key), F.lit(64)))

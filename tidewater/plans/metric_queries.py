@@ -11,7 +11,8 @@ from tidewater.plans.catalog import query
 from tidewater.plans.predictions import PREDS_SQL, long_predictions, predictions
 from tidewater.sources.tables import table
 
-REPS = 50
+#: Bootstrap replicates.
+REPS = 1000
 _AUC_SQL = "sum(pos * (before_neg + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0)"
 
 
@@ -122,25 +123,75 @@ def ccc_slope(spark: SparkSession, folder: str) -> DataFrame:
     return wide.groupBy("method").agg(F.round(metrics.concordance("split0", "split1"), 6).alias("ccc"), F.round(F.avg(F.abs(F.col("split0") - F.col("split1"))), 8).alias("mean_gap"))
 
 
-@query()
+def _boot_cte(name: str, source: str, group: str, seed: int) -> str:
+    """CTE `name` (group, rep, auc) of bootstrap replicates over `source`."""
+    return f"""
+{name}_draws AS ({metrics.draws_sql(source, 'doc_id', REPS, seed)}),
+{name}_rows AS (SELECT s.*, rep, w FROM {source} s JOIN {name}_draws USING (doc_id) WHERE w > 0), {_auc_cte(name, f'{name}_rows', f'{group}, rep', weight='w')}"""
+
+
+@query(f"""
+WITH {PREDS_SQL}, {_auc_cte('a', 'long_preds', 'target, method')}, {_boot_cte('b', 'long_preds', 'target, method', 0)},
+bounds AS (SELECT target, method, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi, count(auc) AS n_reps FROM b GROUP BY ALL)
+SELECT target, method, round(auc, 8) AS auc, round(lo, 8) AS lo, round(hi, 8) AS hi, n_reps, printf('%.3f [%.3f,%.3f]', auc, lo, hi) AS ci FROM a JOIN bounds USING (target, method)
+""")
 def boot_auc_ci(spark: SparkSession, folder: str) -> DataFrame:
     """Percentile interval of the AUC over Poisson bootstrap replicates, with the point estimate."""
     rows, group = long_predictions(spark, folder), ["target", "method"]
-    reps = metrics.auc(metrics.bootstrap_counts(rows, "doc_id", REPS), [*group, "rep"], "y", "score", "w")
+    return _with_interval(rows, group, metrics.bootstrap_auc(rows, group, "doc_id", "y", "score", REPS))
+
+
+def _with_interval(rows: DataFrame, group: list[str], reps: DataFrame) -> DataFrame:
     bounds = reps.groupBy(*group).agg(F.percentile("auc", F.lit(0.025)).alias("lo"), F.percentile("auc", F.lit(0.975)).alias("hi"), F.count("auc").alias("n_reps"))
     point = metrics.auc(rows, group, "y", "score").select(*group, "auc")
     text = F.format_string("%.3f [%.3f,%.3f]", "auc", "lo", "hi")
-    return point.join(bounds, group).withColumn("ci", text)
+    return point.join(bounds, group).select(*group, *[F.round(c, 8).alias(c) for c in ("auc", "lo", "hi")], "n_reps", text.alias("ci"))
 
 
-@query()
-def boot_multi_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Paired bootstrap of all methods in each split; differences of the methods' AUCs between splits, per replicate mean."""
+_ELIGIBLE_SQL = "eligible AS (SELECT target, method, split FROM long_preds GROUP BY ALL HAVING count(*) FILTER (y = 1) >= 3 AND count(*) FILTER (y = 0) >= 3), kept AS (SELECT p.* FROM long_preds p JOIN eligible USING (target, method, split) WHERE split <> 'split0')"
+
+
+@query(f"""
+WITH {PREDS_SQL}, {_ELIGIBLE_SQL}, {_auc_cte('a', 'kept', 'target, method, split')}, {_boot_cte('b', 'kept', 'target, method, split', 5)},
+bounds AS (SELECT target, method, split, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi, count(auc) AS n_reps FROM b GROUP BY ALL)
+SELECT target, method, split, round(auc, 8) AS auc, round(lo, 8) AS lo, round(hi, 8) AS hi, n_reps, printf('%.3f [%.3f,%.3f]', auc, lo, hi) AS ci FROM a JOIN bounds USING (target, method, split)
+""")
+def boot_restricted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over the evaluation splits that have three rows of each class at least."""
     rows, group = long_predictions(spark, folder), ["target", "method", "split"]
-    reps = metrics.auc(metrics.bootstrap_counts(rows, "doc_id", REPS, seed=1), [*group, "rep"], "y", "score", "w")
+    enough = rows.groupBy(*group).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).filter("p >= 3 and n >= 3").select(*group)
+    kept = rows.filter("split <> 'split0'").join(enough, group, "left_semi")
+    return _with_interval(kept, group, metrics.bootstrap_auc(kept, group, "doc_id", "y", "score", REPS, seed=5))
+
+
+_GAPS = ("split1 - split0", "split2 - split0", "split2 - split1", "(split1 + split2) / 2 - split0")
+_GAP_QUANTILES = (("lo", 0.025), ("mid", 0.5), ("hi", 0.975))
+
+
+@query(f"""
+WITH {PREDS_SQL}, {_boot_cte('b', 'long_preds', 'target, method, split', 1)},
+wide AS (SELECT target, method, rep, {', '.join(f"max(auc) FILTER (split = 'split{i}') AS split{i}" for i in range(3))} FROM b GROUP BY ALL)
+SELECT target, method, {', '.join(f'round(quantile_cont({gap}, {q}), 8) AS d{i}_{n}' for i, gap in enumerate(_GAPS) for n, q in _GAP_QUANTILES)} FROM wide GROUP BY ALL
+""")
+def boot_multi_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Paired bootstrap of all methods in each split; four differences of a method's AUCs between splits, per replicate."""
+    reps = metrics.bootstrap_auc(long_predictions(spark, folder), ["target", "method", "split"], "doc_id", "y", "score", REPS, seed=1)
     wide = reps.groupBy("target", "method", "rep").pivot("split", ["split0", "split1", "split2"]).agg(F.max("auc"))
-    gaps = wide.withColumn("d01", F.col("split1") - F.col("split0")).withColumn("d02", F.col("split2") - F.col("split0"))
-    return gaps.groupBy("target", "method").agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in ("d01", "d02") for n, q in (("lo", 0.025), ("mid", 0.5), ("hi", 0.975))])
+    return wide.groupBy("target", "method").agg(*[F.round(F.percentile(F.expr(gap), F.lit(q)), 8).alias(f"d{i}_{n}") for i, gap in enumerate(_GAPS) for n, q in _GAP_QUANTILES])
+
+
+@query(f"""
+WITH {PREDS_SQL}, {_boot_cte('b', 'long_preds', 'target, method, split', 6)},
+wide AS (SELECT target, method, rep, max(auc) FILTER (split = 'split0') AS x, max(auc) FILTER (split = 'split1') AS y FROM b GROUP BY ALL),
+c AS (SELECT target, rep, 2 * covar_pop(x, y) / nullif(var_pop(x) + var_pop(y) + (avg(x) - avg(y)) * (avg(x) - avg(y)), 0) AS ccc FROM wide WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)
+SELECT target, round(quantile_cont(ccc, 0.025), 7) AS lo, round(quantile_cont(ccc, 0.5), 7) AS mid, round(quantile_cont(ccc, 0.975), 7) AS hi FROM c GROUP BY target
+""")
+def boot_concordance(spark: SparkSession, folder: str) -> DataFrame:
+    """Interval of the concordance of methods' AUCs in two splits, over bootstrap replicates."""
+    reps = metrics.bootstrap_auc(long_predictions(spark, folder), ["target", "method", "split"], "doc_id", "y", "score", REPS, seed=6)
+    wide = reps.groupBy("target", "method", "rep").pivot("split", ["split0", "split1"]).agg(F.max("auc")).na.drop()
+    per_rep = wide.groupBy("target", "rep").agg(metrics.concordance("split0", "split1").alias("ccc"))
+    return per_rep.groupBy("target").agg(*[F.round(F.percentile("ccc", F.lit(q)), 7).alias(n) for n, q in _GAP_QUANTILES])
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import metrics, reports
 from tidewater.plans.catalog import query
-from tidewater.plans.metric_queries import _auc_cte
+from tidewater.plans.metric_queries import REPS, _auc_cte
 from tidewater.plans.predictions import PREDS_SQL, long_predictions
 from tidewater.sources.tables import table
 
@@ -52,9 +52,9 @@ def baseline_tally(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def fitted_ribbon(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of one split's AUC on another's over bootstrap replicates: median and percentiles on a grid."""
-    reps = metrics.auc(metrics.bootstrap_counts(long_predictions(spark, folder), "doc_id", 30, seed=4), ["target", "method", "split", "rep"], "y", "score", "w")
+    reps = metrics.bootstrap_auc(long_predictions(spark, folder), ["target", "method", "split"], "doc_id", "y", "score", REPS, seed=4)
     wide = reps.groupBy("target", "method", "rep").pivot("split", ["split0", "split1"]).agg(F.max("auc")).na.drop()
-    return reports.fitted_ribbon(wide, "rep", "split0", "split1", [0.4, 0.5, 0.6])
+    return reports.fitted_ribbon(wide, "rep", "split0", "split1", [x / 20 for x in range(21)])
 
 
 @query("""
