@@ -60,11 +60,14 @@ def json_span(raw: Column, greedy: bool = True) -> Column:
 def parse_reply(raw: Column, greedy: bool = True) -> Column:
     """Struct (reason, probability, prediction) from a model's reply.
 
-    Single quotes are taken as double ones where the span is no JSON otherwise. A probability over 1 is a percentage; a
-    prediction is drawn to the nearer of 0 and 1, and to 1 from the middle.
+    Where the span is no JSON, quotes within texts (not beside {, [, a comma, a colon, ] or }) are escaped, or else single
+    quotes at the ends of texts taken as double ones. A probability over 1 is a percentage; a prediction is drawn to the
+    nearer of 0 and 1, and to 1 from the middle.
     """
-    span = json_span(raw, greedy)
-    as_json = F.coalesce(*[F.when(F.try_parse_json(s).isNotNull(), F.from_json(s, _REPLY)) for s in (F.regexp_replace(span, "\n", " "), F.translate(F.regexp_replace(span, "\n", " "), "'", '"'))])
+    span = F.regexp_replace(json_span(raw, greedy), "\n", " ")
+    escaped = lambda s: F.regexp_replace(s, r'(?<![{\[,:]\s{0,3})(?<!\\)"(?!\s*[,:}\]])', r'\\"')
+    double = F.regexp_replace(span, r"(?<=[{\[,:]\s{0,3})'|'(?=\s*[,:}\]])", '"')
+    as_json = F.coalesce(*[F.when(F.try_parse_json(s).isNotNull(), F.from_json(s, _REPLY)) for s in (span, escaped(span), double, escaped(double))])
     p, hat = as_json["Probability"], as_json["Prediction"]
     return F.struct(as_json["Reason"].alias("reason"), F.when(p > 1, p / 100).otherwise(p).alias("probability"), F.when(hat.isNotNull(), F.when(F.abs(hat) < F.abs(hat - 1), 0).otherwise(1)).alias("prediction"))
 

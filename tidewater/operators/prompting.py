@@ -39,14 +39,15 @@ def assemble(prompt: Column, date: Column | None = None, examples: Column | None
 def fit_context(system: Column, examples: Column, note: Column, budget: int, flag: str = "\n[NOTE TRUNCATED]") -> Column:
     """Struct (system, note, n_examples, truncated): examples go from the end until all fits; then the note is cut.
 
-    Tokens are words parted by white space.
+    Tokens are words parted by white space; a note that is cut keeps its words, with single blanks between them.
     """
-    count = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    words_of = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    count = lambda t: F.size(words_of(t))
     base = count(system) + count(note)
     sizes = F.transform(examples, count)
     running = F.transform(F.sequence(F.lit(0), F.size(examples)), lambda n: F.aggregate(F.slice(sizes, 1, n), F.lit(0), lambda s, x: s + x))
     kept = F.greatest(F.size(F.filter(running, lambda r: base + r <= budget)) - 1, F.lit(0))
-    words, room = F.split(note, " "), F.lit(budget) - count(system) - len(flag.split())
+    words, room = words_of(note), F.lit(budget) - count(system) - len(flag.split())
     cut = base > budget
     shown = F.when(~cut, note).when(room <= 0, F.lit(flag)).otherwise(F.concat(F.array_join(F.slice(words, 1, F.greatest(room, F.lit(1))), " "), F.lit(flag)))
     return F.struct(F.concat(system, F.array_join(F.slice(examples, 1, kept), "")).alias("system"), shown.alias("note"), kept.alias("n_examples"), cut.alias("truncated"))

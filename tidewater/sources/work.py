@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A table written here cuts lineage: a lost executor costs only the tasks that were reading, never the work behind the
-table. The folder is the one named by ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process
+table. They stay until drop_work_tables() is called. The folder is the one named by ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process
 (tests) a folder under /tmp is taken.
 """
 
@@ -21,13 +21,30 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def _new_path(spark: SparkSession, tag: str) -> str:
+    folder = f"{work_folder(spark)}/tidewater-{uuid.uuid4().hex}"
+    _written.append(folder)
+    return f"{folder}/{tag}"
+
+
+def drop_work_tables(spark: SparkSession) -> None:
+    """Delete all work tables that this process has written; call it when no result that reads them is needed any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and return the reader of that table.
 
     Its size is then known, so that later joins broadcast it only below spark.sql.autoBroadcastJoinThreshold.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/tidewater-{uuid.uuid4().hex}/{tag}"
+    path = _new_path(spark, tag)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -41,5 +58,5 @@ def materialize_bucketed(df: DataFrame, tag: str, keys: list[str], buckets: int)
     """
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{work_folder(spark)}/tidewater-{uuid.uuid4().hex}/{tag}").format("parquet").saveAsTable(name)
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", _new_path(spark, tag)).format("parquet").saveAsTable(name)
     return spark.table(name)

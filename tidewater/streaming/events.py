@@ -41,9 +41,10 @@ def sessions(stream: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> D
 
 
 def first_of_week(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """One event per user and week: the first to arrive; state is dropped behind the watermark."""
-    keyed = stream.withColumn("week", F.date_trunc("week", "ts"))
-    return keyed.withWatermark("ts", late).dropDuplicates(["user_id", "week"])
+    """One event per user and week (from Monday): the first to arrive; a week's state is dropped once the watermark is past it."""
+    keyed = stream.withWatermark("ts", late).withColumn("w", F.window("ts", "7 days", startTime="4 days"))
+    keyed = keyed.withColumn("ts", F.expr("ts + interval 0 seconds"))  # the window alone stays the event time
+    return keyed.dropDuplicates(["user_id", "w"]).withColumn("week", F.col("w.start")).drop("w")
 
 
 def lookback_pairs(stream: DataFrame, window: str = "24 hours", late: str = "1 hour") -> DataFrame:
