@@ -89,7 +89,7 @@ def test_interleave(spark):
 
 def test_budget_stops_at_first_overflow(spark):
     rows = spark.createDataFrame([(1, 3), (2, 9), (3, 1)], "id int, c int").withColumn("g", F.lit(1))
-    assert [r["id"] for r in windows.budget_prefix(rows, ["g"], [F.col("id")], F.col("c"), F.lit(10)).collect()] == [1]
+    assert [r["id"] for r in windows.budget_prefix(rows, ["g"], "id", F.col("c"), 10).collect()] == [1]
 
 
 @pytest.mark.parametrize("n", [10, 3, 4])

@@ -126,14 +126,26 @@ def bonferroni(p: Column, group: list[str], capped: bool = True) -> Column:
     return F.least(out, F.lit(1.0)) if capped else out
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: summed up to 1000, then by the Euler-Maclaurin series, whose error is below 1e-14 there."""
+    few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(m, F.lit(1000).cast("long"))), F.lit(0.0), lambda s, i: s + 1 / i)
+    x = m.cast("double")
+    return F.when(m <= 1000, few).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x))
+
+
 def benjamini_yekutieli(df: DataFrame, group: list[str], p: str, adjusted: str = "p_by") -> DataFrame:
-    """Benjamini-Yekutieli adjusted p-values within groups of tests."""
-    at = prefix_totals(df.filter(F.col(p).isNotNull()), group, p, {"n": F.count(F.lit(1))})
-    whole = at.groupBy(*group).agg(F.sum("n").alias("m"))
-    harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("m")), F.lit(0.0), lambda s, i: s + 1 / i)
-    raw = join_groups(at, whole.withColumn("h", harmonic), group).withColumn("__raw", F.col(p) * F.col("m") * F.col("h") / (F.col("before_n") + F.col("n")))
-    later = Window.partitionBy(*group).orderBy(F.col(p)).rowsBetween(0, Window.unboundedFollowing)  # distinct p-values of one family of tests
-    done = raw.withColumn(adjusted, F.least(F.min("__raw").over(later), F.lit(1.0))).select(*group, p, adjusted)
+    """Benjamini-Yekutieli adjusted p-values within groups of tests.
+
+    The least value of all greater p-values is taken over bins and then within a bin, so that no family is one task.
+    """
+    at = prefix_totals(df.filter(F.col(p).isNotNull()), group, p, {"n": F.count(F.lit(1))}, keep_bin="bin")
+    whole = at.groupBy(*group).agg(F.sum("n").alias("m")).withColumn("h", harmonic(F.col("m")))
+    raw = join_groups(at, whole, group).withColumn("__raw", F.col(p) * F.col("m") * F.col("h") / (F.col("before_n") + F.col("n")))
+    bins = Window.partitionBy(*group).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = raw.groupBy(*group, "bin").agg(F.min("__raw").alias("__least")).select(*group, "bin", F.min("__least").over(bins).alias("__later"))
+    in_bin = Window.partitionBy(*group, "bin").orderBy(F.col(p)).rowsBetween(0, Window.unboundedFollowing)
+    done = join_groups(raw.withColumn("__here", F.min("__raw").over(in_bin)), later, [*group, "bin"])
+    done = done.select(*group, p, F.least("__here", "__later", F.lit(1.0)).alias(adjusted))
     return join_groups(df, done, [*group, p], "left")
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 BINS, ACCURACY = 256, 2000
 
 
-def prefix_totals(df: DataFrame, group: list[str], value: str, sums: dict[str, Column], bins: int = BINS) -> DataFrame:
-    """One row per (group, value): the sums, and before_<name>: the same sums over all smaller values of the group."""
+def prefix_totals(df: DataFrame, group: list[str], value: str, sums: dict[str, Column], bins: int = BINS, keep_bin: str | None = None) -> DataFrame:
+    """One row per (group, value): the sums, before_<name>: the same sums over all smaller values of the group, and its bin if named."""
     distinct = df.groupBy(*group, value).agg(*[c.alias(n) for n, c in sums.items()])
     cuts = distinct.groupBy(*group).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], ACCURACY).alias("__cuts"))
     steps = F.array(*[F.lit(bins >> i) for i in range(1, bins.bit_length())])
@@ -30,7 +30,8 @@ def prefix_totals(df: DataFrame, group: list[str], value: str, sums: dict[str, C
     in_bin = Window.partitionBy(*group, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     within = binned.select("*", *[F.coalesce(F.sum(n).over(in_bin), F.lit(0)).alias(f"__in_{n}") for n in sums])
     out = join_groups(within, totals, [*group, "__bin"])
-    return out.select(*group, value, *sums, *[(F.col(f"__before_{n}") + F.col(f"__in_{n}")).alias(f"before_{n}") for n in sums])
+    place = [F.col("__bin").alias(keep_bin)] if keep_bin else []
+    return out.select(*group, value, *place, *sums, *[(F.col(f"__before_{n}") + F.col(f"__in_{n}")).alias(f"before_{n}") for n in sums])
 
 
 def join_groups(df: DataFrame, per_group: DataFrame, group: list[str], how: str = "inner") -> DataFrame:

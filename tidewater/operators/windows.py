@@ -34,13 +34,26 @@ def interleave(df: DataFrame, label: str, order: Sequence[Column], group: Sequen
     return ranked.withColumn("position", at.cast("long")).drop("__rn", "__ones", "__zeros", "__both")
 
 
-def budget_prefix(df: DataFrame, group: Sequence[str], order: Sequence[Column], cost: Column, budget: Column, most: int | None = None) -> DataFrame:
-    """The longest prefix of each group whose running cost stays below the budget; stops at the first row that doesn't fit."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("running_cost", F.sum(cost).over(w)).withColumn("__rn", F.count(F.lit(1)).over(w))
-    over = F.max((F.col("running_cost") >= budget).cast("int")).over(w)
-    kept = run.withColumn("__over", over).filter("__over = 0")
-    return (kept if most is None else kept.filter(F.col("__rn") <= most)).drop("__over", "__rn")
+def budget_prefix(df: DataFrame, group: Sequence[str], order: str, cost: Column, budget: float, most: int | None = None) -> DataFrame:
+    """The longest prefix of each group whose running cost stays below the budget; stops at the first row that doesn't fit.
+
+    `order` is unique within a group; a null cost counts as 0. Running costs come from totals over bins, so that no group
+    is sorted in one task.
+    """
+    sums = {"__cost": F.sum(F.coalesce(cost, F.lit(0))), "__n": F.count(F.lit(1))}
+    run = prefix_totals(df, list(group), order, sums).withColumn("running_cost", F.col("before___cost") + F.col("__cost"))
+    stop = run.filter(F.col("running_cost") >= budget).groupBy(*group).agg(F.min(order).alias("__stop"))
+    kept = join_groups(run, stop, list(group), "left").filter(F.col("__stop").isNull() | (F.col(order) < F.col("__stop")))
+    kept = kept if most is None else kept.filter(F.col("before___n") < most)
+    return join_groups(df, kept.select(*group, order, "running_cost"), [*group, order])
+
+
+def first_rows(df: DataFrame, group: Sequence[str], key: str, order: Sequence[Column], k: int, parts: int = 64) -> DataFrame:
+    """The first k rows of each group: first within parts of the group by a hash of the key, then among those."""
+    in_part = Window.partitionBy(*group, F.pmod(F.xxhash64(key), F.lit(parts))).orderBy(*order)
+    few = df.withColumn("__rn", F.row_number().over(in_part)).filter(F.col("__rn") <= k)
+    ranked = few.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return ranked.filter(F.col("__rn") <= k).drop("__rn")
 
 
 def factorise(df: DataFrame, value: str, order: str, out: str) -> DataFrame:

@@ -284,10 +284,11 @@ SELECT * FROM r WHERE flag IS NOT NULL
 def top_and_bottom(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most and the ten least active users of each event type."""
     counts = table(spark, folder, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy("event_type").orderBy(F.col("n").desc(), "user_id")
-    up = Window.partitionBy("event_type").orderBy("n", "user_id")
-    flag = F.when(F.row_number().over(down) <= 10, "top").when(F.row_number().over(up) <= 10, "bottom")
-    return counts.withColumn("flag", flag).filter("flag is not null")
+    down = [F.col("n").desc(), F.col("user_id")]
+    top = windows.first_rows(counts, ["event_type"], "user_id", down, 10).withColumn("flag", F.lit("top"))
+    bottom = windows.first_rows(counts, ["event_type"], "user_id", [F.col("n"), F.col("user_id")], 10).withColumn("flag", F.lit("bottom"))
+    # A user that is among both is flagged as top.
+    return top.unionByName(bottom.join(top, ["event_type", "user_id"], "left_anti"))
 
 
 @query("""

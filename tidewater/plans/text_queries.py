@@ -126,7 +126,7 @@ SELECT source, doc_id, tokens::BIGINT AS tokens, running::BIGINT AS running_cost
 def token_budget_prefix(spark: SparkSession, folder: str) -> DataFrame:
     tokens = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long")
     rows = table(spark, folder, "documents").select("source", "doc_id", tokens.alias("tokens"))
-    return windows.budget_prefix(rows, ["source"], [F.col("doc_id")], F.col("tokens"), F.lit(3000), 16)
+    return windows.budget_prefix(rows, ["source"], "doc_id", F.col("tokens"), 3000, 16)
 
 
 @query("""
