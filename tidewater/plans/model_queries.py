@@ -126,7 +126,12 @@ def model_calls(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("probability", F.round("probability", 4))
 
 
-@query()
+@query("""
+WITH b AS (SELECT list(chr(10) || 'Example: ' || text ORDER BY item_id) AS shots FROM (SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 3)),
+w AS (SELECT doc_id, text, shots, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words, list_transform(shots, lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> ''))) AS sizes FROM documents, b),
+k AS (SELECT *, 3 + len(words) > 600 AS cut, len(list_filter(range(1, len(shots) + 1), lambda n: 3 + len(words) + list_sum(sizes[1:n]) <= 600)) AS kept FROM w)
+SELECT doc_id, kept::INT AS n_examples, cut AS truncated, sha256('Give the risk.' || coalesce(array_to_string(shots[1:kept], ''), '') || CASE WHEN cut THEN array_to_string(words[1:595], ' ') || chr(10) || '[NOTE TRUNCATED]' ELSE text END) AS message_key FROM k
+""")
 def context_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with three examples in a context of 600 words: how many examples stay, and whether the text is cut."""
     shots = table(spark, folder, "benchmark").orderBy("item_id").limit(3).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.concat(F.lit("\nExample: "), x["text"])).alias("shots"))
@@ -187,9 +192,16 @@ def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""
+WITH g AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t FROM events),
+m AS (SELECT *, (coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 21600000000, true))::INT AS opens FROM g),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS place FROM m)
+SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, place HAVING max(t) + 21600000000 <= (SELECT max(t) FROM g) - 3600000000
+""")
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return streams.drain(streams.sessions(streams.event_stream(spark, folder)))
+    """A user's events with gaps of at most six hours; sessions that the watermark has passed."""
+    out = streams.drain(streams.sessions(streams.event_stream(spark, folder)))
+    return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "user_id", "n")
 
 
 @query()

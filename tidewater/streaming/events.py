@@ -1,4 +1,4 @@
-"""Structured Streaming variants over an event stream. The reference behaviour is batch; these are additions."""
+"""Structured Streaming variants over an event stream; the other queries over events are batch."""
 
 from __future__ import annotations
 
