@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.text import sentence_ngrams
 from tidewater.operators.ranks import mid_ranks
+from tidewater.sources.work import materialize
 
 
 def ngram_totals(docs: DataFrame, text: str, lengths: Sequence[int]) -> DataFrame:
     """word, total and percentage of the n-grams without digits."""
     grams = docs.select(F.explode(sentence_ngrams(F.col(text), lengths)).alias("word"))
     totals = grams.groupBy("word").agg(F.count(F.lit(1)).alias("total")).filter(~F.col("word").rlike(r"\p{N}"))
+    totals = materialize(totals, "ngram-totals")
     whole = totals.agg(F.sum("total").alias("__all"))
     return totals.crossJoin(F.broadcast(whole)).withColumn("percentage", 100.0 * F.col("total") / F.col("__all")).drop("__all")
 
@@ -24,6 +26,8 @@ def tfidf(docs: DataFrame, key: str, text: str, lengths: Sequence[int], vocabula
     counts = docs.select(key, F.explode(sentence_ngrams(F.col(text), lengths)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     if vocabulary is not None:
         counts = counts.join(vocabulary.select("word"), "word", "left_semi")
+    # Three plans read the counts; the texts are gone through once.
+    counts = materialize(counts, "term-counts")
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     weighed = counts.join(df, "word").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))

@@ -11,7 +11,7 @@ from tidewater.operators.textstats import ngram_totals as count_ngrams
 from tidewater.operators.textstats import tfidf_terms, word_contrast as contrast
 from tidewater.plans.catalog import query
 from tidewater.plans.predictions import PREDS_SQL, predictions
-from tidewater.sources.tables import table
+from tidewater.sources.tables import spread, table
 
 #: Words left out before counting.
 STOP_WORDS = ("the", "and", "of", "to", "in", "is", "it", "la", "de", "der", "die", "und", "el", "le")
@@ -24,7 +24,7 @@ _UNIGRAMS_SQL = "unigrams AS (SELECT doc_id, unnest(ws) AS word FROM tokens)"
 
 
 def _clean_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", text.remove_words(text.clean(F.col("text")), STOP_WORDS).alias("text"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", text.remove_words(text.clean(F.col("text")), STOP_WORDS).alias("text"))
 
 
 @query(f"""
