@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import sentence_ngrams
+from tidewater.operators.metrics import auc
 from tidewater.operators.ranks import mid_ranks
 from tidewater.sources.work import materialize
 
@@ -59,3 +60,29 @@ def word_contrast(docs: DataFrame, scores: DataFrame, key: str, text: str, score
     change = F.col("sp") / k - (F.col("s") - F.col("sp")) / (n - k)
     z = (F.col("r") - k * (n + 1) / 2) / F.sqrt(k * (n - k) * (n + 1) / 12)
     return out.select("word", k.cast("long").alias("n_present"), F.round(k / n, 8).alias("frequency"), F.least(k, n - k).cast("long").alias("n_metric_samples"), F.round(change, 8).alias("change_in_metric"), F.round(z, 6).alias("z"))
+
+
+def word_metric_change(docs: DataFrame, scores: DataFrame, key: str, text: str, y: str, score: str, least: int, threshold: float = 0.5) -> DataFrame:
+    """For each word of at least `least` documents, with as many without it: AUC and false discovery rate of the documents with the word less those of the others.
+
+    Pairs (positive, negative) in right order among the documents without a word are all such pairs, less those of which
+    one has the word, plus those of which both have it. The first two are sums of one number per document, so that only
+    (document, word) pairs that occur are built. A metric is null where a side has no positive, no negative or no hit.
+    """
+    ranked = mid_ranks(mid_ranks(scores.select(key, y, score), [], score, "__all").drop("tied"), [y], score, "__own").drop("tied").withColumn("__hit", (F.col(score) >= threshold).cast("double"))
+    pos, neg, hits = F.sum(y), F.sum(1 - F.col(y)), F.sum("__hit")
+    sums = lambda p: [pos.cast("double").alias(f"{p}pos"), neg.cast("double").alias(f"{p}neg"), hits.alias(f"{p}hits"), F.sum(F.col("__hit") * (1 - F.col(y))).alias(f"{p}wrong")]
+    # The rank among all less that within the own class: negatives below a positive, or positives below a negative.
+    whole = ranked.agg(*sums("all_"), F.coalesce(F.sum(F.when(F.col(y) == 1, F.col("__all") - F.col("__own"))), F.lit(0.0)).alias("all_right"))
+    words = docs.select(key, F.explode(F.array_distinct(sentence_ngrams(F.col(text), [1]))).alias("word")).filter(~F.col("word").rlike(r"\p{N}")).dropDuplicates([key, "word"])
+    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).select("word")
+    found = materialize(words.join(often, "word", "left_semi").join(ranked, key), "words-and-ranks")
+    right = F.when(F.col(y) == 1, F.col("__all") - F.col("__own")).otherwise(F.col("n_pos") - (F.col("__all") - F.col("__own")))
+    sides = found.crossJoin(F.broadcast(whole.select(F.col("all_pos").alias("n_pos")))).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *sums("in_"), F.sum(right).alias("touching"))
+    out = sides.join(auc(found, ["word"], y, score).select("word", "auc"), "word", "left").crossJoin(F.broadcast(whole))
+    both = F.coalesce(F.col("auc") * F.col("in_pos") * F.col("in_neg"), F.lit(0.0))
+    pairs = (F.col("all_pos") - F.col("in_pos")) * (F.col("all_neg") - F.col("in_neg"))
+    others = (F.col("all_right") - F.col("touching") + both) / F.nullif(pairs, F.lit(0.0))
+    rate = F.col("in_wrong") / F.nullif(F.col("in_hits"), F.lit(0.0)) - (F.col("all_wrong") - F.col("in_wrong")) / F.nullif(F.col("all_hits") - F.col("in_hits"), F.lit(0.0))
+    kept = out.filter(F.col("all_pos") + F.col("all_neg") - F.col("n") >= least)
+    return kept.select("word", F.col("n").alias("n_present"), F.round(F.col("auc") - others, 8).alias("change_in_auc"), F.round(rate, 8).alias("change_in_fdr"))

@@ -43,9 +43,9 @@ def path_parameters(path: Column, places: dict[str, int], separator: str = "_",
     return {name: F.try_element_at(parts, F.lit(place)) for name, place in places.items()}
 
 
-def name_parameters(path: Column, patterns: dict[str, str]) -> dict[str, Column]:
-    """Parameters by a regular expression's first group on the file's name; null where it doesn't match."""
-    name = F.element_at(F.split(path, "/"), -1)
+def name_parameters(path: Column, patterns: dict[str, str], part: int = -1) -> dict[str, Column]:
+    """Parameters by a regular expression's first group on the name of the file, or of another part of the path; null where it doesn't match."""
+    name = F.element_at(F.split(path, "/"), part)
     return {n: F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for n, p in patterns.items()}
 
 
