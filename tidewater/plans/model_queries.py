@@ -53,11 +53,12 @@ def _model_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def train_and_score(spark: SparkSession, folder: str) -> DataFrame:
-    """L1 logistic regression and boosted trees on document features: AUC per model on the test part."""
+    """L1 logistic regression, boosted trees and a perceptron on document features: AUC per model on the test part."""
     rows = _model_rows(spark, folder)
     prepared = models.preprocessing(["n_chars", "n_words", "n_lines", "n_symbols"], ["lang"]).fit(rows.filter("part = 'train'")).transform(rows)
     train, test = models.balanced_weights(prepared.filter("part = 'train'"), "y").cache(), prepared.filter("part = 'test'")
     fitted = {"lasso": models.search_lasso(train, "y", (0.001, 0.01)).bestModel, "trees": models.boosted_trees("y").fit(train)}
+    fitted["perceptron"] = models.perceptron("y", prepared.schema["features"].metadata["ml_attr"]["num_attrs"]).fit(train)
     out = None
     for name, model in fitted.items():
         part = models.scored(model, test, ["doc_id", "y"]).withColumn("model", F.lit(name))
