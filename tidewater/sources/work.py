@@ -22,9 +22,11 @@ def work_folder(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_named: list[str] = []
 
 
-def _new_path(spark: SparkSession, tag: str) -> str:
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which drop_work_tables() deletes with all that is written there."""
     folder = f"{work_folder(spark)}/tidewater-{uuid.uuid4().hex}"
     _written.append(folder)
     return f"{folder}/{tag}"
@@ -32,6 +34,8 @@ def _new_path(spark: SparkSession, tag: str) -> str:
 
 def drop_work_tables(spark: SparkSession) -> None:
     """Delete all work tables that this process has written; call it when no result that reads them is needed any more."""
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     while _written:
         path = hadoop.Path(_written.pop())
@@ -44,7 +48,7 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     Its size is then known, so that later joins broadcast it only below spark.sql.autoBroadcastJoinThreshold.
     """
     spark = df.sparkSession
-    path = _new_path(spark, tag)
+    path = new_folder(spark, tag)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -58,5 +62,6 @@ def materialize_bucketed(df: DataFrame, tag: str, keys: list[str], buckets: int)
     """
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", _new_path(spark, tag)).format("parquet").saveAsTable(name)
+    _named.append(name)
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", new_folder(spark, tag)).format("parquet").saveAsTable(name)
     return spark.table(name)
