@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, toxicity
+from tidewater.llm import embedding_dedup, importance, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, quality_rules, sharding, token_files, toxicity, whitening
 from tidewater.sources.tables import table
 
 
@@ -75,8 +75,23 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
 
+def op11_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.read_documents(token_files.write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_license_scan, op4_itq_embeddings, op5_packing, op6_toxicity, op7_sharding, op8_superminhash, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_license_scan, op4_itq_embeddings, op5_packing, op6_toxicity, op7_sharding, op8_superminhash, op9_line_dedup, op10_language_id,
+                                   op11_feast_whitening, op12_importance_resampling, op13_token_files)}
 
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -127,6 +142,36 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_FOLDED = _ASCII_LOWER.format("coalesce(text, '')")
+_FEATURES = f"unnest(regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))"
+_STEP = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+OP12_SQL = f"""
+WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, {_STEP} FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+found AS (SELECT rowid AS r, {_FEATURES} AS w FROM (SELECT row_number() OVER () AS rowid, text FROM documents)),
+mine AS (SELECT w, count(*) AS n FROM found GROUP BY w),
+theirs AS (SELECT w, count(*) AS n FROM (SELECT {_FEATURES} AS w FROM benchmark) GROUP BY w),
+coded AS (
+  SELECT w, list_concat([4294967295::BIGINT], list_transform(range(1, length(hex(encode(w))), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::BIGINT)) AS b
+  FROM (SELECT w FROM mine UNION SELECT w FROM theirs)),
+bucketed AS (SELECT w, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM coded, tab),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM mine JOIN bucketed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM theirs JOIN bucketed USING (w) GROUP BY bucket),
+whole AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS s_all, coalesce((SELECT sum(t) FROM t), 0) AS t_all),
+gains AS (
+  SELECT w, floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((coalesce(s, 0) + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM bucketed LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), whole),
+summed AS (SELECT r, count(*) AS n, sum(gain) AS total FROM found JOIN gains USING (w) GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN summed USING (r)),
+final AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM scored),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM final WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END::BIGINT AS rank FROM final LEFT JOIN drawn USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op7_sharding": OP7_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op7_sharding": OP7_SQL, "op9_line_dedup": OP9_SQL, "op12_importance_resampling": OP12_SQL}

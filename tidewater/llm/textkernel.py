@@ -60,19 +60,22 @@ class Chunk:
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, row) of every word."""
         if self._words is None:
-            solid = ~SPACE[self.data]
-            n = len(solid)
-            first = solid.copy()
-            first[1:] &= ~solid[:-1]
-            last = solid.copy()
-            last[:-1] &= ~solid[1:]
-            edges = self.offsets[(self.offsets > 0) & (self.offsets < n)]
-            first[edges] = solid[edges]
-            last[edges - 1] = solid[edges - 1]
-            start = np.flatnonzero(first)
-            self._words = start, np.flatnonzero(last) + 1, self.row_of(start)
+            self._words = self.runs(~SPACE[self.data])
         return self._words
 
+    def runs(self, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, row) of every run of bytes that are `solid` (one flag for each byte) within a row."""
+        n = len(solid)
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        last = solid.copy()
+        last[:-1] &= ~solid[1:]
+        edges = self.offsets[(self.offsets > 0) & (self.offsets < n)]
+        first[edges] = solid[edges]
+        last[edges - 1] = solid[edges - 1]
+        start = np.flatnonzero(first)
+        return start, np.flatnonzero(last) + 1, self.row_of(start)
+
     def prefix_hash(self, lower: bool) -> np.ndarray:
         """Prefix sums from which hash_spans() takes the hash of any span."""
         up, _ = _power_table(len(self.data) + 1)
