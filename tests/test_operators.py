@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import rules, text
 from tidewater.operators import features, htest, metrics, prompting, relational, sampling, windows
 from tidewater.operators.asof import asof_lookback
+from tidewater.operators.thinning import thin_by_gap
 from tidewater.operators.ranks import mid_ranks
 from tidewater.sources import readers
 
@@ -106,7 +107,7 @@ def test_balanced_parts(spark):
 
 def test_thin_by_gap(spark):
     rows = spark.createDataFrame([(1, t, t) for t in (0, 5, 9, 10, 19, 25)], "k int, t long, id long").withColumn("t", F.timestamp_seconds("t"))
-    assert sorted(r["id"] for r in windows.thin_by_gap(rows, "k", "t", "id", 10).collect()) == [0, 10, 25]
+    assert sorted(r["id"] for r in thin_by_gap(rows, "k", "t", "id", 10).collect()) == [0, 10, 25]
 
 
 def test_replicates(spark):

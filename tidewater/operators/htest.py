@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidewater.operators.ranks import join_groups, mid_ranks, prefix_totals
+from tidewater.sources.work import materialize
 
 
 @F.pandas_udf(DoubleType())
@@ -99,6 +101,51 @@ def signed_rank(df: DataFrame, group: list[str], difference: str) -> DataFrame:
     return sums.select(*group, "n", "w_plus", F.least("w_plus", n * (n + 1) / 2 - F.col("w_plus")).alias("w"), ((F.col("w_plus") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).alias("z"))
 
 
+def signed_rank_tail(doubled_ranks: Sequence[int], doubled_w: int) -> float:
+    """Two-sided exact p-value of a sum of positive ranks, given all ranks (doubled, so that mid-ranks are whole).
+
+    Under the null hypothesis each rank counts with probability one half. The distribution of the sum comes from adding
+    one rank after another to an array of counts; ties are in the ranks themselves.
+    """
+    total = sum(doubled_ranks)
+    ways = [0] * (total + 1)
+    ways[0] = 1
+    top = 0
+    for r in doubled_ranks:
+        for s in range(top, -1, -1):
+            ways[s + r] += ways[s]
+        top += r
+    low, high = sum(ways[: doubled_w + 1]), sum(ways[doubled_w:])
+    return min(1.0, 2 * min(low, high) / (1 << len(doubled_ranks)))
+
+
+@F.pandas_udf(DoubleType())
+def exact_signed_rank(ranks: pd.Series, w_plus: pd.Series) -> pd.Series:
+    """Exact p-values from the mid-ranks of the differences and the sum of the positive ones; null ranks give null."""
+    return pd.Series([None if r is None else signed_rank_tail([round(2 * x) for x in r], round(2 * w)) for r, w in zip(ranks, w_plus, strict=True)], dtype="float64")
+
+
+def signed_rank_pairs(df: DataFrame, group: list[str], block: list[str], level: str, value: str, exact_upto: int = 50) -> DataFrame:
+    """Signed-rank tests of all pairs of levels within each group, paired by `block` (one row for a block and level).
+
+    A row for each group and pair: level_a < level_b, n (differences that aren't 0), w_plus, z, exact and p_value. With up
+    to `exact_upto` differences the p-value is exact, over it that of z. A pair whose differences are all 0 has p 1. Blocks
+    in which one of the levels, or its value, is missing don't count for the pair; pairs that no block has are left out.
+    """
+    cells = df.filter(F.col(value).isNotNull() & F.col(level).isNotNull()).select(*group, *block, F.struct(F.col(level).alias("l"), F.col(value).alias("v")).alias("c"))
+    lists = cells.groupBy(*group, *block).agg(F.array_sort(F.collect_list("c")).alias("all"))  # a value for each level
+    pairs = F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda b: F.struct(a["l"].alias("level_a"), b["l"].alias("level_b"), (a["v"] - b["v"]).alias("d")))))
+    rows = materialize(lists.select(*group, F.explode(pairs).alias("p")).select(*group, "p.*"), "level_pairs")
+    by = [*group, "level_a", "level_b"]
+    tested = materialize(signed_rank(rows, by, "d"), "pair_tests")
+    few = join_groups(rows.filter("d <> 0").withColumn("__size", F.abs("d")), tested.filter(F.col("n") <= exact_upto).select(*by), by)
+    ranks = mid_ranks(few, by, "__size").groupBy(*by).agg(F.collect_list("mid_rank").alias("__ranks"))  # at most exact_upto
+    out = join_groups(join_groups(rows.select(*by).distinct(), tested, by, "left"), ranks, by, "left")
+    n, exact = F.coalesce("n", F.lit(0).cast("long")), F.coalesce(F.col("n") <= exact_upto, F.lit(True))
+    p = F.when(F.col("n").isNull(), 1.0).when(exact, exact_signed_rank("__ranks", "w_plus")).otherwise(two_sided_normal("z"))
+    return out.select(*by, n.alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), "z", exact.alias("exact"), p.alias("p_value"))
+
+
 def kruskal_wallis(df: DataFrame, group: list[str], sample: str, value: str) -> DataFrame:
     """H with tie correction, and its degrees of freedom."""
     ranked = mid_ranks(df, group, value)

@@ -1,13 +1,19 @@
-"""Window operators: scores within groups, interleaving, budgets, thinning, balanced parts."""
+"""Window operators: scores within groups, interleaving, budgets, weekly rows, balanced parts."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import math
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.ranks import join_groups, prefix_totals
+from tidewater.sources.work import materialize
+
+MAX_CLASSES = 1_000_000
 
 
 def with_group_stats(df: DataFrame, group: Sequence[str], stats: dict[str, Column]) -> DataFrame:
@@ -77,19 +83,6 @@ def one_per_week(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     return best.select("week", "__b.__all.*")
 
 
-def thin_by_gap(df: DataFrame, key: str, time: str, tie: str, seconds: int) -> DataFrame:
-    """Rows of a key that come at least `seconds` after the last row that was kept (greedy from the first).
-
-    What is kept depends on what was kept before, so a key's times are folded in order as one array of numbers.
-    """
-    at = F.unix_seconds(F.col(time).cast("timestamp"))
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col(tie).alias("id")))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("ids"))
-    step = lambda s, x: F.when(s["last"].isNull() | (x["t"] - s["last"] >= seconds), F.struct(x["t"].alias("last"), F.array_append(s["ids"], x["id"].cast("long")).alias("ids"))).otherwise(s)
-    kept = lists.select(F.explode(F.aggregate("all", start, step)["ids"]).alias(tie))
-    return df.join(kept, tie, "left_semi")
-
-
 def contiguous_parts(df: DataFrame, order: str, n: int, out: str = "part") -> DataFrame:
     """n parts that follow each other in order, the first count % n of them longer by one; places by range-wise counts."""
     place = prefix_totals(df, [], order, {"__n": F.count(F.lit(1))}).select(order, F.col("before___n").alias("__i"))
@@ -99,18 +92,60 @@ def contiguous_parts(df: DataFrame, order: str, n: int, out: str = "part") -> Da
     return rows.withColumn(out, at.cast("int")).drop("__i", "__all")
 
 
-def balanced_parts(df: DataFrame, key: str, weight: str, n: int, out: str = "part") -> DataFrame:
-    """Deal rows to n parts so that their weights come close.
+def _level_shares(loads: list[float], weight: float, rows: int) -> list[int]:
+    """Rows that each part takes until all have reached the highest level for which `rows` rows are enough."""
+    filled = lambda level: [max(0, math.ceil((level - x) / weight)) for x in loads]
+    low, high = 0.0, max(loads) + weight * (rows / len(loads) + 1.0)
+    for _ in range(100):  # sum(filled(low)) <= rows < sum(filled(high))
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(filled(middle)) <= rows else (low, middle)
+    return filled(low)
+
 
-    Rows of equal small integer weight are alike to a greedy longest-first packing, which then deals them round by round.
-    So each weight is a class; within a class rows are dealt in turn by a seeded hash place, the turn reversed from class
-    to class.
+def greedy_shares(classes: Iterable[tuple[float, int]], n: int) -> Iterator[tuple[float, list[int]]]:
+    """How many rows of each class (weight, rows), heaviest first, a greedy packing gives each of n parts.
+
+    Greedy puts the next row into the part with the least load, the first of those that are equal. Rows of one weight are
+    alike, so that a class is filled at once: all parts are raised to the highest level that the class can fill, and less
+    than n rows are then placed one by one. Rows that weigh nothing change no load and all go to the same part.
+    """
+    loads: list[float] = [0] * n
+    for weight, rows in classes:
+        if weight <= 0:
+            share = [0] * n
+            share[min(range(n), key=loads.__getitem__)] = rows
+        else:
+            share = [0] * n if rows <= 8 * n else _level_shares(loads, weight, rows)
+            heap = [(x + weight * k, i) for i, (x, k) in enumerate(zip(loads, share, strict=True))]
+            heapq.heapify(heap)
+            for _ in range(rows - sum(share)):
+                load, i = heap[0]
+                share[i] += 1
+                heapq.heapreplace(heap, (load + weight, i))
+        loads = [x + weight * k for x, k in zip(loads, share, strict=True)]
+        yield weight, share
+
+
+def balanced_parts(df: DataFrame, key: str, weight: str, n: int, out: str = "part", most_classes: int = MAX_CLASSES) -> DataFrame:
+    """Deal rows to n parts as a greedy longest-first packing does: each row, heaviest first, to the part with the least load.
+
+    Only counts of rows by weight reach the driver, heaviest first and one at a time; what each part gets of a class
+    comes from the counts, and the rows of a class are numbered (by range-wise counts) into the parts' places. `key` is
+    a number that is unique. A null weight counts as 0; more than `most_classes` different weights are an error: round
+    them first.
     """
-    classes = Window.partitionBy(weight, "__salt").orderBy(F.xxhash64(key), key)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.lit(1), key), F.lit(64)))
-    ranked = salted.withColumn("__rn", F.row_number().over(classes) - 1)
-    forward = F.pmod(F.col("__rn") + F.col("__salt"), F.lit(n))
-    return ranked.withColumn(out, F.when(F.col(weight) % 2 == 0, forward).otherwise(n - 1 - forward).cast("int")).drop("__salt", "__rn")
+    spark, kind = df.sparkSession, df.schema[weight].dataType.simpleString()
+    rows = df.withColumn("__w", F.coalesce(F.col(weight), F.lit(0).cast(kind)))
+    counts = rows.groupBy("__w").agg(F.count(F.lit(1)).alias("__n"))
+    shares = []
+    for w, share in greedy_shares(((r["__w"], r["__n"]) for r in counts.orderBy(F.desc("__w")).toLocalIterator()), n):
+        shares.append((w, list(accumulate(share))))
+        if len(shares) > most_classes:
+            raise ValueError(f"over {most_classes} different weights; round them first")
+    ends = materialize(spark.createDataFrame(shares, f"__w {kind}, __ends array<long>"), "balanced_ends")
+    place = prefix_totals(rows, ["__w"], key, {"__n": F.count(F.lit(1))}).select("__w", key, F.col("before___n").alias("__place"))
+    placed = join_groups(place, ends, ["__w"]).select("__w", key, F.size(F.filter("__ends", lambda e: e <= F.col("__place"))).alias(out))
+    return join_groups(rows.drop(*([out] if out in df.columns else [])), placed, ["__w", key]).drop("__w")
 
 
 def share_of_max(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import rules, text
 from tidewater.operators import relational, windows
 from tidewater.operators.asof import asof_lookback
+from tidewater.operators.thinning import thin_by_gap
 from tidewater.plans.catalog import query
 from tidewater.sources.tables import table
 
@@ -188,7 +189,7 @@ k AS (SELECT user_id, i, event_id, t, t AS last, true AS kept FROM s WHERE i = 1
 SELECT event_id, user_id FROM k WHERE kept
 """)
 def thin_by_seven_days(spark: SparkSession, folder: str) -> DataFrame:
-    return windows.thin_by_gap(table(spark, folder, "events"), "user_id", "ts", "event_id", 7 * 86400).select("event_id", "user_id")
+    return thin_by_gap(table(spark, folder, "events"), "user_id", "ts", "event_id", 7 * 86400).select("event_id", "user_id")
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import htest, metrics
+from tidewater.operators import htest, metrics, windows
 from tidewater.operators.ranks import mid_ranks
 from tidewater.plans.catalog import query
 from tidewater.plans.predictions import PREDS_SQL, long_predictions, predictions
@@ -240,6 +240,46 @@ def wilcoxon(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("toxic", "n", "w_plus", "w", F.round("z", 8).alias("z"))
 
 
+#: Groups of at most twelve labels, whose sign patterns SQL can enumerate.
+SMALL_GROUP = 12
+
+
+@query(f"""
+WITH {PREDS_SQL},
+b AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // {SMALL_GROUP} AS block_group FROM labels),
+q AS (SELECT block_group, p.* FROM preds p JOIN b USING (doc_id)),
+d AS (SELECT x.block_group, x.method AS level_a, y.method AS level_b, round(x.score * 101)::BIGINT - round(y.score * 101)::BIGINT AS d FROM q x JOIN q y ON x.doc_id = y.doc_id AND x.method < y.method),
+k AS (SELECT *, abs(d) AS s, row_number() OVER (PARTITION BY block_group, level_a, level_b) - 1 AS i FROM d WHERE d <> 0),
+r AS (SELECT *, 2 * rank() OVER (PARTITION BY block_group, level_a, level_b ORDER BY s) + count(*) OVER (PARTITION BY block_group, level_a, level_b, s) - 1 AS r2 FROM k),
+w AS (SELECT block_group, level_a, level_b, count(*) AS n, coalesce(sum(r2) FILTER (d > 0), 0) AS w2 FROM r GROUP BY ALL),
+e AS (SELECT block_group, level_a, level_b, n, w2, unnest(range(1 << n)) AS signs FROM w),
+t AS (SELECT e.block_group, e.level_a, e.level_b, e.n, e.w2, signs, sum(CASE WHEN (signs >> i) & 1 = 1 THEN r2 ELSE 0 END) AS w FROM e JOIN r USING (block_group, level_a, level_b) GROUP BY ALL)
+SELECT block_group, level_a, level_b, n, w2 / 2.0::DOUBLE AS w_plus, true AS exact, round(least(1.0, 2.0 * least(count(*) FILTER (w <= w2), count(*) FILTER (w >= w2)) / (1 << n)), 10) AS p_value FROM t GROUP BY block_group, level_a, level_b, n, w2
+UNION ALL SELECT block_group, level_a, level_b, 0, 0.0, true, 1.0 FROM d GROUP BY ALL HAVING count(*) FILTER (d <> 0) = 0
+""")
+def wilcoxon_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact signed-rank tests of all pairs of methods within groups of twelve labelled documents."""
+    order = windows.factorise(table(spark, folder, "labels").select("doc_id"), "doc_id", "doc_id", "place")
+    groups = order.select("doc_id", F.floor(F.col("place") / SMALL_GROUP).alias("block_group"))
+    rows = predictions(spark, folder).join(groups, "doc_id").withColumn("points", F.round(F.col("score") * 101).cast("long"))
+    out = htest.signed_rank_pairs(rows, ["block_group"], ["doc_id"], "method", "points")
+    return out.select("block_group", "level_a", "level_b", "n", "w_plus", "exact", F.round("p_value", 10).alias("p_value"))
+
+
+@query(f"""
+WITH {PREDS_SQL},
+d AS (SELECT x.method AS level_a, y.method AS level_b, round(x.score * 101)::BIGINT - round(y.score * 101)::BIGINT AS d FROM preds x JOIN preds y ON x.doc_id = y.doc_id AND x.method < y.method),
+k AS (SELECT *, abs(d) AS s FROM d WHERE d <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY level_a, level_b ORDER BY s) + (count(*) OVER (PARTITION BY level_a, level_b, s) - 1) / 2.0 AS mid, count(*) OVER (PARTITION BY level_a, level_b, s) AS tied FROM k),
+s AS (SELECT level_a, level_b, count(*)::DOUBLE AS n, coalesce(sum(mid) FILTER (d > 0), 0) AS w_plus, sum(tied * tied - 1)::DOUBLE AS ties FROM r GROUP BY ALL)
+SELECT level_a, level_b, n::BIGINT AS n, w_plus::DOUBLE AS w_plus, n <= 50 AS exact, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 8) AS z FROM s
+""")
+def wilcoxon_all_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Signed-rank statistics of all pairs of methods over all labelled documents."""
+    rows = predictions(spark, folder).withColumn("points", F.round(F.col("score") * 101).cast("long"))
+    return htest.signed_rank_pairs(rows, [], ["doc_id"], "method", "points").select("level_a", "level_b", "n", "w_plus", "exact", F.round("z", 8).alias("z"))
+
+
 @query(f"""
 WITH {PREDS_SQL},
 r AS (SELECT toxic, method, rank() OVER (PARTITION BY toxic ORDER BY score) + (count(*) OVER (PARTITION BY toxic, score) - 1) / 2.0 AS mid, count(*) OVER (PARTITION BY toxic, score) AS tied FROM preds),

@@ -147,11 +147,29 @@ def ntile_partition(spark: SparkSession, folder: str) -> DataFrame:
     return windows.contiguous_parts(table(spark, folder, "documents").select("doc_id"), "doc_id", 7)
 
 
-@query()
+_GREEDY = """
+WITH RECURSIVE w AS ({rows}), s AS (SELECT weight, row_number() OVER (ORDER BY weight DESC) AS i FROM w),
+g AS (SELECT 0::BIGINT AS i, list_transform(range({n}), lambda x: 0::BIGINT) AS loads, 0 AS part
+  UNION ALL SELECT s.i, list_transform(range(1, {n} + 1), lambda j: loads[j] + CASE WHEN j = list_position(loads, list_min(loads)) THEN s.weight ELSE 0 END), list_position(loads, list_min(loads))
+  FROM g JOIN s ON s.i = g.i + 1)
+SELECT (part - 1)::INT AS part, sum(weight)::BIGINT AS load, count(*) AS n FROM g JOIN s USING (i) GROUP BY part
+"""
+
+
+def _loads(rows: DataFrame, n: int) -> DataFrame:
+    return windows.balanced_parts(rows, "doc_id", "weight", n).groupBy("part").agg(F.sum("weight").cast("long").alias("load"), F.count(F.lit(1)).alias("n"))
+
+
+@query(_GREEDY.format(rows="SELECT (quality <> -1)::BIGINT + (toxic = 1)::BIGINT AS weight FROM labels", n=8))
 def balanced_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents dealt to 8 parts whose numbers of observed targets come close; the parts' loads."""
-    labels = table(spark, folder, "labels").select("doc_id", ((F.col("quality") != -1).cast("int") + (F.col("toxic") == 1).cast("int")).alias("weight"))
-    return windows.balanced_parts(labels, "doc_id", "weight", 8).groupBy("part").agg(F.sum("weight").alias("load"), F.count(F.lit(1)).alias("n"))
+    return _loads(table(spark, folder, "labels").select("doc_id", ((F.col("quality") != -1).cast("int") + (F.col("toxic") == 1).cast("int")).alias("weight")), 8)
+
+
+@query(_GREEDY.format(rows="SELECT coalesce(n_chars, 0) AS weight FROM documents", n=12))
+def greedy_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents dealt longest first to 12 workers; the workers' loads in characters."""
+    return _loads(table(spark, folder, "documents").select("doc_id", F.col("n_chars").alias("weight")), 12)
 
 
 @query("""
