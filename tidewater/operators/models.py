@@ -13,6 +13,8 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.search import Range, bayesian_search
+
 
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
     """Mean imputation, one-hot encoding (unseen values are all zeros) and scaling, into `features`; saved by PipelineModel.save."""
@@ -52,6 +54,17 @@ def search_lasso(train: DataFrame, label: str, strengths: Sequence[float], seed:
     return TrainValidationSplit(estimator=model, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), trainRatio=0.8, seed=seed).fit(train)
 
 
+def search_bayesian(train: DataFrame, test: DataFrame, label: str, trials: int, initial: int = 5, seed: int = 42) -> list[dict[str, float]]:
+    """Trials of a penalised logistic regression: strength and mixing (0 ridge, 1 lasso), each with its AUC on `test`."""
+    auc = BinaryClassificationEvaluator(labelCol=label)
+
+    def evaluate(p: dict[str, float]) -> float:
+        model = LogisticRegression(labelCol=label, weightCol="weight", elasticNetParam=p["mixing"], regParam=p["strength"], maxIter=50)
+        return auc.evaluate(model.fit(train).transform(test))
+
+    return bayesian_search(evaluate, [Range("strength", 1e-4, 1.0, log=True), Range("mixing", 0.0, 1.0)], trials, initial, seed)
+
+
 def scored(model, df: DataFrame, keep: Sequence[str], name: str = "score") -> DataFrame:
     """The probability of class 1 beside the kept columns."""
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(name))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import rules, text
-from tidewater.operators import features, metrics, models, prompting, sampling
+from tidewater.operators import features, metrics, mixed, models, prompting, reports, sampling, tree_shap
 from tidewater.plans.catalog import query
 from tidewater.plans.predictions import PREDS_SQL, long_predictions, predictions
 from tidewater.sources import readers, sinks
 from tidewater.sources.tables import table
-from tidewater.sources.work import work_folder
+from tidewater.sources.work import materialize, work_folder
 from tidewater.streaming import events as streams
 
 #: The prompt grid's parts.
@@ -97,6 +97,70 @@ def variance_share(spark: SparkSession, folder: str) -> DataFrame:
     return models.variance_share(table(spark, folder, "documents"), "source", "n_chars").select(F.round("icc", 8).alias("icc"))
 
 
+@query()
+def tree_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean absolute Shapley values of boosted trees on document features, and the features' correlation with them."""
+    rows, numeric = _model_rows(spark, folder), ["n_chars", "n_words", "n_lines", "n_symbols"]
+    prepared = models.preprocessing(numeric, []).fit(rows.filter("part = 'train'")).transform(rows)
+    fitted = models.boosted_trees("y").fit(prepared.filter("part = 'train'"))
+    return tree_shap.importance(tree_shap.tree_attributions(fitted, prepared, ["doc_id"]), numeric)
+
+
+@query()
+def stacked_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """What each method's score adds to the stacked model, by Shapley values."""
+    names = ["prompting", "tabular", "nlp", "finetune"]
+    wide = predictions(spark, folder).groupBy("doc_id", F.col("quality").cast("double").alias("y")).pivot("method", names).agg(F.max("score"))
+    prepared = models.preprocessing(names, []).fit(wide).transform(wide)
+    return tree_shap.importance(tree_shap.tree_attributions(models.boosted_trees("y", trees=5).fit(prepared), prepared, ["doc_id"]), names)
+
+
+@query()
+def bayes_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Strength and mixing of a penalised logistic model searched with expected improvement: each trial with its held-out AUC."""
+    rows = _model_rows(spark, folder)
+    prepared = models.preprocessing(["n_chars", "n_words", "n_lines", "n_symbols"], ["lang"]).fit(rows.filter("part = 'train'")).transform(rows)
+    train = materialize(models.balanced_weights(prepared.filter("part = 'train'"), "y").select("features", "y", "weight"), "search_train")
+    test = materialize(prepared.filter("part = 'test'").select("features", "y"), "search_test")
+    trials = models.search_bayesian(train, test, "y", trials=6, initial=3)
+    return spark.createDataFrame([(i, t["strength"], t["mixing"], t["score"]) for i, t in enumerate(trials)], "trial int, strength double, mixing double, auc double")
+
+
+def _order_model(spark: SparkSession, folder: str):
+    orders = table(spark, folder, "orders").select("o_custkey", F.log("o_totalprice").alias("price"), (F.datediff("o_orderdate", F.lit("1995-01-01")) / 1000.0).alias("day"), "o_orderpriority")
+    rows, levels = mixed.with_indicators(orders, "o_orderpriority")
+    return mixed.random_intercept(rows, "o_custkey", "price", ["day", *levels])
+
+
+@query("""
+WITH o AS (SELECT o_custkey, ln(o_totalprice) - (SELECT avg(ln(o_totalprice)) FROM orders) AS y FROM orders),
+g AS (SELECT count(*)::DOUBLE AS n, sum(y) AS t, sum(y * y) AS q FROM o GROUP BY o_custkey),
+r AS (SELECT i / 20.0::DOUBLE AS icc, (i / 20.0::DOUBLE) / (1 - i / 20.0::DOUBLE) AS k FROM range(20) t(i)),
+s AS (SELECT icc, sum(n) AS n, sum(ln(1 + k * n)) AS l, sum(n) - sum(k * n * n / (1 + k * n)) AS a, sum(t) - sum(k * n * t / (1 + k * n)) AS b, sum(q) - sum(k * t * t / (1 + k * n)) AS q FROM g, r GROUP BY icc)
+SELECT icc, round((n - 1) * ln(q - b * b / a) + l + ln(a), 5) AS criterion FROM s
+""")
+def reml_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Minus twice the restricted likelihood of a random intercept for each customer, by intraclass correlation."""
+    fit = mixed.random_intercept(table(spark, folder, "orders").select("o_custkey", F.log("o_totalprice").alias("y")), "o_custkey", "y")
+    return spark.createDataFrame([(i / 20, round(fit.criterion(i / 20), 5)) for i in range(20)], "icc double, criterion double")
+
+
+@query()
+def icc_posterior(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and 95 % interval of the customers' share of the variance of log prices, beside day and priority."""
+    fit = _order_model(spark, folder)
+    return reports.posterior_summary(fit.draw_table(fit.posterior()), [], "icc").withColumn("reml", F.lit(fit.reml()["icc"]))
+
+
+@query()
+def effects_on_characteristics(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers' random intercepts regressed on three of their characteristics in each draw, summarised over the draws."""
+    fit = _order_model(spark, folder)
+    draws = fit.group_draws(fit.posterior(draws=200)).select(F.col("o_custkey").alias("c_custkey"), F.posexplode("effects").alias("draw", "effect"))
+    customers = table(spark, folder, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("balance"), (F.col("c_mktsegment") == "BUILDING").cast("double").alias("builds"), (F.col("c_nationkey") < 12).cast("double").alias("near"))
+    return reports.posterior_summary(reports.regress_per_draw(draws, "draw", "c_custkey", "effect", customers, ["balance", "builds", "near"]), ["term"], "coefficient")
+
+
 @query("""
 WITH g AS (SELECT i AS prompt_id, ['Estimate the risk. ', 'Give the risk. ', 'State the risk. '][i // 16 % 3 + 1] || ['', 'You are an expert. '][i // 8 % 2 + 1] || ['', 'Use the dates. '][i // 4 % 2 + 1] || ['', 'Think first. '][i // 2 % 2 + 1] || ['Answer as JSON.', 'Answer in one line.'][i % 2 + 1] AS prompt FROM range(48) t(i))
 SELECT item_id, prompt_id, prompt || chr(10) || chr(10) || text AS message, CASE WHEN prompt_id < 24 THEN 'plain' ELSE 'simple' END AS phrase, prompt_id % 2 = 1 AS one_line FROM benchmark JOIN g ON prompt_id = item_id % 48
