@@ -2,7 +2,7 @@
 
 Documents are sorted by id over the cluster. Each task of the sort encodes its documents, appends the end id to each and
 writes one file of ids: an uncompressed Arrow stream of two fixed-size-list columns, `ids` (16-bit numbers where the
-vocabulary allows it, else 32-bit) and `mask` (1 for an id, 0 for the padding that ends a file). All batches but the last
+vocabulary allows it, else 32-bit) and `mask` (true for an id, false for the padding that ends a file; a bit each). All batches but the last
 hold `rows_per_batch` sequences, so that a sequence's batch is known from its number, and a mapped file gives its ids
 without a copy (`TokenFile.sequence`). Beside it stands a stream of its documents (doc_id, start in the file, n_tokens),
 because an end id may also be an ordinary token.
@@ -18,9 +18,13 @@ tasks. An empty table gives an empty manifest and no files. Other columns aren't
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,41 +35,87 @@ from pyspark.sql import functions as F
 from tidewater.sources.work import new_folder
 
 WIDTH, END_ID, ROWS_PER_BATCH = 2048, 1, 64
-#: Words kept with their ids, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
+#: Pieces kept with their ids (twice as many at most), the longest of them, and the text that is cut at a time, in bytes.
+KEPT_PIECES, KEPT_BYTES, CHUNK_BYTES = 300_000, 64, 1 << 20
+#: Where texts are cut: between ASCII characters of different kinds, so that what touches another character stays with it.
+_BLANK, _MORE = rb" \t\n\r\x0b\x0c", rb"\x80-\xff"
+_LETTERS, _OTHERS = rb"'?[A-Za-z]++", rb"[^A-Za-z0-9" + _BLANK + _MORE + rb"]++"
+_MIXED = rb"(?:%(l)s|%(o)s)?(?:[%(m)s]++(?:%(l)s|%(o)s)?)++" % {b"l": _LETTERS, b"o": _OTHERS, b"m": _MORE}
+PIECES = re.compile(rb"%(l)s(?![%(m)s])|%(x)s|%(o)s|[0-9]" % {b"l": _LETTERS, b"o": _OTHERS, b"m": _MORE, b"x": _MIXED})
+SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 MANIFEST = "part long, ids_file string, docs_file string, n_docs long, n_tokens long, n_sequences long"
 
 
-class WordIds:
+class TextIds:
     """Ids of texts under a tokenizers .json file, as little-endian bytes of `kind`.
 
-    With `by_words` a text is cut at ASCII white space and each word encoded once, which gives the same ids for
-    tokenizers that drop white space and never join what it parts; without it whole texts are encoded.
+    With `by_pieces` texts are cut at ASCII white space, and words into runs of ASCII letters (with an apostrophe before
+    them), single digits and runs of other ASCII characters; what touches a character beyond ASCII stays one piece with
+    it. Each different piece is encoded once and its ids are kept. That
+    gives the same ids for tokenizers that drop white space and never join what these cuts part; for others whole texts
+    are encoded. A text that holds `<|`, as added tokens do, is cut at white space only.
     """
 
-    def __init__(self, path: str, kind: str, by_words: bool = True):
+    def __init__(self, path: str, kind: str, by_pieces: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.by_words = Tokenizer.from_file(path), kind, by_words
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has a core
+        self.tokenizer, self.kind, self.by_pieces = Tokenizer.from_file(path), np.dtype(kind), by_pieces
         self.known: dict[bytes, bytes] = {}
-
-    def encoded(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
-
-    def __call__(self, text: bytes) -> bytes:
-        if not self.by_words:
-            return self.encoded([text])[0]
-        words, known = text.split(), self.known
-        new = list(set(words).difference(known))
-        if not new:
-            return b"".join(map(known.__getitem__, words))
-        ids = dict(zip(new, self.encoded(new), strict=True))
-        found = b"".join([known[w] if w in known else ids[w] for w in words])
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        known.update((w, x) for w, x in ids.items() if len(w) <= CACHE_BYTES)
-        return found
+        self.before: dict[bytes, bytes] = {}  # those that were known when `known` was last full
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_pieces:
+            found = self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)
+            return [np.array(x.ids, self.kind).tobytes() for x in found]
+        out, held, size = [], [], 0
+        for text in texts:
+            if len(text) > CHUNK_BYTES:
+                out += self._encoded(held)
+                held, size = [], 0
+                out.append(b"".join(x for part in _cut_long(text) for x in self._encoded([part])))
+                continue
+            held.append(text)
+            size += len(text)
+            if size > CHUNK_BYTES:
+                out += self._encoded(held)
+                held, size = [], 0
+        return out + self._encoded(held)
+
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        cut = [text.split() if b"<|" in text else PIECES.findall(text) for text in texts]
+        known, before = self.known, self.before
+        new = set(chain.from_iterable(cut)).difference(known)
+        missing = list(new.difference(before))
+        known.update((piece, before[piece]) for piece in new.intersection(before))
+        if missing:
+            found = self.tokenizer.encode([x.decode() for x in missing], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, self.kind).tobytes()
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(missing) + 1)) * self.kind.itemsize
+            known.update(zip(missing, (ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for piece in missing:
+            if len(piece) > KEPT_BYTES:
+                del known[piece]
+        if len(known) > KEPT_PIECES:
+            self.known, self.before = {}, known
+        return out
+
+
+def _cut_long(text: bytes) -> Iterator[bytes]:
+    """A text in parts that end at white space, of about CHUNK_BYTES where there is any."""
+    start = 0
+    while start < len(text):
+        found = SPACE.search(text, start + CHUNK_BYTES)
+        end = found.end() if found else len(text)
+        yield text[start:end]
+        start = end
+
+
+@lru_cache(4)
+def _text_ids(path: str, kind: str, by_pieces: bool) -> TextIds:
+    """One for each Python worker, so that its tasks share the pieces."""
+    return TextIds(path, kind, by_pieces)
 
 
 def id_kind(path: str, end_id: int = END_ID) -> str:
@@ -91,7 +141,7 @@ class _SequenceWriter:
     def __init__(self, path: str, kind: str, width: int, rows: int):
         self.kind, self.width, self.size = np.dtype(kind), width, rows * width
         value = pa.from_numpy_dtype(self.kind)
-        self.schema = pa.schema([("ids", pa.list_(value, width)), ("mask", pa.list_(pa.uint8(), width))])
+        self.schema = pa.schema([("ids", pa.list_(value, width)), ("mask", pa.list_(pa.bool_(), width))])
         self.file = _open(path, write=True)
         self.out = pa.ipc.new_stream(self.file, self.schema)
         self.held: list[bytes] = []
@@ -110,7 +160,7 @@ class _SequenceWriter:
 
     def _write(self, flat: np.ndarray) -> None:
         pad = -len(flat) % self.width
-        mask = np.concatenate([np.ones(len(flat), np.uint8), np.zeros(pad, np.uint8)])
+        mask = np.arange(len(flat) + pad) < len(flat)
         flat = np.concatenate([flat, np.zeros(pad, self.kind)])
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (flat, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
@@ -134,14 +184,15 @@ class TokenFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, mask) of the i-th sequence, as views of the file."""
         batch, row = self.batches[i // self.rows], i % self.rows
-        return tuple(batch.column(c).slice(row, 1).flatten().to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+        ids, mask = (batch.column(c).slice(row, 1).flatten() for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
-                      end_id: int = END_ID, rows_per_batch: int = ROWS_PER_BATCH, by_words: bool = True) -> DataFrame:
+                      end_id: int = END_ID, rows_per_batch: int = ROWS_PER_BATCH, by_pieces: bool = True) -> DataFrame:
     """Write the documents' ids in ascending order of doc_id; returns the manifest (its columns: MANIFEST, and first_token,
     the number of ids in all files before).
     """
@@ -154,7 +205,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     names = [part.split()[0] for part in MANIFEST.split(", ")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordIds(tokenizer, kind, by_words), np.array([end_id], kind).tobytes()
+        encode, end = _text_ids(tokenizer, kind, by_pieces), np.array([end_id], kind).tobytes()
         part, size = TaskContext.get().partitionId(), len(end)
         name = f"{folder}/files/part-{part:06d}-{uuid.uuid4().hex}"
         ids = index = None
@@ -167,12 +218,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
                 schema = pa.schema([("doc_id", batch.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index_file = _open(f"{name}.docs.arrow", write=True)
                 index = pa.ipc.new_stream(index_file, schema)
-            lengths = np.zeros(batch.num_rows, np.int64)
-            for i, value in enumerate(batch.column(1)):
-                found = encode(value.as_py())
-                ids.add(found)
+            found = encode(batch.column(1).to_pylist())
+            for one in found:
+                ids.add(one)
                 ids.add(end)
-                lengths[i] = len(found) // size + 1
+            lengths = np.array([len(one) // size + 1 for one in found], np.int64)
             starts = start + np.cumsum(lengths) - lengths
             index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts), pa.array(lengths)], schema=schema))
             start, n_docs = start + int(lengths.sum()), n_docs + batch.num_rows
@@ -226,8 +276,8 @@ def read_documents(manifest: DataFrame, kind: str = "long") -> DataFrame:
 def _masked_ids(file: TokenFile) -> Iterator[np.ndarray]:
     """The ids of a file without its padding, a batch at a time, as 32-bit numbers."""
     for batch in file.batches:
-        ids, mask = (batch.column(c).flatten().to_numpy() for c in ("ids", "mask"))
-        yield ids[mask != 0].astype("<u4")
+        ids, mask = batch.column("ids").flatten().to_numpy(), batch.column("mask").flatten()
+        yield (ids if mask.true_count == len(ids) else ids[mask.to_numpy(zero_copy_only=False)]).astype("<u4")
 
 
 def read_sequences(manifest: DataFrame) -> DataFrame:
@@ -240,8 +290,8 @@ def read_sequences(manifest: DataFrame) -> DataFrame:
                 for found in TokenFile(row["ids_file"]).batches:
                     n, width = found.num_rows, found.column("ids").type.list_size
                     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
-                    ids, mask = (pa.ListArray.from_arrays(offsets, found.column(c).flatten().cast(t)) for c, t in (("ids", pa.int64()), ("mask", pa.int8())))
+                    ids, mask = (pa.ListArray.from_arrays(offsets, found.column(c).flatten().cast(t)) for c, t in (("ids", pa.int64()), ("mask", pa.bool_())))
                     yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n), pa.array(np.arange(at, at + n)), ids, mask], ["part", "sequence", "ids", "mask"])
                     at += n
 
-    return _a_task_each(manifest).mapInArrow(read, "part long, sequence long, ids array<long>, mask array<byte>")
+    return _a_task_each(manifest).mapInArrow(read, "part long, sequence long, ids array<long>, mask array<boolean>")
