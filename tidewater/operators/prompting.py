@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,54 @@ def call_model(df: DataFrame, prompt: str, generate: Generate, retries: int = 10
     return df.mapInPandas(run, f"{fields}, reply string, attempts int")
 
 
+def call_in_batches(df: DataFrame, prompt: str, open_client: Callable[[], Generate], most_padded: int = 65536, retries: int = 3, ok: Callable[[str], bool] = bool) -> DataFrame:
+    """The rows with `reply`, `attempts`, `error`, and their `batch` and its length (`padded`): calls to a client that pads a batch to its longest text.
+
+    Each task opens one client, which is any function from prompts to replies, and closes it at the end if it can be
+    closed. Rows are sorted by length within their partitions, and a batch is closed before its rows times its longest
+    text pass `most_padded` characters; a longer text is a batch of its own. A call that fails, and replies that aren't
+    ok, are tried again up to `retries` times in all; what is left has a null reply and the last error. A null prompt isn't
+    asked.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def asked(client: Generate, part: list[dict], number: int) -> pd.DataFrame:
+        replies, tries, errors = [None] * len(part), [0] * len(part), [None] * len(part)
+        left = [i for i, row in enumerate(part) if row[prompt] is not None]
+        for attempt in range(1, retries + 1):
+            if not left:
+                break
+            try:
+                found, error = client([part[i][prompt] for i in left]), None
+            except Exception as e:  # whatever a client may raise: the batch is asked for again
+                found, error = [None] * len(left), str(e)
+            for i, text in zip(left, found, strict=True):
+                tries[i], errors[i] = attempt, error or ("not ok" if text is None or not ok(text) else None)
+                replies[i] = text if errors[i] is None else None
+            left = [i for i in left if errors[i] is not None]
+        longest = max((len(row[prompt] or "") for row in part), default=0)
+        return pd.DataFrame(part).assign(reply=replies, attempts=tries, error=errors, batch=number, padded=longest)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, part, number = None, [], TaskContext.get().partitionId() << 32
+        try:
+            for frame in frames:
+                for row in frame.to_dict("records"):
+                    if part and (len(part) + 1) * len(row[prompt] or "") > most_padded:
+                        yield asked(client, part, number)
+                        part, number = [], number + 1
+                    client = client or open_client()
+                    part.append(row)
+            if part:
+                yield asked(client, part, number)
+        finally:
+            if hasattr(client, "close"):
+                client.close()
+
+    by_length = df.sortWithinPartitions(F.char_length(prompt).asc_nulls_first())
+    return by_length.mapInPandas(run, f"{fields}, reply string, attempts int, error string, batch long, padded long")
+
+
 def once_per_text(df: DataFrame, text: str, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a costly step on distinct texts only and join its result back."""
     keyed = df.withColumn("__text_key", F.sha2(F.col(text).cast("binary"), 256))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,3 +89,19 @@ def word_metric_change(docs: DataFrame, scores: DataFrame, key: str, text: str,
     rate = F.col("in_wrong") / F.nullif(F.col("in_hits"), F.lit(0.0)) - (F.col("all_wrong") - F.col("in_wrong")) / F.nullif(F.col("all_hits") - F.col("in_hits"), F.lit(0.0))
     kept = out.filter(F.col("all_pos") + F.col("all_neg") - F.col("n") >= least)
     return kept.select("word", F.col("n").alias("n_present"), F.round(F.col("auc") - others, 8).alias("change_in_auc"), F.round(rate, 8).alias("change_in_fdr"))
+
+
+def vocabulary_model(docs: DataFrame, terms: str, vocabulary: Sequence[str], idf: bool = True, out: str = "features") -> PipelineModel:
+    """Sparse vectors over a fixed vocabulary from an array column of terms, as a pipeline that can be saved and loaded.
+
+    Counts; with `idf` weighed by ln((1 + n) / (1 + df)) + 1, fitted on `docs`, and scaled to unit length. A document
+    without a term of the vocabulary, or with null terms, is a vector of zeros.
+    """
+    known = SQLTransformer(statement=f"SELECT *, coalesce(`{terms}`, array()) AS __terms FROM __THIS__")
+    counts = CountVectorizerModel.from_vocabulary(list(vocabulary), "__terms", "__counts" if idf else out)
+    stages = [known, counts]
+    if idf:
+        fitted = IDF(inputCol="__counts", outputCol="__idf").fit(counts.transform(known.transform(docs)))
+        scale = ElementwiseProduct(scalingVec=Vectors.dense([x + 1 for x in fitted.idf.toArray()]), inputCol="__counts", outputCol="__weights")
+        stages += [scale, Normalizer(p=2.0, inputCol="__weights", outputCol=out)]
+    return PipelineModel([*stages, SQLTransformer(statement=f"SELECT * EXCEPT ({'__terms, __counts, __weights' if idf else '__terms'}) FROM __THIS__")])

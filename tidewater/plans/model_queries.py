@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import rules, text
-from tidewater.operators import features, metrics, mixed, models, prompting, reports, sampling, tree_shap
+from tidewater.operators import features, fusion, metrics, mixed, models, prompting, reports, sampling, tree_shap
 from tidewater.plans.catalog import query
 from tidewater.plans.predictions import PREDS_SQL, long_predictions, predictions
-from tidewater.sources import readers, sinks
+from tidewater.sources import npz, readers, sinks
 from tidewater.sources.tables import table
-from tidewater.sources.work import materialize, work_folder
+from tidewater.sources.work import materialize, new_folder
 from tidewater.streaming import events as streams
 
 #: The prompt grid's parts.
@@ -226,9 +227,7 @@ SELECT doc_id, lang, source, n_chars FROM documents
 """)
 def sink_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written by language and as quoted CSV parts, and both read again."""
-    import uuid
-
-    path = f"{work_folder(spark)}/tidewater-sink-{uuid.uuid4().hex}"
+    path = new_folder(spark, "sink")
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
     sinks.write_by(docs.select("doc_id", "lang"), f"{path}/by_lang", ["lang"])
     sinks.write_parts(docs.select("doc_id", "source", "n_chars"), f"{path}/parts.csv", 4, "doc_id", "csv")
@@ -300,3 +299,37 @@ def dictionary_join(spark: SparkSession, folder: str) -> DataFrame:
     codes = spark.createDataFrame([("en", 1), ("fr", 2), ("de", 3)], "code string, rank int")
     mapped = rules.map_by_join(table(spark, folder, "documents").select("source", "lang"), "lang", codes, "code", "rank", "lang_rank", 9)
     return mapped.groupBy("source", "lang", "lang_rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT vec_id, label::BIGINT AS label, len(embedding)::BIGINT AS length, round(list_sum(embedding::DOUBLE[]), 6) AS total, embedding[1]::DOUBLE AS first FROM embeddings
+""")
+def npz_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings written as bundles of arrays, of unequal size, and read again by slices."""
+    path = new_folder(spark, "bundles")
+    rows = table(spark, folder, "embeddings")
+    npz.write_npz(rows.filter("vec_id % 3 = 0"), path, rows_per_file=70)
+    npz.write_npz(rows.filter("vec_id % 3 <> 0").repartition(2, "vec_id"), path, rows_per_file=1000)
+    back = npz.read_npz(spark, path, rows_per_task=300)
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6)
+    return back.select("vec_id", "label", F.size("embedding").cast("long").alias("length"), total.alias("total"), F.col("embedding")[0].alias("first"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')) AS v, length(text) AS n FROM conversations)
+SELECT conv_id, turn, 1 AS attempts, round(round_even(v / greatest(n, 1), 4), 4) AS probability FROM c
+""")
+def length_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Each message answered by a stand-in model that is called with batches of like length, one client a task."""
+    asked = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    replies = prompting.call_in_batches(asked, "text", lambda: _stub).withColumn("r", text.parse_reply(F.col("reply")))
+    return replies.select("conv_id", "turn", "attempts", F.round("r.probability", 4).alias("probability"))
+
+
+@query()
+def mid_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Losses by epoch of a network over document features and embeddings, with early stopping on held-out documents."""
+    rows = _model_rows(spark, folder).join(table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    prepared = models.preprocessing(["n_chars", "n_words", "n_lines", "n_symbols"], []).fit(rows.filter("part = 'train'")).transform(rows)
+    prepared = prepared.select(vector_to_array("features").alias("features"), "embedding", "y", (F.col("part") == "test").alias("held_out"))
+    return fusion.train_fusion(prepared, "features", "embedding", "y", "held_out", epochs=8).losses(spark)

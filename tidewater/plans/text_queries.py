@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import text
 from tidewater.operators import htest, relational, sampling, windows
 from tidewater.operators.textstats import ngram_totals as count_ngrams
-from tidewater.operators.textstats import tfidf_terms, word_contrast as contrast
+from tidewater.operators.textstats import tfidf_terms, vocabulary_model, word_contrast as contrast
 from tidewater.plans.catalog import query
 from tidewater.plans.predictions import PREDS_SQL, predictions
 from tidewater.sources.tables import spread, table
+from tidewater.sources.work import materialize
 
 #: Words left out before counting.
 STOP_WORDS = ("the", "and", "of", "to", "in", "is", "it", "la", "de", "der", "die", "und", "el", "le")
@@ -48,6 +50,29 @@ def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
     return tfidf_terms(_clean_docs(spark, folder), "doc_id", "text", [1, 2], 250)
 
 
+#: The vocabulary of vocabulary_tfidf.
+VOCABULARY = ("the", "of", "and", "in", "der", "die", "la", "de", "el", "of the", "in the", "de la")
+
+
+@query(f"""
+WITH {_SENTENCES_SQL}, {_BIGRAMS_SQL}, {_UNIGRAMS_SQL},
+c AS (SELECT doc_id, word, count(*)::DOUBLE AS tf FROM (SELECT * FROM unigrams UNION ALL SELECT * FROM bigrams) WHERE list_contains({list(VOCABULARY)}, word) GROUP BY ALL),
+df AS (SELECT word, count(*)::DOUBLE AS df FROM c GROUP BY word),
+w AS (SELECT doc_id, word, tf, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM c JOIN df USING (word)),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
+SELECT doc_id, word, tf, round(w / norm, 8) AS weight FROM w JOIN n USING (doc_id)
+""")
+def vocabulary_tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and tf-idf of a fixed vocabulary as sparse vectors, shown as rows."""
+    docs = materialize(_clean_docs(spark, folder).select("doc_id", text.sentence_ngrams(F.col("text"), [1, 2]).alias("terms")), "terms")
+    weighed = vocabulary_model(docs, "terms", VOCABULARY).transform(docs).drop("terms")
+    counted = vocabulary_model(docs, "terms", VOCABULARY, idf=False, out="counts").transform(docs).drop("terms")
+    both = F.arrays_zip(vector_to_array("counts").alias("tf"), vector_to_array("features").alias("weight"))
+    rows = weighed.join(counted, "doc_id").select("doc_id", F.posexplode(both).alias("i", "v")).filter("v.tf > 0")
+    word = F.element_at(F.array(*[F.lit(w) for w in VOCABULARY]), F.col("i") + 1)
+    return rows.select("doc_id", word.alias("word"), F.col("v.tf").alias("tf"), F.round("v.weight", 8).alias("weight"))
+
+
 @query(f"""
 WITH {PREDS_SQL}, {_SENTENCES_SQL}, {_UNIGRAMS_SQL},
 vocabulary AS (SELECT word, count(*) AS total FROM unigrams GROUP BY word HAVING NOT regexp_matches(word, '\\p{{N}}')),

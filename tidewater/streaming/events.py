@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.sources.work import work_folder
+from tidewater.sources.work import new_folder
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events", files_per_trigger: int = 1) -> DataFrame:
@@ -17,10 +15,14 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events", files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str = "append", key: str = "query") -> DataFrame:
-    """Run a stream over what is there now into a table in the shared folder, and read that table."""
+def drain(stream: DataFrame, mode: str = "append", key: str = "query", folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there now into a table in the shared folder, and read that table.
+
+    With a `folder` of the caller's its checkpoint stays there: the next call with the same folder goes on where this one
+    ended, also after a failure, and each row of the input is in the table once. Without one, each call starts anew.
+    """
     spark = stream.sparkSession
-    path = f"{work_folder(spark)}/tidewater-stream-{uuid.uuid4().hex}"
+    path = folder.rstrip("/") if folder else new_folder(spark, "stream")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{path}/{key}").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     else:
