@@ -18,6 +18,7 @@ tasks. An empty table gives an empty manifest and no files. Other columns aren't
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from tidewater.sources.work import new_folder
 
 WIDTH, END_ID, ROWS_PER_BATCH = 2048, 1, 64
-#: Pieces kept with their ids (twice as many at most), the longest of them, and the text that is cut at a time, in bytes.
-KEPT_PIECES, KEPT_BYTES, CHUNK_BYTES = 300_000, 64, 1 << 20
+#: Words, and pieces of words, kept with their ids (twice as many at most); the longest of them, and the text that is cut
+#: at a time, in bytes.
+KEPT, KEPT_BYTES, CHUNK_BYTES = 400_000, 64, 1 << 21
 #: Where texts are cut: between ASCII characters of different kinds, so that what touches another character stays with it.
 _BLANK, _MORE = rb" \t\n\r\x0b\x0c", rb"\x80-\xff"
 _LETTERS, _OTHERS = rb"'?[A-Za-z]++", rb"[^A-Za-z0-9" + _BLANK + _MORE + rb"]++"
@@ -51,9 +53,9 @@ class TextIds:
 
     With `by_pieces` texts are cut at ASCII white space, and words into runs of ASCII letters (with an apostrophe before
     them), single digits and runs of other ASCII characters; what touches a character beyond ASCII stays one piece with
-    it. Each different piece is encoded once and its ids are kept. That
+    it. Each different piece is encoded once, and the ids of words and pieces are kept. That
     gives the same ids for tokenizers that drop white space and never join what these cuts part; for others whole texts
-    are encoded. A text that holds `<|`, as added tokens do, is cut at white space only.
+    are encoded. A word that holds `<|`, as added tokens do, isn't cut.
     """
 
     def __init__(self, path: str, kind: str, by_pieces: bool = True):
@@ -61,10 +63,18 @@ class TextIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has a core
         self.tokenizer, self.kind, self.by_pieces = Tokenizer.from_file(path), np.dtype(kind), by_pieces
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}  # those that were known when `known` was last full
+        self.words, self.pieces = _Recent(), _Recent()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        on = gc.isenabled()
+        gc.disable()  # many lists of bytes, none of them in a cycle
+        try:
+            return self._all(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _all(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_pieces:
             found = self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)
             return [np.array(x.ids, self.kind).tobytes() for x in found]
@@ -83,24 +93,50 @@ class TextIds:
         return out + self._encoded(held)
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
-        cut = [text.split() if b"<|" in text else PIECES.findall(text) for text in texts]
-        known, before = self.known, self.before
-        new = set(chain.from_iterable(cut)).difference(known)
-        missing = list(new.difference(before))
-        known.update((piece, before[piece]) for piece in new.intersection(before))
-        if missing:
-            found = self.tokenizer.encode([x.decode() for x in missing], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, self.kind).tobytes()
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(missing) + 1)) * self.kind.itemsize
-            known.update(zip(missing, (ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in missing:
-            if len(piece) > KEPT_BYTES:
-                del known[piece]
-        if len(known) > KEPT_PIECES:
-            self.known, self.before = {}, known
+        cut = [text.split() for text in texts]
+        new = self.words.missing(set(chain.from_iterable(cut)))
+        if new:
+            pieces = [[word] if b"<|" in word else PIECES.findall(word) for word in new]
+            fresh = self.pieces.missing(set(chain.from_iterable(pieces)))
+            self._learn(fresh)
+            ids = self.pieces.now
+            self.words.now.update(zip(new, [ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p]) for p in pieces], strict=True))
+        known = self.words.now
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        self.words.trim(new)
+        self.pieces.trim(fresh if new else [])
         return out
 
+    def _learn(self, pieces: list[bytes]) -> None:
+        if not pieces:
+            return
+        found = self.tokenizer.encode([x.decode() for x in pieces], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, self.kind).tobytes()
+        ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(pieces) + 1)) * self.kind.itemsize).tolist()
+        self.pieces.now.update(zip(pieces, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+
+class _Recent:
+    """Ids of what has come up lately: those found since `now` was last full, and before them those of the time before."""
+
+    def __init__(self) -> None:
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that aren't known; the others are in `now` from here on."""
+        new, old = keys.difference(self.now), self.before
+        self.now.update([(k, old[k]) for k in new if k in old])
+        return [k for k in new if k not in old]
+
+    def trim(self, new: list[bytes]) -> None:
+        """Forget long keys, and the older half once `now` is full."""
+        for k in new:
+            if len(k) > KEPT_BYTES:
+                self.now.pop(k, None)
+        if len(self.now) > KEPT:
+            self.now, self.before = {}, self.now
+
 
 def _cut_long(text: bytes) -> Iterator[bytes]:
     """A text in parts that end at white space, of about CHUNK_BYTES where there is any."""
