@@ -4,8 +4,10 @@ A text and a license template are aligned over their words (A-Z lower-cased, oth
 out at a word's ends; "v2.0", "2.0" and "2" are one version). Words that occur once in both are anchors; the longest increasing subsequence of their positions
 is kept, and the gaps between kept anchors, where other words may have become unique, are aligned in the same way.
 Around each anchor and at the ends of a gap equal neighbours are matched as well. The coverage of a template is the
-share of its words that are aligned. A license is found where that is at least `min_coverage` and the words that tell
-licenses apart (name, version, BY/NC/SA, clauses: KEYS) are aligned with no other telling word between them.
+share of its words that are aligned. A license is found where that is at least `min_coverage` and none of the wordings that
+tell licenses apart (name, version, BY/NC/SA, clauses: KEYS) is missing or contradicted: at least half of a wording's words
+are aligned, and no other telling word stands between them or in the place of one that isn't. Templates of up to SHORT
+words say little else, so that their wordings must be aligned word for word.
 
 Before aligning, the number of a template's words that a text could give at most (its multiset intersection) is taken
 from hashed counts; a text below `min_coverage` there can't reach it by an alignment, and only such pairs are left out.
@@ -14,8 +16,8 @@ two moving ends, and each is aligned alone and with more of the template's words
 by an eighth of the template's words from one alignment to the next, so that work is in proportion to the text. Words of
 no use to the template are no obstacle, as long as the aligned words make up MIN_DENSITY of the words that they span.
 
-Defined cases: a null or empty text has no license. Of templates with equal coverage the one with more words wins, then
-the name. Repeated rows get a row each.
+Defined cases: a null or empty text has no license. Of several licenses the one with the most aligned words is named, then
+that with more wordings aligned word for word, then the first by name. Repeated rows get a row each.
 """
 
 from __future__ import annotations
@@ -69,6 +71,16 @@ for _name, (_stated, _ids) in _NAMED.items():
     KEYS[f"{_name}-line"] = [_stated]
     for _id in _ids:
         TEMPLATES[f"{_id.lower()}-spdx"] = f"SPDX-License-Identifier: {_id}"
+#: Names of licenses as short statements have them.
+_SHORT_NAMES = {
+    "gpl-2.0": ["GPLv2", "GNU GPL v2"], "gpl-3.0": ["GPLv3", "GNU GPL v3"], "lgpl-2.1": ["LGPLv2.1"], "lgpl-3.0": ["LGPLv3"], "agpl-3.0": ["AGPLv3"],
+    "boost-1.0": ["Boost Software License"], "epl-2.0": ["Eclipse Public License v2.0"], "unlicense": ["Unlicense"],
+}
+for _name, _shorts in _SHORT_NAMES.items():
+    for _i, _short in enumerate(_shorts):
+        for _verb in ("Licensed", "Released"):
+            TEMPLATES[f"{_name}-{_verb.lower()}-{_i}"] = f"{_verb} under {_short}."
+            KEYS[f"{_name}-{_verb.lower()}-{_i}"] = [_short]
 for _kind, _long in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}.items():
     for _version in ("3.0", "4.0"):
         TEMPLATES.setdefault(f"cc-{_kind}-{_version}-line", f"Licensed under CC {_kind.upper()} {_version}.")
@@ -98,7 +110,7 @@ for _file, _keys in {"Apache-2.0": [], "GPL-2": [], "GPL-3": ["The GNU General P
     TEMPLATES[f"{_file.lower()}-text"] = pkgutil.get_data(__package__, f"licenses/{_file}.txt").decode()
     KEYS[f"{_file.lower()}-text"] = _keys
 #: Words that tell licenses apart, besides numbers.
-TELLING = frozenset(b"mit isc bsd apache lesser library affero mozilla cc nc sa nd noncommercial sharealike noderivatives noderivs endorse later".split())
+TELLING = frozenset(b"mit isc bsd apache lesser library affero mozilla cc nc sa nd noncommercial sharealike noderivatives noderivs endorse later gplv2 gplv3 lgplv2.1 lgplv3 agplv3 boost eclipse unlicense".split())
 _EDGE = bytes(i for i in range(33, 128) if not chr(i).isalnum())
 _VERSION = re.compile(rb"v?(\d+(?:\.\d+)*?)(?:\.0)*")
 
@@ -185,7 +197,7 @@ class Scanner:
         self.memo: dict[int, int] = {}
 
     def scan(self, chunk: Chunk) -> list[list[tuple]]:
-        """For each row the licenses found: (name, coverage, first word, last word), best first."""
+        """For each row the licenses found: (name, coverage, first word, last word, confirmed keys), best first."""
         start, end, row = chunk.words()
         out: list[list[tuple]] = [[] for _ in range(chunk.rows)]
         if not len(start):
@@ -212,7 +224,7 @@ class Scanner:
             if found:
                 out[r].append((self.names[t], *found))
         for found in out:
-            found.sort(key=lambda f: (-f[1], -len(self.words[self.names.index(f[0])]), f[0]))
+            found.sort(key=lambda f: (-round(f[1] * len(self.words[self.names.index(f[0])])), -f[4], f[0]))
         return out
 
     def _runs(self, usable: list[int], t: int) -> Iterator[tuple[int, int]]:
@@ -230,17 +242,17 @@ class Scanner:
                 lo += 1
             yield lo, hi
 
-    def _best(self, words: np.ndarray, t: int) -> tuple[float, int, int] | None:
-        """(coverage, first word, last word) of the best alignment of template t that reaches min_coverage."""
-        size, best = len(self.coded[t]), None
+    def _best(self, words: np.ndarray, t: int) -> tuple[float, int, int, int] | None:
+        """(coverage, first word, last word, confirmed keys) of the best alignment of template t that reaches min_coverage."""
+        size, best, sure = len(self.coded[t]), None, 0
         places = np.flatnonzero(self.need[words, t] > 0)
         usable, at = words[places].tolist(), places.tolist()
-        step, done, before = max(1, size // 8), -1, (-1, -1)
+        step, done = max(1, size // 8), -1
         for lo, hi in self._runs(usable, t):
             last = hi == len(usable) - 1
-            if at[hi] - at[lo] >= size / MIN_DENSITY or (hi < done + step and not last) or (lo == before[0] and step == 1):
+            if at[hi] - at[lo] >= size / MIN_DENSITY or (hi < done + step and not last):
                 continue
-            done, before = hi, (lo, hi)
+            done = hi
             for share in WIDER:
                 more = math.ceil(share * size)
                 a = max(lo - more, bisect.bisect_left(at, at[lo] - more / MIN_DENSITY))
@@ -249,23 +261,45 @@ class Scanner:
                 coverage = len(pairs) / size
                 if coverage < self.min_coverage or (best and coverage <= best[0]) or len(pairs) < MIN_DENSITY * (pairs[-1][0] - pairs[0][0] + 1):
                     continue
-                if self._keyed(words, pairs, t):
-                    best = (coverage, pairs[0][0], pairs[-1][0])
+                confirmed = self._confirmed(words, pairs, t)
+                if confirmed is not None:
+                    best, sure = (coverage, pairs[0][0], pairs[-1][0]), confirmed
             if best and best[0] == 1:
                 break
-        return best
+        return best and (*best, sure)
+
+    def _confirmed(self, words: np.ndarray, pairs: list[tuple[int, int]], t: int) -> int | None:
+        """How many keys of template t are aligned word for word; None where one is missing or contradicted, or, in a template
+        of up to SHORT words, isn't aligned word for word.
+        """
+        place, count = {j: i for i, j in pairs}, 0
+        for places in self.keys[t]:
+            state = max(key_state(words, place, key, self.telling) for key in places)
+            if state == 0 or (state == 1 and len(self.coded[t]) <= SHORT):
+                return None
+            count += state == 2
+        return count
 
-    def _keyed(self, words: np.ndarray, pairs: list[tuple[int, int]], t: int) -> bool:
-        """Whether each key of template t is aligned at one of its places, close by and with no telling word between its words."""
-        place = {j: i for i, j in pairs}
 
-        def holds(key: range) -> bool:
-            if any(j not in place for j in key) or place[key[-1]] - place[key[0]] >= len(key) / MIN_DENSITY:
-                return False
-            between = [i for j, k in zip(key, key[1:], strict=False) for i in range(place[j] + 1, place[k])]
-            return not self.telling[words[between]].any()
+def key_state(words: np.ndarray, place: dict[int, int], key: range, telling_codes: np.ndarray) -> int:
+    """2 where all words of a key are aligned close by; 1 where half of them are, and nothing speaks against it; else 0.
 
-        return all(any(holds(key) for key in places) for places in self.keys[t])
+    What speaks against it is a telling word of the text between words of the key, or where a word at its end should be.
+    """
+    there = [place[j] for j in key if j in place]
+    if 2 * len(there) < len(key) or there[-1] - there[0] >= len(key) / MIN_DENSITY:
+        return 0
+    seen = list(there)
+    for edge, step in ((key[0], -1), (key[-1], 1)):
+        if edge not in place:  # up to the next aligned word beyond
+            beyond = next((place[j] for j in range(edge + step, edge + 4 * step, step) if j in place and j not in key), None)
+            seen += [beyond] if beyond is not None and abs(beyond - there[0 if step < 0 else -1]) <= 2 * len(key) + 4 else []
+    seen.sort()
+    aligned = set(place.values())
+    between = [i for i, k in zip(seen, seen[1:], strict=False) for i in range(i + 1, k) if i not in aligned]
+    if telling_codes[words[between]].any():
+        return 0
+    return 2 if len(there) == len(key) else 1
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
