@@ -84,6 +84,24 @@ def test_line_runs_take_later_batches(spark):
     assert sum(len(level) for level in runs.levels) == 2  # 5 batches at a fan-out of 2: runs on levels 0 and 2
 
 
+def test_runs_are_saved_and_taken_up_again(spark):
+    import random
+    from collections import Counter
+
+    rng, whole = random.Random(8), Counter()
+    first, name = line_dedup.LineRuns(spark, min_docs=5, fan_out=2), "kept_lines"
+    for turn in range(6):
+        batch = Counter(rng.choices(range(60), k=50))
+        whole += batch
+        runs = first if turn < 3 else line_dedup.LineRuns.restored(spark, name, min_docs=5, fan_out=2)
+        runs.add(runs.stored(spark.createDataFrame([(h, 0, n) for h, n in batch.items()], "h long, g int, n_docs long")))
+        assert {(r["h"], r["n_docs"]) for r in runs.common_counts().collect()} == {(h, n) for h, n in whole.items() if n >= 5}
+        if turn >= 2:
+            if turn > 2:
+                name = f"kept_lines_{turn}"
+            runs.saved(name)
+
+
 def test_line_runs_merge_without_a_shuffle(spark):
     runs = line_dedup.LineRuns(spark, min_docs=3)
     one, two = (runs.stored(spark.range(k, 100 + k).selectExpr("id as h", "0 as g", "id % 4 as n_docs")) for k in (0, 50))

@@ -10,8 +10,9 @@ which also leaves out what has become common since. In the end every line whose
 Runs and common keys are stored tables that are bucketed and sorted by the hash alike, so that all these joins and merges
 read them as they lie, without a shuffle. `LineRuns.add()` takes any later batch of counted keys.
 
-DataFrame functions only. Keys are compared by 64 + 32 hash bits. Batches are taken by a hash of the document, and all
-of them are counted in one pass over the texts; a lost executor repeats single tasks.
+DataFrame functions only. Keys are compared by 64 + 32 hash bits. Batches are taken by a hash of the document's id; each is
+counted and added by itself, and only the runs know of the batches before. Runs can be saved by name and taken up again
+(`LineRuns.saved`, `LineRuns.restored`) for documents that come later. A lost executor repeats single tasks.
 
 Defined cases: a null or empty text is one empty line. An empty key is common only if min_key_chars is 0. Rows are told
 apart by id and text, so that rows with the same or a null id don't mix. Repeated rows count as documents each. An input
@@ -56,21 +57,40 @@ class LineRuns:
         self.spark, self.min_docs, self.fan_out = spark, min_docs, fan_out
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
-        self.common: list[DataFrame] = []
+        self.common: list[DataFrame] = []  # (h, g, n_docs), n_docs as far as known when the key became common
+        self.later: list[DataFrame] = []  # the same of later batches
 
     def stored(self, rows: DataFrame) -> DataFrame:
         """The rows as a table that is bucketed and sorted by (h, g)."""
         return materialize_bucketed(rows, "line_run", ["h", "g"], self.buckets)
 
+    def saved(self, name: str) -> None:
+        """Keep the runs and common keys as tables of the session's catalogue: `name`_runs_<level>_<place> and `name`_common."""
+        kept = {f"{name}_common": self.common_counts(), **{f"{name}_runs_{i}_{j}": run for i, level in enumerate(self.levels) for j, run in enumerate(level)}}
+        for table, rows in kept.items():
+            rows.write.mode("overwrite").bucketBy(self.buckets, "h", "g").sortBy("h", "g").saveAsTable(table)
+
+    @classmethod
+    def restored(cls, spark: SparkSession, name: str, min_docs: int = MIN_DOCS, fan_out: int = FAN_OUT) -> LineRuns:
+        """The runs that saved() has kept under the name."""
+        runs = cls(spark, min_docs, fan_out)
+        runs.common = [spark.table(f"{name}_common")]
+        for table in sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(f"{name.lower()}_runs_")):
+            level = int(table.split("_")[-2])
+            runs.levels += [[] for _ in range(level + 1 - len(runs.levels))]
+            runs.levels[level].append(spark.table(table))
+        return runs
+
     def _undecided(self, run: DataFrame) -> DataFrame:
         for known in self.common:
-            run = run.hint("merge").join(known, ["h", "g"], "left_anti")
+            run = run.hint("merge").join(known.select("h", "g"), ["h", "g"], "left_anti")
         return run
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of (h, g, n_docs), bucketed and sorted as stored() does; a key is in it once."""
         runs = [run for level in self.levels for run in level]
         mine = self._undecided(batch)
+        self.later += [batch.hint("merge").join(known.select("h", "g"), ["h", "g"], "left_semi") for known in self.common]
         if runs:
             before = runs[0]
             for run in runs[1:]:
@@ -98,9 +118,9 @@ class LineRuns:
             level += 1
 
     def _settle(self, run: DataFrame) -> None:
-        self.common.append(run.filter(F.col("total") >= self.min_docs).select("h", "g"))
+        self.common.append(run.filter(F.col("total") >= self.min_docs).select("h", "g", F.col("total").alias("n_docs")))
         if len(self.common) > self.fan_out:
-            self.common = [self.stored(reduce(DataFrame.unionByName, self.common))]
+            self.common, self.later = [self.stored(self.common_counts())], []
 
     def _compacted(self, runs: list[DataFrame]) -> DataFrame:
         merged, names = runs[0].withColumnRenamed("n_docs", "n_0"), [f"n_{i}" for i in range(len(runs))]
@@ -111,7 +131,13 @@ class LineRuns:
 
     def common_keys(self) -> DataFrame:
         """All keys found in min_docs documents or more, as (h, g)."""
-        return reduce(DataFrame.unionByName, self.common)
+        return self.common_counts().select("h", "g")
+
+    def common_counts(self) -> DataFrame:
+        """All keys found in min_docs documents or more, with the number of documents: (h, g, n_docs)."""
+        if not self.common:
+            return self.spark.createDataFrame([], "h long, g int, n_docs long")
+        return reduce(DataFrame.unionByName, [*self.common, *self.later]).groupBy("h", "g").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_key_chars: int = MIN_KEY_CHARS,
@@ -123,15 +149,13 @@ def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     row_key = F.xxhash64(at[doc_id], at[text])
     long_enough = lambda k: F.char_length(k) >= min_key_chars
     keys = F.array_distinct(F.filter(line_keys(at[text]), long_enough))
-    exploded = inner.select(row_key.alias("row_key"), F.explode(keys).alias("key")).select("row_key", key_hash(F.col("key")).alias("k")).select("row_key", "k.h", "k.g")
-    batch = F.pmod(F.hash("row_key"), F.lit(batches))
+    exploded = inner.select(at[doc_id].alias("of"), F.explode(keys).alias("key")).select("of", key_hash(F.col("key")).alias("k")).select("of", "k.h", "k.g")
     runs = LineRuns(docs.sparkSession, min_docs, fan_out)
-    counted = runs.stored(exploded.groupBy("h", "g").agg(*[F.count_if(batch == b).alias(f"batch_{b}") for b in range(batches)]))
     for b in range(batches):
-        runs.add(counted.filter(F.col(f"batch_{b}") > 0).select("h", "g", F.col(f"batch_{b}").alias("n_docs")))
-    total = reduce(add, [F.col(f"batch_{b}") for b in range(batches)])
+        batch = exploded.filter(F.pmod(F.hash("of"), F.lit(batches)) == b)
+        runs.add(runs.stored(batch.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_docs"))))
     # How often each common line occurs tells the hot ones.
-    common = materialize(counted.select("h", "g", total.alias("rows")).hint("merge").join(runs.common_keys(), ["h", "g"]), "common_lines")
+    common = materialize(runs.common_counts().withColumnRenamed("n_docs", "rows"), "common_lines")
     marked = F.transform(line_keys(at[text]), lambda k, i: F.struct(i.alias("i"), long_enough(k).alias("long"), key_hash(k).alias("k")))
     lines = inner.select(row_key.alias("row_key"), F.explode(F.filter(marked, lambda x: x["long"])).alias("x")).select("row_key", "x.i", "x.k.h", "x.k.g")
     hits = join_hot(lines, common.select("h", "g"), ["h", "g"], "row_key", counts=common).groupBy("row_key").agg(F.collect_set("i").alias("__gone"))

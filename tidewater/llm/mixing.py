@@ -28,14 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.skew import join_hot, number_equal_rows
+from tidewater.llm.skew import attach, number_equal_rows
 from tidewater.sources.work import materialize
 
 MAX_REPEATS = 3
 SEED = 17
 MAX_PATTERNS = 20_000
-#: A table of patterns up to this many rows is broadcast; a larger one is joined by a shuffle.
-BROADCAST_PATTERNS = 50_000
 #: Documents about a pattern's cut that one task chooses from, and bits by which the hash is refined.
 NEAR_DOCS, STEP_BITS, HASH_BITS = 4096, 12, 60
 #: Exchanges of documents near the cut, tried while a pattern is further off than this share.
@@ -158,11 +156,6 @@ def route(patterns: dict[tuple, int], quotas: dict[object, int], max_repeats: in
     return {p: sum(words - net.room[e] for e in arcs[p]) for p, words in patterns.items()}
 
 
-def _attach(left: DataFrame, right: DataFrame, key: str, spread: str, n: int) -> DataFrame:
-    """`left` (stored) joined with the n rows of `right`."""
-    return left.join(F.broadcast(right), key) if n <= BROADCAST_PATTERNS else join_hot(left, right, [key], spread)
-
-
 def take_near(sizes: np.ndarray, copies: np.ndarray, wanted: int) -> np.ndarray:
     """How many copies of each item to take so that their words come near `wanted`; items in their order."""
     taken, gap = np.zeros(len(sizes), np.int64), int(wanted)
@@ -194,7 +187,7 @@ def take_near(sizes: np.ndarray, copies: np.ndarray, wanted: int) -> np.ndarray:
 _CHOICE = "__pid long, __cut long, __picks array<long>, __drops array<long>, __partial array<struct<u: long, m: long>>"
 
 
-def _choose(items: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+def _choose(items: DataFrame, plan: DataFrame) -> DataFrame:
     """Each pattern's choice beyond full passes, from items (__pid, __u, size, copies) and a plan (__pid, rest).
 
     Items with a hash up to __cut are taken once more, but for __drops; __picks are taken beside; of the items named in
@@ -205,7 +198,7 @@ def _choose(items: DataFrame, plan: DataFrame, n: int) -> DataFrame:
     while depth < HASH_BITS:
         depth = min(depth + STEP_BITS, HASH_BITS)
         inside = F.shiftright("__u", HASH_BITS - depth + STEP_BITS) == F.col("prefix")
-        cells = _attach(items, open_, "__pid", "__u", n).filter(inside).groupBy("__pid", F.shiftright("__u", HASH_BITS - depth).alias("cell"))
+        cells = attach(items, open_, "__pid", "__u").filter(inside).groupBy("__pid", F.shiftright("__u", HASH_BITS - depth).alias("cell"))
         # At most 2^STEP_BITS cells of a pattern.
         cells = cells.agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
         cells = cells.withColumn("words_to", F.col("before") + F.sum("words").over(in_order)).withColumn("n_to", F.sum("n").over(in_order))
@@ -224,7 +217,7 @@ def _choose(items: DataFrame, plan: DataFrame, n: int) -> DataFrame:
     ranges = ends[0]
     for more in ends[1:]:
         ranges = ranges.unionByName(more)
-    near = _attach(items, materialize(ranges, "mix_ranges"), "__pid", "__u", n).filter(F.col("__u").between(F.col("lo"), F.col("hi")))
+    near = attach(items, materialize(ranges, "mix_ranges"), "__pid", "__u").filter(F.col("__u").between(F.col("lo"), F.col("hi")))
 
     def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__u")
@@ -319,16 +312,12 @@ def mix(docs: DataFrame, members: str, weights: dict[object, float] | None = Non
         plan = sources.select(F.array("source").alias("__p"), "__pid", F.coalesce(F.floor(flow / words), F.lit(0)).cast("long").alias("__full"), F.coalesce(flow % words, F.lit(0)).alias("rest"))
         plan, sources = materialize(plan, "mix_plan"), sources.drop("__pid")
     key = plan.select(F.xxhash64("__p").alias("__key"), "__p", "__pid", "__full", "rest")
-    same = (F.col("__key") == F.xxhash64("__pattern")) & F.col("__pattern").eqNullSafe(F.col("__p"))
-    if n <= BROADCAST_PATTERNS:
-        items = narrow.join(F.broadcast(key), same)
-    else:
-        items = join_hot(narrow.withColumn("__key", F.xxhash64("__pattern")), key, ["__key"], "__u").filter(F.col("__pattern").eqNullSafe(F.col("__p")))
+    items = attach(narrow.withColumn("__key", F.xxhash64("__pattern")), key, "__key", "__u").filter(F.col("__pattern").eqNullSafe(F.col("__p")))
     items = materialize(items.select("__pid", "__u", "size", "copies"), "mix_items")
-    chosen = plan.join(_choose(items, plan, n), "__pid", "left").select(F.xxhash64("__p").alias("__key"), "__p", "__full", "__cut", "__picks", "__drops", "__partial")
+    chosen = plan.join(_choose(items, plan), "__pid", "left").select(F.xxhash64("__p").alias("__key"), "__p", "__full", "__cut", "__picks", "__drops", "__partial")
     chosen = materialize(chosen, "mix_chosen")
     keyed = sized.withColumn("__key", F.xxhash64("__pattern"))
-    placed = keyed.join(F.broadcast(chosen), "__key", "left") if n <= BROADCAST_PATTERNS else join_hot(keyed, chosen, ["__key"], "__u", "left")
+    placed = attach(keyed, chosen, "__key", "__u", "left")
     placed = placed.withColumn("__m", F.get(F.filter("__partial", lambda x: x["u"] == F.col("__u")), F.lit(0))["m"])
     once = ((F.col("__u") <= F.col("__cut")) & ~F.array_contains("__drops", F.col("__u"))) | F.array_contains("__picks", F.col("__u"))
     if chosen.filter(F.size("__partial") > 0).head(1):  # some of several equal rows are taken
@@ -351,3 +340,11 @@ def mixed_documents(docs: DataFrame, members: str = "source", **options) -> Data
         return mixed_documents(docs.withColumnsRenamed(back), members, **options).withColumnsRenamed({v: k for k, v in back.items()})
     out, _ = mix(docs, members, **options)
     return out.filter("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
+def with_targets(taken: DataFrame, sources: DataFrame, source: str = "source") -> DataFrame:
+    """The rows that mix() gives, with their source's source_size and target."""
+    keyed = taken.withColumn("__key", F.xxhash64(source)).withColumn("__salt", F.monotonically_increasing_id())
+    sources = sources.select(F.xxhash64("source").alias("__key"), F.col("source").alias("__s"), "source_size", "target")
+    joined = attach(keyed, sources, "__key", "__salt").filter(F.col(source).eqNullSafe(F.col("__s")))
+    return joined.drop("__key", "__salt", "__s")

@@ -19,8 +19,7 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     taken, sources = mixing.mix(table(spark, folder, "documents"), "source")
-    sources = F.broadcast(sources.withColumnRenamed("source", "__s"))  # a row per source, at most mixing.MAX_PATTERNS
-    return taken.join(sources, F.col("source").eqNullSafe(F.col("__s"))).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.with_targets(taken, sources).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tidewater.sources.work import materialize
 
-#: A key is hot when it holds over one in so many rows; at most so many keys can be.
-SHARES, LEAST_ROWS = 128, 1000
+#: A key is hot when it holds over one in so many rows, or over so many rows whatever their share.
+SHARES, LEAST_ROWS, MOST_ROWS = 128, 1000, 1_000_000
+#: A table is broadcast up to so many bytes, as its rows are counted.
+BROADCAST_BYTES = 16 << 20
 #: Rows of a key that one task numbers, as a power of two.
 CELL_BITS = 15
 
@@ -20,19 +22,20 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: str, ho
     """`left` joined with `right`, which has one row for each value of `keys`.
 
     The rows of a hot key are dealt by a hash of the column `spread` to as many parts as it takes, and the key's row of
-    `right` is repeated for each part. The hot keys, at most SHARES rows, are all that is sent to the driver. `counts`
+    `right` is repeated for each part. No task then gets more than MOST_ROWS rows of one key. The hot keys, at most SHARES
+    or one for MOST_ROWS rows of `left`, whichever are more, are all that is sent to the driver. `counts`
     (stored; keys and a column rows) tells how many rows of `left` have each key; without it they are counted, and `left`
     should be a stored table. `how` is inner or left.
     """
     if counts is None:
         counts = materialize(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "key_counts")
     whole = counts.agg(F.sum("rows").alias("all"), F.max("rows").alias("most")).first()
-    limit = max(LEAST_ROWS, (whole["all"] or 0) // SHARES)
+    limit = max(LEAST_ROWS, min((whole["all"] or 0) // SHARES, MOST_ROWS))
     if (whole["most"] or 0) <= limit:
         return left.join(right, keys, how)
     names = {k: f"__hot_{i}" for i, k in enumerate(keys)}
     hot = counts.filter(F.col("rows") > limit).select(*[F.col(k).alias(n) for k, n in names.items()], F.ceil(F.col("rows") / limit).cast("int").alias("__parts"))
-    rows = hot.collect()  # at most SHARES
+    rows = hot.collect()  # at most SHARES, or rows / MOST_ROWS
     parts = F.broadcast(left.sparkSession.createDataFrame(rows, hot.schema))
     on = [F.col(k) == F.col(n) for k, n in names.items()]
     dealt = left.join(parts, on, "left").withColumn("__part", F.coalesce(F.pmod(F.hash(spread), F.col("__parts")), F.lit(0))).drop("__parts", *names.values())
@@ -40,6 +43,16 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: str, ho
     return dealt.join(repeated, [*keys, "__part"], how).drop("__part")
 
 
+def is_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a (stored) table, written out as text, are at most `limit` bytes."""
+    return (table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()[0] or 0) <= limit
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """`left` (stored) joined with `right`, a row for each key: by broadcast where `right` is small, else with its hot keys dealt."""
+    return left.join(F.broadcast(right), key, how) if is_small(right) else join_hot(left, right, [key], spread, how)
+
+
 def number_equal_rows(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
     """The rows with their place (from 0) among the rows that agree in `keys`; which of them comes first is left open.
 

@@ -19,6 +19,7 @@ tasks. An empty table gives an empty manifest and no files. Other columns aren't
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import uuid
@@ -26,6 +27,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,19 @@ class TextIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has a core
         self.tokenizer, self.kind, self.by_pieces = Tokenizer.from_file(path), np.dtype(kind), by_pieces
         self.words, self.pieces = _Recent(), _Recent()
+        self.for_letters = self._without_split(path)
+
+    def _without_split(self, path: str):
+        """The tokenizer without its first cut, if that is a pattern: it would leave a run of ASCII letters as it is."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            known = json.load(file)
+        steps = (known.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if len(steps) < 2 or steps[0]["type"] != "Split" or len(self.tokenizer.pre_tokenizer.pre_tokenize_str(ascii_lowercase * 2)) != 1:
+            return self.tokenizer
+        known["pre_tokenizer"]["pretokenizers"] = steps[1:]
+        return Tokenizer.from_str(json.dumps(known))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         on = gc.isenabled()
@@ -108,9 +123,13 @@ class TextIds:
         return out
 
     def _learn(self, pieces: list[bytes]) -> None:
+        self._learn_by(self.for_letters, [p for p in pieces if p.isalpha()])  # of bytes: ASCII letters
+        self._learn_by(self.tokenizer, [p for p in pieces if not p.isalpha()])
+
+    def _learn_by(self, tokenizer, pieces: list[bytes]) -> None:
         if not pieces:
             return
-        found = self.tokenizer.encode([x.decode() for x in pieces], is_pretokenized=True, add_special_tokens=False)
+        found = tokenizer.encode([x.decode() for x in pieces], is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, self.kind).tobytes()
         ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(pieces) + 1)) * self.kind.itemsize).tolist()
         self.pieces.now.update(zip(pieces, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
