@@ -97,6 +97,40 @@ def bootstrap_counts(df: DataFrame, key: str, reps: int, seed: int = 0) -> DataF
     return rows.withColumn("w", w).filter("w > 0").drop("__k", "__x")
 
 
+def bootstrap_sums(df: DataFrame, group: list[str], key: str, sums: dict[str, Column], reps: int, seed: int = 0) -> DataFrame:
+    """(group, rep, sums) of Poisson bootstrap replicates: each sum weighed by the draws of bootstrap_counts().
+
+    A row is not repeated for each replicate: a task's rows become one array of `reps` sums for each group and sum, by a
+    matrix product with the drawn numbers, and the tasks' arrays are added up. Null terms count as 0.
+    """
+    rows = df.select(*group, key_number(F.col(key)).alias("k"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*group).schema.fields)
+    kinds, names, number = ", ".join(f"{n} array<double>" for n in sums), list(sums), np.arange(reps, dtype=np.int64)
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[lo : lo + ROWS_AT_ONCE]
+                keys, place = np.unique(part["k"].to_numpy(), return_inverse=True)
+                w = draws(keys[:, None], number[None, :], seed)[place].astype(np.float64)
+                of = part.groupby(group, dropna=False, sort=False).ngroup().to_numpy() if group else np.zeros(len(part), np.int64)
+                first = np.unique(of, return_index=True)[1]
+                values = part[names].to_numpy(np.float64)
+                out = part.iloc[first][group].reset_index(drop=True)
+                found = [values[of == g].T @ w[of == g] for g in range(len(first))]
+                yield out.assign(**{n: [f[i] for f in found] for i, n in enumerate(names)})
+
+    def whole(_: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"rep": number, **{n: np.stack(parts[n].to_numpy()).sum(axis=0) for n in names}})
+        return out.assign(**{c: parts[c].iloc[0] for c in group})[[*group, "rep", *names]]
+
+    partial = rows.mapInPandas(drawn, f"{fields}{kinds}")
+    # The batches of a task are added before anything is shuffled by group alone.
+    partial = partial.groupBy(*group, F.pmod(F.spark_partition_id(), F.lit(64)).alias("__part")).agg(*[F.collect_list(n).alias(n) for n in names])
+    added = [F.aggregate(F.slice(n, 2, F.greatest(F.size(n) - 1, F.lit(0))), F.col(n)[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(n) for n in names]
+    return partial.select(*group, *added).groupBy(*group).applyInPandas(whole, f"{fields}rep long, {', '.join(f'{n} double' for n in names)}")
+
+
 def bootstrap_auc(df: DataFrame, group: list[str], key: str, label: str, score: str, reps: int, seed: int = 0) -> DataFrame:
     """(group, rep, auc) of Poisson bootstrap replicates; the draws are those of bootstrap_counts().
 

@@ -164,19 +164,21 @@ def boot_restricted(spark: SparkSession, folder: str) -> DataFrame:
     return _with_interval(kept, group, metrics.bootstrap_auc(kept, group, "doc_id", "y", "score", REPS, seed=5))
 
 
-_GAPS = ("split1 - split0", "split2 - split0", "split2 - split1", "(split1 + split2) / 2 - split0")
+_GAPS = tuple(f"split{i} - split0" for i in range(1, 5))
+_FIVE = "five AS (SELECT * REPLACE ('split' || (doc_id % 5) AS split) FROM long_preds)"
 _GAP_QUANTILES = (("lo", 0.025), ("mid", 0.5), ("hi", 0.975))
 
 
 @query(f"""
-WITH {PREDS_SQL}, {_boot_cte('b', 'long_preds', 'target, method, split', 1)},
-wide AS (SELECT target, method, rep, {', '.join(f"max(auc) FILTER (split = 'split{i}') AS split{i}" for i in range(3))} FROM b GROUP BY ALL)
+WITH {PREDS_SQL}, {_FIVE}, {_boot_cte('b', 'five', 'target, method, split', 1)},
+wide AS (SELECT target, method, rep, {', '.join(f"max(auc) FILTER (split = 'split{i}') AS split{i}" for i in range(5))} FROM b GROUP BY ALL)
 SELECT target, method, {', '.join(f'round(quantile_cont({gap}, {q}), 8) AS d{i}_{n}' for i, gap in enumerate(_GAPS) for n, q in _GAP_QUANTILES)} FROM wide GROUP BY ALL
 """)
 def boot_multi_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Paired bootstrap of all methods in each split; four differences of a method's AUCs between splits, per replicate."""
-    reps = metrics.bootstrap_auc(long_predictions(spark, folder), ["target", "method", "split"], "doc_id", "y", "score", REPS, seed=1)
-    wide = reps.groupBy("target", "method", "rep").pivot("split", ["split0", "split1", "split2"]).agg(F.max("auc"))
+    """Paired bootstrap of all methods in each of five splits; the differences of a method's AUCs from the first split's, per replicate."""
+    rows = long_predictions(spark, folder).withColumn("split", F.concat(F.lit("split"), F.pmod("doc_id", F.lit(5)).cast("string")))
+    reps = metrics.bootstrap_auc(rows, ["target", "method", "split"], "doc_id", "y", "score", REPS, seed=1)
+    wide = reps.groupBy("target", "method", "rep").pivot("split", [f"split{i}" for i in range(5)]).agg(F.max("auc"))
     return wide.groupBy("target", "method").agg(*[F.round(F.percentile(F.expr(gap), F.lit(q)), 8).alias(f"d{i}_{n}") for i, gap in enumerate(_GAPS) for n, q in _GAP_QUANTILES])
 
 
@@ -194,21 +196,42 @@ def boot_concordance(spark: SparkSession, folder: str) -> DataFrame:
     return per_rep.groupBy("target").agg(*[F.round(F.percentile("ccc", F.lit(q)), 7).alias(n) for n, q in _GAP_QUANTILES])
 
 
+def _gap_and_slope(spark: SparkSession, folder: str) -> DataFrame:
+    """By language: slope, r2 and n, and bootstrap bounds of the slope and of the difference of two groups' means."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("size"))
+    rows = predictions(spark, folder).filter("method = 'prompting'").join(docs, "doc_id").withColumn("g", (F.col("quality") == 1).cast("double"))
+    x, y, g = F.col("size"), F.col("score"), F.col("g")
+    sums = {"n": F.lit(1.0), "n1": g, "y1": g * y, "sx": x, "sy": y, "sxy": x * y, "sxx": x * x}
+    reps = metrics.bootstrap_sums(rows, ["lang"], "doc_id", sums, REPS, seed=2)
+    zero, c = F.lit(0.0), F.col
+    gap = c("y1") / F.nullif(c("n1"), zero) - (c("sy") - c("y1")) / F.nullif(c("n") - c("n1"), zero)
+    slope = (c("n") * c("sxy") - c("sx") * c("sy")) / F.nullif(c("n") * c("sxx") - c("sx") * c("sx"), zero)
+    bounds = reps.select("lang", gap.alias("gap"), slope.alias("slope")).groupBy("lang").agg(*[F.percentile(v, F.lit(q)).alias(f"{v}_{k}") for v in ("gap", "slope") for k, q in (("lo", 0.025), ("hi", 0.975))])
+    point = rows.groupBy("lang").agg(F.regr_slope("score", "size").alias("slope"), F.regr_r2("score", "size").alias("r2"), F.count(F.lit(1)).alias("n"))
+    return point.join(bounds, "lang")
+
+
 @query()
 def boot_mean_and_slope(spark: SparkSession, folder: str) -> DataFrame:
     """Bootstrap of the difference of two groups' means and of a regression slope, per language; the slope's t-test."""
-    docs = table(spark, folder, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("size"))
-    rows = predictions(spark, folder).filter("method = 'prompting'").join(docs, "doc_id").withColumn("grp", F.col("quality") == 1)
-    reps = metrics.bootstrap_counts(rows, "doc_id", REPS, seed=2)
-    w, x, y = F.col("w"), F.col("size"), F.col("score")
-    mean = lambda c: F.sum(F.when(c, w * y)) / F.nullif(F.sum(F.when(c, w)), F.lit(0))
-    n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
-    slope = (n * F.sum(w * x * y) - sx * sy) / F.nullif(n * F.sum(w * x * x) - sx * sx, F.lit(0.0))
-    per_rep = reps.groupBy("lang", "rep").agg((mean(F.col("grp")) - mean(~F.col("grp"))).alias("gap"), slope.alias("slope"))
-    bounds = per_rep.groupBy("lang").agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{k}") for c in ("gap", "slope") for k, q in (("lo", 0.025), ("hi", 0.975))])
-    point = rows.groupBy("lang").agg(F.regr_slope("score", "size").alias("slope"), F.regr_r2("score", "size").alias("r2"), F.count(F.lit(1)).alias("n"))
     t = F.sqrt(F.col("r2") * (F.col("n") - 2) / F.nullif(1 - F.col("r2"), F.lit(0.0)))
-    return point.withColumn("p_value", htest.two_sided_t(t, (F.col("n") - 2).cast("double"))).join(bounds, "lang")
+    return _gap_and_slope(spark, folder).withColumn("p_value", htest.two_sided_t(t, (F.col("n") - 2).cast("double")))
+
+
+@query(f"""
+WITH {PREDS_SQL},
+r AS (SELECT doc_id, lang, n_chars::DOUBLE AS x, score AS y, (quality = 1)::INT AS g FROM preds JOIN documents USING (doc_id) WHERE method = 'prompting'),
+w AS ({metrics.draws_sql('r', 'doc_id', REPS, 2)}),
+s AS (SELECT lang, rep, sum(w)::DOUBLE AS n, sum(w * g)::DOUBLE AS n1, sum(w * g * y) AS y1, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(w * x * x) AS sxx FROM r JOIN w USING (doc_id) GROUP BY ALL),
+b AS (SELECT lang, y1 / nullif(n1, 0) - (sy - y1) / nullif(n - n1, 0) AS gap, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM s),
+p AS (SELECT lang, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2, count(*) AS n FROM r GROUP BY lang)
+SELECT p.lang, round(any_value(p.slope), 10) AS slope, round(any_value(r2), 7) AS r2, any_value(n) AS n, round(quantile_cont(gap, 0.025), 7) AS gap_lo, round(quantile_cont(gap, 0.975), 7) AS gap_hi,
+  round(quantile_cont(b.slope, 0.025), 10) AS slope_lo, round(quantile_cont(b.slope, 0.975), 10) AS slope_hi FROM p JOIN b ON p.lang = b.lang GROUP BY p.lang
+""")
+def boot_gap_and_slope(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of boot_mean_and_slope, compared with SQL."""
+    places = {"slope": 10, "r2": 7, "gap_lo": 7, "gap_hi": 7, "slope_lo": 10, "slope_hi": 10}
+    return _gap_and_slope(spark, folder).select("lang", "n", *[F.round(c, n).alias(c) for c, n in places.items()])
 
 
 _RANK_SUM_SQL = """

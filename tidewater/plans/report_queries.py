@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import metrics, reports
 from tidewater.plans.catalog import query
-from tidewater.plans.metric_queries import REPS, _auc_cte
+from tidewater.plans.metric_queries import REPS, _auc_cte, _boot_cte
 from tidewater.plans.predictions import PREDS_SQL, long_predictions
 from tidewater.sources.tables import table
 
@@ -49,12 +49,19 @@ def baseline_tally(spark: SparkSession, folder: str) -> DataFrame:
     return reports.significance_tally(rows, ["method"], "item", F.col("is_better"), close)
 
 
-@query()
+@query(f"""
+WITH {PREDS_SQL}, {_boot_cte('b', 'long_preds', 'target, method, split', 4)},
+wide AS (SELECT target, method, rep, max(auc) FILTER (split = 'split0') AS x, max(auc) FILTER (split = 'split1') AS y FROM b GROUP BY ALL),
+lines AS (SELECT rep, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM wide WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY rep),
+heights AS (SELECT k / 20.0::DOUBLE AS x, i + s * (k / 20.0::DOUBLE) AS height FROM lines, range(21) t(k))
+SELECT x, round(quantile_cont(height, 0.025), 6) AS low, round(quantile_cont(height, 0.5), 6) AS middle, round(quantile_cont(height, 0.975), 6) AS high FROM heights GROUP BY x
+""")
 def fitted_ribbon(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of one split's AUC on another's over bootstrap replicates: median and percentiles on a grid."""
     reps = metrics.bootstrap_auc(long_predictions(spark, folder), ["target", "method", "split"], "doc_id", "y", "score", REPS, seed=4)
     wide = reps.groupBy("target", "method", "rep").pivot("split", ["split0", "split1"]).agg(F.max("auc")).na.drop()
-    return reports.fitted_ribbon(wide, "rep", "split0", "split1", [x / 20 for x in range(21)])
+    ribbon = reports.fitted_ribbon(wide, "rep", "split0", "split1", [x / 20 for x in range(21)])
+    return ribbon.select("x", *[F.round(c, 6).alias(c) for c in ("low", "middle", "high")])
 
 
 @query("""
