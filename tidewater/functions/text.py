@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,39 @@ def replace_words(text: Column, table: Mapping[str, str]) -> Column:
     return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(pairs[w], w)), " ")
 
 
+def lemmatise(text: Column, lemma: Callable[[str, str], str] | None = None, tag: Callable[[list[str]], list[str]] | None = None) -> Column:
+    """Words, parted by white space, by their lemmas.
+
+    `lemma` maps a word and a part of speech ("n", "v", "a" or "r") to its lemma. With `tag`, which gives a part of speech for
+    each word of a text, words are looked up as what they are tagged (other tags count as "n"); without it as nouns and
+    then as verbs. Without `lemma`, where no dictionary is installed, the text stays as it is, with single blanks. Each
+    word of a batch (and each tagged word) is looked up once. Null gives null.
+    """
+    if lemma is None:
+        return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], str] = {}
+
+        def look_up(word: str, part: str) -> str:
+            if (word, part) not in known:
+                known[word, part] = lemma(word, part) if part in ("n", "v", "a", "r") else lemma(word, "n")
+            return known[word, part]
+
+        def one(value: str | None) -> str | None:
+            if value is None:
+                return None
+            words = value.split()
+            if tag is not None:
+                return " ".join(look_up(w, p) for w, p in zip(words, tag(words), strict=True))
+            return " ".join(look_up(look_up(w, "n"), "v") for w in words)
+
+        return texts.map(one, na_action="ignore")
+
+    return run(text)
+
+
 def sentence_ngrams(text: Column, lengths: Sequence[int]) -> Column:
     """Word n-grams of the given lengths that don't cross the end of a sentence (. ? !)."""
 
@@ -72,6 +106,12 @@ def parse_reply(raw: Column, greedy: bool = True) -> Column:
     return F.struct(as_json["Reason"].alias("reason"), F.when(p > 1, p / 100).otherwise(p).alias("probability"), F.when(hat.isNotNull(), F.when(F.abs(hat) < F.abs(hat - 1), 0).otherwise(1)).alias("prediction"))
 
 
+def summary_of(raw: Column) -> Column:
+    """The text under "Summary" in a reply, from its first { to the first } after it; null where that is no such object."""
+    span = json_span(raw, greedy=False)
+    return F.when(F.try_parse_json(span).isNotNull(), F.from_json(span, "Summary string")["Summary"])
+
+
 def number_in_text(raw: Column, name: str = "Probability") -> Column:
     """The first number after a quoted name, for replies that can't be parsed."""
     return F.regexp_extract(raw, rf"['\"]{name}['\"]\s*:\s*([0-9]*\.?[0-9]+)", 1).try_cast("double")

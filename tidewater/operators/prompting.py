@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.text import summary_of
+
 Generate = Callable[[list[str]], list[str]]
 
 
@@ -134,3 +136,15 @@ def once_per_text(df: DataFrame, text: str, apply: Callable[[DataFrame], DataFra
     keyed = df.withColumn("__text_key", F.sha2(F.col(text).cast("binary"), 256))
     distinct = keyed.groupBy("__text_key").agg(F.first(text).alias(text))
     return keyed.join(apply(distinct).drop(text), "__text_key").drop("__text_key")
+
+
+def summarise(notes: DataFrame, keys: Sequence[str], note: str, done: DataFrame | None, open_client: Callable[[], Generate], instructions: str, **options) -> DataFrame:
+    """Summaries of the notes that `done` (the keys of earlier results) doesn't hold: keys, summary and raw reply.
+
+    The reply is asked for in batches of like length; one that holds no summary keeps its raw text and a null summary, so
+    that it can be looked at and, by leaving it out of `done`, asked for again.
+    """
+    open_ = notes if done is None else notes.join(done.select(*keys), list(keys), "left_anti")
+    asked = open_.select(*keys, F.concat(F.lit(instructions), F.lit("\n\n"), F.col(note)).alias("__prompt"))
+    replies = call_in_batches(asked, "__prompt", open_client, **options)
+    return replies.select(*keys, summary_of(F.col("reply")).alias("summary"), F.col("reply").alias("raw"))

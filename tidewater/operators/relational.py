@@ -66,3 +66,15 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df, or an error at run time where a key occurs twice."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     return df.withColumn("__n", n).filter(F.when(F.col("__n") > 1, F.raise_error(F.lit(f"repeated key {', '.join(keys)}")).cast("boolean")).otherwise(True)).drop("__n")
+
+
+def look_up(table: DataFrame, key: str, value: object, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The columns of the first row (by `order`) whose key is the value: at most one row, found by a filter that the scan can push down."""
+    return table.filter(F.col(key).eqNullSafe(F.lit(value))).orderBy(*order).limit(1).select(*columns)
+
+
+def columns_by_priority(columns: Sequence[str], last: Sequence[str], very_last: str) -> list[str]:
+    """Names in their order, then those of `last` as they are listed there, then those that contain `very_last` (any case)."""
+    late = [c for c in columns if c not in last and very_last.lower() in c.lower()]
+    plain = [c for c in columns if c not in last and c not in late]
+    return [*sorted(plain), *[c for c in last if c in columns], *sorted(late)]

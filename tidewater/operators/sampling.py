@@ -47,3 +47,8 @@ def random_split(key: Column, shares: list[tuple[str, float]], seed: int = 42) -
 def temporal_split(time: Column, key: Column, cut: str, eval_share: float = 0.15, seed: int = 42) -> Column:
     """test from the cut on, else eval for a share of the keys, else train."""
     return F.when(time >= F.lit(cut).cast("timestamp_ntz"), "test").when(hash_unit(key, seed) < eval_share, "eval").otherwise("train")
+
+
+def merge_parts(part: Column, into: str, *others: str) -> Column:
+    """Parts of a split as one, for a model that needs no part of its own to stop at: train and eval as train."""
+    return F.when(part.isin(*others), into).otherwise(part)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import text
-from tidewater.operators import htest, relational, sampling, windows
+from tidewater.operators import htest, notes, prompting, relational, sampling, windows
 from tidewater.operators.textstats import ngram_totals as count_ngrams
 from tidewater.operators.textstats import tfidf_terms, vocabulary_model, word_contrast as contrast
 from tidewater.plans.catalog import query
@@ -217,3 +217,107 @@ def word_p_values(spark: SparkSession, folder: str) -> DataFrame:
     """word_contrast with rank-sum p-values, adjusted over all words (Benjamini-Yekutieli)."""
     rows = word_contrast(spark, folder).withColumn("p_value", htest.two_sided_normal("z"))
     return htest.benjamini_yekutieli(rows, [], "p_value", "p_adjusted")
+
+
+_NOTES_SQL = """
+n AS (SELECT user_id, ts::DATE AS day, event_id, event_type AS kind, 'd' || (event_id % 4) AS author, 'value ' || event_id AS text FROM events),
+d AS (SELECT user_id, day, string_agg(kind || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY event_id) AS note, list(kind ORDER BY event_id) AS kinds, list(author ORDER BY event_id) AS authors FROM n GROUP BY ALL)"""
+
+
+def _event_notes(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.col("event_id").cast("string")
+    return table(spark, folder, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", F.col("event_type").alias("kind"), F.concat(F.lit("d"), F.pmod("event_id", F.lit(4)).cast("string")).alias("author"), F.concat(F.lit("value "), number).alias("text"))
+
+
+@query(f"""
+WITH {_NOTES_SQL},
+f AS (SELECT user_id, arg_min(note, day) AS first_note, arg_min(authors, day) AS first_authors FROM d WHERE NOT list_contains(kinds, 'error') GROUP BY user_id),
+j AS (SELECT d.*, first_note, CASE WHEN note = first_note THEN authors ELSE list_concat(first_authors, authors) END AS all_authors FROM d JOIN f USING (user_id))
+SELECT user_id, day, md5(CASE WHEN note = first_note THEN note ELSE first_note || chr(10) || chr(10) || note END) AS note, len(list_distinct(all_authors))::INT AS n_authors FROM j
+""")
+def note_history_append_first(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes of a user's days after the first note that holds no error, by the name of a configuration."""
+    out = notes.note_history(_event_notes(spark, folder), "run-7-mostRecentVisit-appendFirst-medOnc-ConsultLetterClinic", "user_id", "day", "event_id", "kind", "author", "text", leave_out=["error"])
+    return out.select("user_id", "day", F.md5(F.col("note").cast("binary")).alias("note"), F.size("authors").alias("n_authors"))
+
+
+@query(f"""
+WITH {_NOTES_SQL} SELECT user_id, min(day) AS day, md5(arg_min(note, day)) AS note FROM d GROUP BY user_id
+""")
+def note_history_first_visit(spark: SparkSession, folder: str) -> DataFrame:
+    out = notes.note_history(_event_notes(spark, folder), "firstVisitOnly-medOnc-ConsultLetterClinic", "user_id", "day", "event_id", "kind", "author", "text")
+    return out.select("user_id", "day", F.md5(F.col("note").cast("binary")).alias("note"))
+
+
+def _summarising_stub(prompts: list[str]) -> list[str]:
+    """A stand-in for a text model: the length of the prompt as its summary, with more text and braces behind it."""
+    return ["no summary" if len(p) % 7 == 0 else f'Sure: {{"Summary": "{len(p)} characters"}} and {{more}}' for p in prompts]
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, length('Summarise the note.' || chr(10) || chr(10) || text) AS n FROM conversations WHERE turn % 3 <> 0)
+SELECT conv_id, turn, CASE WHEN n % 7 <> 0 THEN n || ' characters' END AS summary, CASE WHEN n % 7 = 0 THEN 'no summary' ELSE 'Sure: {"Summary": "' || n || ' characters"} and {more}' END AS raw FROM p
+""")
+def note_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries of the messages that have none yet; every third turn is done."""
+    messages = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    return prompting.summarise(messages, ["conv_id", "turn"], "text", messages.filter("turn % 3 = 0"), lambda: _summarising_stub, "Summarise the note.")
+
+
+#: Words of normalised_words that stand for others.
+SYNONYMS = {"chemo": "chemotherapy", "the": "this", "les": "le"}
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents),
+n AS (SELECT doc_id, CASE {' '.join(f"WHEN w = '{a}' THEN '{b}'" for a, b in SYNONYMS.items())} ELSE w END AS w FROM w),
+s AS (SELECT doc_id, CASE WHEN length(w) > 3 AND w LIKE '%s' THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(w, '\\s+'), lambda x: x <> '')) AS w FROM n)),
+v AS (SELECT doc_id, CASE WHEN length(w) > 4 AND w LIKE '%ed' THEN substr(w, 1, length(w) - 2) ELSE w END AS w FROM s)
+SELECT w AS word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM v GROUP BY w HAVING count(*) >= 20
+""")
+def normalised_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of frequent words after synonyms and lemmas; a stand-in for a dictionary cuts endings of nouns, then of verbs."""
+
+    def cut(word: str, part: str) -> str:
+        if part == "n":
+            return word[:-1] if len(word) > 3 and word.endswith("s") else word
+        return word[:-2] if len(word) > 4 and word.endswith("ed") else word
+
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    words = text.lemmatise(text.replace_words(F.lower("text"), SYNONYMS), cut)
+    rows = docs.select("doc_id", F.explode(F.filter(F.split(words, " "), lambda w: w != "")).alias("word"))
+    per_doc = rows.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs")).filter("n >= 20")
+
+
+@query("""
+WITH u AS (SELECT doc_id, ('0x' || substr(md5('42|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM documents)
+SELECT doc_id, CASE WHEN u < 0.65 THEN 'train' WHEN u < 0.85 THEN 'test' ELSE 'train' END AS part FROM u
+""")
+def merged_split(spark: SparkSession, folder: str) -> DataFrame:
+    """A split whose eval part joins the training rows, as for a model without early stopping."""
+    part = sampling.random_split(F.col("doc_id"), [("train", 0.65), ("test", 0.2), ("eval", 0.15)])
+    return table(spark, folder, "documents").select("doc_id", sampling.merge_parts(part, "train", "eval").alias("part"))
+
+
+@query("""
+SELECT c_name, c_acctbal, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = (SELECT n_name FROM nation WHERE n_nationkey = 7) ORDER BY c_acctbal DESC, c_custkey LIMIT 1
+""")
+def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """The best row of one value of a key: a nation found by number, then its customer with the highest balance."""
+    nation = relational.look_up(table(spark, folder, "nation"), "n_nationkey", 7, ["n_nationkey", "n_name"], [F.col("n_nationkey")]).first()
+    rows = relational.look_up(table(spark, folder, "customer"), "c_nationkey", nation["n_nationkey"] if nation else None, ["c_name", "c_acctbal"], [F.desc("c_acctbal"), F.asc("c_custkey")])
+    return rows.withColumn("n_name", F.lit(nation["n_name"] if nation else None).cast("string"))
+
+
+@query("""
+WITH w AS (SELECT lang, avg(n_chars) AS mean, max(n_chars) AS max, min(n_chars) AS min, count(*) AS autogluon_n, sum(n_chars)::BIGINT AS total FROM documents GROUP BY lang)
+SELECT lang, '2 total' AS c1, '3 max' AS c2, '4 min' AS c3, '5 mean' AS c4, '6 autogluon_n' AS c5, total, max, min, round(mean, 8) AS mean, autogluon_n FROM w
+""")
+def ordered_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """A report's columns in their order of priority, with the place that each has got."""
+    n = F.col("n_chars")
+    wide = table(spark, folder, "documents").groupBy("lang").agg(F.round(F.avg(n), 8).alias("mean"), F.count(F.lit(1)).alias("autogluon_n"), F.max(n).alias("max"), F.sum(n).alias("total"), F.min(n).alias("min"))
+    names = relational.columns_by_priority(wide.columns, ["max", "min", "mean"], "autogluon")
+    shown = wide.select(*names)
+    return shown.select("*", *[F.lit(f"{i + 1} {c}").alias(f"c{i}") for i, c in enumerate(shown.columns) if i])
