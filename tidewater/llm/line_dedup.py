@@ -90,7 +90,9 @@ class LineRuns:
         """Add a batch of (h, g, n_docs), bucketed and sorted as stored() does; a key is in it once."""
         runs = [run for level in self.levels for run in level]
         mine = self._undecided(batch)
-        self.later += [batch.hint("merge").join(known.select("h", "g"), ["h", "g"], "left_semi") for known in self.common]
+        if self.common:
+            again = [batch.hint("merge").join(known.select("h", "g"), ["h", "g"], "left_semi") for known in self.common]
+            self.later.append(self.stored(reduce(DataFrame.unionByName, again)))
         if runs:
             before = runs[0]
             for run in runs[1:]:
