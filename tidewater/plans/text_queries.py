@@ -6,7 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions import text
+from tidewater.functions import documents, text
+from tidewater.functions.documents import Flags, Item
 from tidewater.operators import htest, notes, prompting, relational, sampling, windows
 from tidewater.operators.textstats import ngram_totals as count_ngrams
 from tidewater.operators.textstats import tfidf_terms, vocabulary_model, word_contrast as contrast
@@ -321,3 +322,31 @@ def ordered_columns(spark: SparkSession, folder: str) -> DataFrame:
     names = relational.columns_by_priority(wide.columns, ["max", "min", "mean"], "autogluon")
     shown = wide.select(*names)
     return shown.select("*", *[F.lit(f"{i + 1} {c}").alias(f"c{i}") for i, c in enumerate(shown.columns) if i])
+
+
+@query("""
+WITH d AS (SELECT o_custkey, string_agg(lower(o_orderpriority) || ' (' || o_orderkey || 'mg)', ', ' ORDER BY o_orderkey) AS drugs FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey)
+SELECT c_custkey, 'Below is the data on the treatment date:' || chr(10) || chr(10)
+  || 'Demographic:' || chr(10) || 'Sex assigned at birth: ' || CASE c_custkey % 3 WHEN 1 THEN 'female' WHEN 0 THEN 'male' ELSE 'not available' END || chr(10)
+  || 'Age: ' || (20 + c_nationkey) || ' years' || chr(10) || 'Weight: ' || CASE WHEN c_custkey % 7 = 0 THEN 'not measured' ELSE (50 + c_custkey % 40) || ' kg' END || chr(10) || chr(10)
+  || 'Acute care use:' || chr(10) || 'Number of prior emergency department visits: ' || (c_custkey % 4) || chr(10) || chr(10)
+  || 'Cancer:' || chr(10) || concat_ws(chr(10), CASE WHEN c_mktsegment = 'BUILDING' THEN 'Cancer site: breast' END, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'Morphology: ductal' END) || chr(10) || chr(10)
+  || 'Laboratory:' || chr(10) || 'Albumin: ' || CASE WHEN c_custkey % 5 = 0 THEN 'not measured' ELSE (c_custkey % 50) || ' g/l' END || chr(10) || chr(10)
+  || 'Symptoms:' || chr(10) || 'Pain: not available' || chr(10) || chr(10)
+  || 'Treatment:' || chr(10) || 'Drug and dose: ' || coalesce(drugs, 'not available') || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE chr(10) || 'Ideal dose given: ' || (c_custkey % 5 * 25) || '.0 %' END || chr(10) || chr(10) AS note
+FROM customer LEFT JOIN d ON o_custkey = c_custkey
+""")
+def sectioned_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as documents of six sections, with their orders as drugs."""
+    orders = table(spark, folder, "orders").filter("o_orderkey % 3 = 0").select("o_custkey", "o_orderkey", F.concat(F.lower("o_orderpriority"), F.lit(" ("), F.col("o_orderkey").cast("string"), F.lit("mg)")).alias("drug"))
+    drugs = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(relational.text_by_key(orders, ["o_custkey"], "o_orderkey", "drug", ", ").alias("drugs"))
+    rows = table(spark, folder, "customer").join(drugs, "c_custkey", "left")
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    note = documents.row_document("Below is the data on the treatment date:", [
+        ("Demographic", [Item("sex assigned at birth", k % 3, recode={1: "female", 0: "male"}), Item("age", 20 + F.col("c_nationkey"), "years"), Item("weight", F.when(k % 7 != 0, 50 + k % 40), "kg")]),
+        ("Acute care use", [Item("number of prior ED visits", k % 4)]),
+        ("Cancer", [Flags("cancer site", [("breast", segment == "BUILDING")]), Flags("morphology", [("ductal", segment == "BUILDING"), ("ductal", segment == "MACHINERY")])]),
+        ("Laboratory", [Item("albumin", F.when(k % 5 != 0, k % 50), "g/L")]), ("Symptoms", [Item("pain", None)]), ("Unused", []),
+        ("Treatment", [Item("drug and dose", F.col("drugs"), missing="not available"), Item("ideal dose given", (k % 5) / 4, "%", digits=4, percent=True)]),
+    ], wording={" ed ": " emergency department "})
+    return rows.select("c_custkey", note.alias("note"))
