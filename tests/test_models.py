@@ -159,6 +159,8 @@ def test_attributions_add_up_to_the_margin(boosted):
     found = {r["feature"]: r for r in tree_shap.importance(tree_shap.tree_attributions(model, data, ["i"]), ["a", "b", "c", "d"]).collect()}
     assert found["a"]["importance"] == pytest.approx(np.mean([abs(r["attribution"][0]) for r in rows])) and found["a"]["importance"] > found.get("d", {"importance": 0})["importance"]
     assert tree_shap.tree_attributions(model, data.limit(0), ["i"]).count() == 0
+    idle = data.sparkSession.createDataFrame([([1.0, 2.0], [0.5, 0.0]), ([1.0, 3.0], [-0.5, 0.0])], "x array<double>, attribution array<double>")
+    assert [tuple(r) for r in tree_shap.importance(idle, ["flat", "unused"]).collect()] == [("flat", 0.5, None)]
 
 
 def test_stacked_model_uses_the_scores(spark, sf):
@@ -169,3 +171,28 @@ def test_stacked_model_uses_the_scores(spark, sf):
 def test_searched_trials(spark, sf):
     rows = catalog.queries()["bayes_search"](spark, sf).collect()
     assert [r["trial"] for r in rows] == list(range(6)) and all(1e-4 <= r["strength"] <= 1 and 0 <= r["mixing"] <= 1 and 0 <= r["auc"] <= 1 for r in rows)
+
+
+def test_linear_attribution_is_coefficient_times_distance(spark):
+    from tidewater.operators import models
+
+    x = np.random.default_rng(6).normal(size=(40, 3))
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double"))
+    found = {r["feature"]: r for r in models.linear_attribution(data, [2.0, -0.5, 0.0]).collect()}
+    assert set(found) == {0, 1}  # the third never counts
+    for i, c in ((0, 2.0), (1, -0.5)):
+        assert found[i]["importance"] == pytest.approx(np.abs(c * (x[:, i] - x[:, i].mean())).mean()) and found[i]["correlation"] == pytest.approx(np.sign(c))
+
+
+def test_stacking_beats_its_inputs_where_they_complete_each_other(spark):
+    """Two scores that only together tell the label: the stacked model's AUC is above both, as the query measures it."""
+    from tidewater.operators import metrics, models
+
+    rng = np.random.default_rng(7)
+    rows = [(float(a), float(b), float((a > 0.5) ^ (b > 0.5))) for a, b in rng.random((400, 2))]
+    wide = spark.createDataFrame(rows, "one double, two double, y double")
+    prepared = models.preprocessing(["one", "two"], []).fit(wide).transform(wide)
+    scores = models.scored(models.boosted_trees("y", trees=5).fit(prepared), prepared, ["y"]).withColumn("method", F.lit("stacked"))
+    single = prepared.unpivot(["y"], ["one", "two"], "method", "score")
+    auc = {r["method"]: r["auc"] for r in metrics.auc(scores.unionByName(single), ["method"], "y", "score").collect()}
+    assert auc["stacked"] > 0.9 > max(auc["one"], auc["two"])

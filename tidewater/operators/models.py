@@ -76,7 +76,7 @@ def linear_attribution(df: DataFrame, coefficients: Sequence[float], features: s
     weights = F.array(*[F.lit(float(c)) for c in coefficients])
     means = rows.groupBy("feature").agg(F.avg("x").alias("m"))
     value = F.element_at(weights, F.col("feature") + 1) * (F.col("x") - F.col("m"))
-    return rows.join(means, "feature").withColumn("v", value).groupBy("feature").agg(F.avg(F.abs("v")).alias("importance"), F.corr("x", "v").alias("correlation")).filter("importance > 1e-8")
+    return rows.join(means, "feature").withColumn("v", value).groupBy("feature").agg(F.avg(F.abs("v")).alias("importance"), F.try_divide(F.covar_pop("x", "v"), F.stddev_pop("x") * F.stddev_pop("v")).alias("correlation")).filter("importance > 1e-8")
 
 
 def variance_share(df: DataFrame, group: str, value: str) -> DataFrame:

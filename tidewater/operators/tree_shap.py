@@ -101,5 +101,5 @@ def tree_attributions(model, df: DataFrame, keep: Sequence[str], features: str =
 def importance(attributions: DataFrame, names: Sequence[str]) -> DataFrame:
     """Each feature's name, mean absolute attribution and the correlation of its values with it; features that never count are left out."""
     rows = attributions.select(F.posexplode(F.arrays_zip("x", "attribution")).alias("feature", "v")).select("feature", "v.x", "v.attribution")
-    per = rows.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("importance"), F.corr("x", "attribution").alias("correlation"))
+    per = rows.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("importance"), F.try_divide(F.covar_pop("x", "attribution"), F.stddev_pop("x") * F.stddev_pop("attribution")).alias("correlation"))
     return per.filter("importance > 0").select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature") + 1).alias("feature"), "importance", "correlation")
