@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidewater.plans import cohort_queries, metric_queries, model_queries, report_queries, scan_queries, table_queries, text_queries  # noqa: F401
+    from tidewater.plans import characteristic_queries, cohort_queries, metric_queries, model_queries, report_queries, scan_queries, table_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
