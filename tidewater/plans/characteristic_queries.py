@@ -12,6 +12,7 @@ from tidewater.plans.catalog import query
 from tidewater.plans.metric_queries import REPS, _auc_cte, _boot_cte
 from tidewater.plans.predictions import PREDS_SQL, long_predictions
 from tidewater.sources.tables import table
+from tidewater.sources.work import materialize
 
 #: Splits of the cohort: by date inside the domain, and by a group of nations outside of it.
 SPLIT_DATE = "1997-01-01"
@@ -48,7 +49,7 @@ FROM cells GROUP BY block, name, place"""
 
 
 def _cohort(spark: SparkSession, folder: str) -> DataFrame:
-    """An order once for each of its splits, with what the characteristics need."""
+    """An order once for each of its splits, with what the characteristics need: joined once for all blocks of lines."""
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") > 4000).cast("int").alias("rich"), F.col("c_mktsegment").alias("segment"), "c_nationkey")
     rows = table(spark, folder, "orders").join(customers, "o_custkey")
     final = F.when(F.col("o_orderstatus") == "P", -1).when(F.col("o_orderstatus") == "F", 1).otherwise(0)
@@ -56,14 +57,15 @@ def _cohort(spark: SparkSession, folder: str) -> DataFrame:
     nation, late = F.col("c_nationkey"), F.col("o_orderdate") > F.lit(SPLIT_DATE).cast("timestamp_ntz")
     parts = {"training": (nation < _INSIDE) & ~late, "temporal": (nation < _INSIDE) & late, "outside": nation >= _INSIDE, "outside_known": (nation >= _INSIDE) & (nation < _KNOWN), "outside_new": nation >= _KNOWN}
     rows = rows.select("o_orderkey", "o_custkey", F.floor("o_totalprice").alias("price"), "rich", "segment", final.alias("final"), urgent.alias("urgent"), "c_nationkey", "o_orderdate")
-    return el.in_parts(rows, parts, "split").drop("c_nationkey", "o_orderdate")
+    return materialize(el.in_parts(rows, parts, "split").drop("c_nationkey", "o_orderdate"), "cohort")
 
 
 def _bought(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     """Each split's different pairs of a customer and a brand."""
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
     brands = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("brand"))
-    return rows.select("split", "o_orderkey", "o_custkey").join(lines, "o_orderkey").join(brands, "p_partkey").select("split", "o_custkey", "brand").distinct()
+    pairs = rows.select("split", "o_orderkey", "o_custkey").join(lines, "o_orderkey").join(brands, "p_partkey").select("split", "o_custkey", "brand").distinct()
+    return materialize(pairs, "bought")
 
 
 def _plain_lines(rows: DataFrame) -> list[DataFrame]:
