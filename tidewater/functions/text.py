@@ -12,15 +12,15 @@ from pyspark.sql import types as T
 
 def clean(text: Column) -> Column:
     """Lower case, without characters other than letters, digits, _, white space and full stops."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s.]", "")
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s.]+", "")
 
 
 def remove_words(text: Column, words: Sequence[str], phrases: Sequence[str] = ()) -> Column:
     """Without the words, then without the phrases (at word bounds, any case); white space is squeezed."""
     kept = F.array_join(F.filter(F.split(text, r"\s+"), lambda w: ~w.isin(*words)), " ")
     if phrases:
-        kept = F.regexp_replace(kept, r"(?iU)\b(?:" + "|".join(f"\\Q{p}\\E" for p in phrases) + r")\b", "")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+        kept = F.regexp_replace(F.regexp_replace(kept, r"(?iU)\b(?:" + "|".join(f"\\Q{p}\\E" for p in phrases) + r")\b", ""), r"\s+", " ")
+    return F.trim(kept)
 
 
 def replace_words(text: Column, table: Mapping[str, str]) -> Column:
@@ -71,9 +71,9 @@ def sentence_ngrams(text: Column, lengths: Sequence[int]) -> Column:
     def grams(words: Column, n: int) -> Column:
         if n == 1:
             return words
-        last = F.size(words) - n + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        # Without a slice for each n-gram, which copies the sentence's words each time.
+        last = F.greatest(F.size(words) - n + 1, F.lit(0))
+        return F.slice(F.transform(words, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, n)])), F.lit(1), last)
 
     return F.flatten(F.transform(words_of, lambda words: F.concat(*[grams(words, n) for n in lengths])))
 
