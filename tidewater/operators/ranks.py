@@ -43,8 +43,9 @@ def join_groups(df: DataFrame, per_group: DataFrame, group: list[str], how: str
     return df.join(per_group.withColumnsRenamed(names), on, how).drop(*names.values())
 
 
-def mid_ranks(df: DataFrame, group: list[str], value: str, rank: str = "mid_rank", bins: int = BINS) -> DataFrame:
-    """The rows of df with the 1-based rank of `value` in its group; equal values share the mean of their ranks."""
-    ranked = prefix_totals(df.filter(F.col(value).isNotNull()), group, value, {"__n": F.count(F.lit(1))}, bins)
-    ranked = ranked.select(*group, value, (F.col("before___n") + (F.col("__n") + 1) / 2).alias(rank), F.col("__n").alias("tied"))
+def mid_ranks(df: DataFrame, group: list[str], value: str, rank: str = "mid_rank", bins: int = BINS, keep_bin: str | None = None) -> DataFrame:
+    """The rows of df with the 1-based rank of `value` in its group, and its bin if named; equal values share the mean of their ranks."""
+    ranked = prefix_totals(df.filter(F.col(value).isNotNull()), group, value, {"__n": F.count(F.lit(1))}, bins, keep_bin)
+    place = [keep_bin] if keep_bin else []
+    ranked = ranked.select(*group, value, *place, (F.col("before___n") + (F.col("__n") + 1) / 2).alias(rank), F.col("__n").alias("tied"))
     return join_groups(df, ranked, [*group, value])

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import sentence_ngrams
-from tidewater.operators.metrics import auc
 from tidewater.operators.ranks import mid_ranks
 from tidewater.sources.work import materialize
 
@@ -39,27 +38,62 @@ def tfidf(docs: DataFrame, key: str, text: str, lengths: Sequence[int], vocabula
     return weighed.join(norms, key).select(key, "word", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def by_key(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per key with its texts, parted by a full stop that no n-gram crosses; the texts are dealt to all tasks by that."""
+    return docs.groupBy(key).agg(F.array_join(F.collect_list(text), " . ").alias(text))
+
+
+def marked(words: str) -> Column:
+    """(word, first) of a sorted array of words: equal words lie together, and `first` marks the first of them."""
+    return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get(F.col(words), i - 1) != w, F.lit(True)).alias("first")))
+
+
+def _norms(terms: DataFrame, key: str, n: DataFrame) -> DataFrame:
+    """key and the length of its tf-idf vector, from (key, terms).
+
+    The only step that brings (document, term) pairs together by term: each is three numbers, the term as its 64-bit hash.
+    """
+    hashed = terms.select(key, F.sort_array(F.transform("terms", lambda t: F.xxhash64(t))).alias("h"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.coalesce(F.get(F.col("h"), i - 1) != F.get(F.col("h"), i), F.lit(True)))
+    runs = hashed.filter(F.size("h") > 0).select(key, "h", starts.alias("at"))
+    pairs = F.transform("at", lambda p, j: F.struct(F.get(F.col("h"), p).alias("h"), (F.coalesce(F.get(F.col("at"), j + 1), F.size("h")) - p).alias("tf")))
+    pairs = runs.select(key, F.explode(pairs).alias("p")).select(key, "p.h", "p.tf")
+    df = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    weighed = pairs.withColumn("df", df).crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    return weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
 def tfidf_terms(docs: DataFrame, key: str, text: str, lengths: Sequence[int], k: int) -> DataFrame:
-    """The k terms of the greatest summed tf-idf, without digits and single letters."""
-    sums = tfidf(docs, key, text, lengths).groupBy("word").agg(F.round(F.sum("weight"), 6).alias("tfidf_sum"))
-    return sums.filter(~F.col("word").rlike("[0-9]") & ~F.col("word").rlike("^[a-zA-Z]$")).orderBy(F.col("tfidf_sum").desc(), "word").limit(k)
+    """The k terms of the greatest summed tf-idf, without digits and single letters.
+
+    A term's sum is its idf times the sum of 1 / (its document's length) over its occurrences, so that occurrences
+    are added up by term before anything is shuffled; only the documents' lengths need pairs.
+    """
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    terms = by_key(docs, key, text).select(key, sentence_ngrams(F.col(text), lengths).alias("terms"))
+    rows = terms.join(_norms(terms, key, n), key, "left").select("norm", F.sort_array("terms").alias("terms")).select("norm", F.explode(marked("terms")).alias("t"))
+    sums = rows.select("norm", "t.word", "t.first").filter(~F.col("word").rlike("[0-9]") & ~F.col("word").rlike("^[a-zA-Z]$")).groupBy("word").agg(F.sum(1 / F.col("norm")).alias("s"), F.count_if("first").alias("df"))
+    weight = F.round(F.col("s") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1), 6)
+    found = sums.crossJoin(F.broadcast(n)).filter("s is not null").select("word", weight.alias("tfidf_sum"))
+    return found.orderBy(F.col("tfidf_sum").desc(), "word").limit(k)
 
 
 def word_contrast(docs: DataFrame, scores: DataFrame, key: str, text: str, score: str, quantile: float) -> DataFrame:
     """For each frequent word: how the mean score differs between documents with and without it, and the rank-sum z.
 
-    What documents without a word have is the whole minus what those with it have, so that only (document, word)
-    pairs that occur are built; ranks are taken once over all documents.
+    What documents without a word have is the whole minus what those with it have. A document's scores and ranks are
+    joined to its text, and its words are added up by word before they are shuffled: no (document, word) pairs are built.
     """
-    words = docs.select(key, F.explode(sentence_ngrams(F.col(text), [1])).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    totals = words.groupBy("word").agg(F.sum("n").alias("total")).filter(~F.col("word").rlike(r"\p{N}"))
-    least = totals.agg(F.percentile("total", F.lit(quantile)).alias("least"))
-    chosen = totals.crossJoin(F.broadcast(least)).filter("total >= least").select("word")
-    ranked = mid_ranks(scores.select(key, score), [], score, "mid")
+    ranked = materialize(mid_ranks(scores.select(key, score), [], score, "mid"), "ranks")
     whole = ranked.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(score).alias("s"))
-    found = words.join(chosen, "word", "left_semi").join(ranked, key).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum(score).alias("sp"), F.sum("mid").alias("r"))
+    per_key = ranked.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum(score).alias("sp"), F.sum("mid").alias("r"))
+    words = by_key(docs, key, text).select(key, F.sort_array(sentence_ngrams(F.col(text), [1])).alias("words")).join(per_key, key, "left")
+    rows = words.select("k", "sp", "r", F.explode(marked("words")).alias("w")).select("w.word", *[F.when(F.col("w.first"), F.col(c)).alias(c) for c in ("k", "sp", "r")])
+    found = rows.groupBy("word").agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("k"), F.lit(0.0)).alias("k"), F.sum("sp").alias("sp"), F.sum("r").alias("r")).filter(~F.col("word").rlike(r"\p{N}"))
+    found = materialize(found, "words")
+    least = found.agg(F.percentile("total", F.lit(quantile)).alias("least"))
     k, n = F.col("k"), F.col("n")
-    out = found.crossJoin(F.broadcast(whole)).filter("k < n")
+    out = found.crossJoin(F.broadcast(least)).filter("total >= least and k > 0").crossJoin(F.broadcast(whole)).filter("k < n")
     change = F.col("sp") / k - (F.col("s") - F.col("sp")) / (n - k)
     z = (F.col("r") - k * (n + 1) / 2) / F.sqrt(k * (n - k) * (n + 1) / 12)
     return out.select("word", k.cast("long").alias("n_present"), F.round(k / n, 8).alias("frequency"), F.least(k, n - k).cast("long").alias("n_metric_samples"), F.round(change, 8).alias("change_in_metric"), F.round(z, 6).alias("z"))
@@ -69,26 +103,41 @@ def word_metric_change(docs: DataFrame, scores: DataFrame, key: str, text: str,
     """For each word of at least `least` documents, with as many without it: AUC and false discovery rate of the documents with the word less those of the others.
 
     Pairs (positive, negative) in right order among the documents without a word are all such pairs, less those of which
-    one has the word, plus those of which both have it. The first two are sums of one number per document, so that only
-    (document, word) pairs that occur are built. A metric is null where a side has no positive, no negative or no hit.
+    one has the word, plus those of which both have it. The first two are sums of one number per document. Scores are
+    joined to texts and all is added up by (word, score) before it is shuffled; areas are taken within the bins that the
+    scores of all documents are cut into, then over a word's bins. A metric is null where a side has no positive, no negative or no hit.
     """
-    ranked = mid_ranks(mid_ranks(scores.select(key, y, score), [], score, "__all").drop("tied"), [y], score, "__own").drop("tied").withColumn("__hit", (F.col(score) >= threshold).cast("double"))
+    # Ranks read their rows several times over, and three plans read the ranks: both are stored.
+    ranked = materialize(mid_ranks(scores.select(key, y, score), [], score, "__all", keep_bin="__bin").drop("tied"), "ranks")
+    ranked = materialize(mid_ranks(ranked, [y], score, "__own").drop("tied").withColumn("__hit", (F.col(score) >= threshold).cast("double")), "own-ranks")
     pos, neg, hits = F.sum(y), F.sum(1 - F.col(y)), F.sum("__hit")
-    sums = lambda p: [pos.cast("double").alias(f"{p}pos"), neg.cast("double").alias(f"{p}neg"), hits.alias(f"{p}hits"), F.sum(F.col("__hit") * (1 - F.col(y))).alias(f"{p}wrong")]
     # The rank among all less that within the own class: negatives below a positive, or positives below a negative.
-    whole = ranked.agg(*sums("all_"), F.coalesce(F.sum(F.when(F.col(y) == 1, F.col("__all") - F.col("__own"))), F.lit(0.0)).alias("all_right"))
-    words = docs.select(key, F.explode(F.array_distinct(sentence_ngrams(F.col(text), [1]))).alias("word")).filter(~F.col("word").rlike(r"\p{N}")).dropDuplicates([key, "word"])
-    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).select("word")
-    found = materialize(words.join(often, "word", "left_semi").join(ranked, key), "words-and-ranks")
+    sums = [pos.cast("double").alias("all_pos"), neg.cast("double").alias("all_neg"), hits.alias("all_hits"), F.sum(F.col("__hit") * (1 - F.col(y))).alias("all_wrong")]
+    whole = ranked.agg(*sums, F.coalesce(F.sum(F.when(F.col(y) == 1, F.col("__all") - F.col("__own"))), F.lit(0.0)).alias("all_right"))
     right = F.when(F.col(y) == 1, F.col("__all") - F.col("__own")).otherwise(F.col("n_pos") - (F.col("__all") - F.col("__own")))
-    sides = found.crossJoin(F.broadcast(whole.select(F.col("all_pos").alias("n_pos")))).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *sums("in_"), F.sum(right).alias("touching"))
-    out = sides.join(auc(found, ["word"], y, score).select("word", "auc"), "word", "left").crossJoin(F.broadcast(whole))
-    both = F.coalesce(F.col("auc") * F.col("in_pos") * F.col("in_neg"), F.lit(0.0))
+    entry = F.struct(F.col(y).cast("long").alias("y"), F.col(score).alias("score"), F.col("__bin").alias("bin"), right.alias("right"))
+    per_key = ranked.crossJoin(F.broadcast(whole.select(F.col("all_pos").alias("n_pos")))).groupBy(key).agg(F.collect_list(entry).alias("scored"))
+    words = by_key(docs, key, text).select(key, F.array_distinct(sentence_ngrams(F.col(text), [1])).alias("words")).join(per_key, key, "left")
+    rows = words.select("words", F.posexplode_outer("scored").alias("i", "s")).select("i", "s", F.explode(F.filter("words", lambda w: ~w.rlike(r"\p{N}"))).alias("word"))
+    at = rows.groupBy("word", "s.bin", "s.score").agg(
+        F.count_if(F.coalesce(F.col("i"), F.lit(0)) == 0).alias("docs"), F.count("s").alias("n"), F.coalesce(F.sum("s.y"), F.lit(0)).alias("pos"),
+        F.coalesce(F.sum(1 - F.col("s.y")), F.lit(0)).alias("neg"), F.coalesce(F.sum("s.right"), F.lit(0.0)).alias("right"))
+    at = materialize(at, "words-by-score")
+    often = at.groupBy("word").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("word")
+    below = Window.partitionBy("word", "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    hit = (F.col("score") >= threshold).cast("double")
+    steps = at.filter("score is not null").join(often, "word", "left_semi").withColumn("area", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2))
+    bins = steps.groupBy("word", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "neg", "right", "area")], F.sum(hit * F.col("n")).alias("hits"), F.sum(hit * F.col("neg")).alias("wrong"))
+    before = Window.partitionBy("word").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("area", F.col("area") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    sides = bins.groupBy("word").agg(F.sum("n").alias("n"), F.sum("pos").cast("double").alias("in_pos"), F.sum("neg").cast("double").alias("in_neg"), F.sum("hits").alias("in_hits"), F.sum("wrong").alias("in_wrong"), F.sum("right").alias("touching"), F.sum("area").alias("both"))
+    out = sides.crossJoin(F.broadcast(whole))
+    auc = F.col("both") / F.nullif(F.col("in_pos") * F.col("in_neg"), F.lit(0.0))
     pairs = (F.col("all_pos") - F.col("in_pos")) * (F.col("all_neg") - F.col("in_neg"))
-    others = (F.col("all_right") - F.col("touching") + both) / F.nullif(pairs, F.lit(0.0))
+    others = (F.col("all_right") - F.col("touching") + F.col("both")) / F.nullif(pairs, F.lit(0.0))
     rate = F.col("in_wrong") / F.nullif(F.col("in_hits"), F.lit(0.0)) - (F.col("all_wrong") - F.col("in_wrong")) / F.nullif(F.col("all_hits") - F.col("in_hits"), F.lit(0.0))
     kept = out.filter(F.col("all_pos") + F.col("all_neg") - F.col("n") >= least)
-    return kept.select("word", F.col("n").alias("n_present"), F.round(F.col("auc") - others, 8).alias("change_in_auc"), F.round(rate, 8).alias("change_in_fdr"))
+    return kept.select("word", F.col("n").alias("n_present"), F.round(auc - others, 8).alias("change_in_auc"), F.round(rate, 8).alias("change_in_fdr"))
 
 
 def vocabulary_model(docs: DataFrame, terms: str, vocabulary: Sequence[str], idf: bool = True, out: str = "features") -> PipelineModel:
