@@ -10,7 +10,7 @@ from tidewater.functions import documents, text
 from tidewater.functions.documents import Flags, Item
 from tidewater.operators import htest, notes, prompting, relational, sampling, windows
 from tidewater.operators.textstats import ngram_totals as count_ngrams
-from tidewater.operators.textstats import tfidf_terms, vocabulary_model, word_contrast as contrast
+from tidewater.operators.textstats import marked, tfidf_terms, vocabulary_model, word_contrast as contrast
 from tidewater.plans.catalog import query
 from tidewater.plans.predictions import PREDS_SQL, predictions
 from tidewater.sources.tables import spread, table
@@ -216,7 +216,7 @@ def temporal_split(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def word_p_values(spark: SparkSession, folder: str) -> DataFrame:
     """word_contrast with rank-sum p-values, adjusted over all words (Benjamini-Yekutieli)."""
-    rows = word_contrast(spark, folder).withColumn("p_value", htest.two_sided_normal("z"))
+    rows = materialize(word_contrast(spark, folder).withColumn("p_value", htest.two_sided_normal("z")), "word-p-values")
     return htest.benjamini_yekutieli(rows, [], "p_value", "p_adjusted")
 
 
@@ -284,11 +284,12 @@ def normalised_words(spark: SparkSession, folder: str) -> DataFrame:
             return word[:-1] if len(word) > 3 and word.endswith("s") else word
         return word[:-2] if len(word) > 4 and word.endswith("ed") else word
 
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     words = text.lemmatise(text.replace_words(F.lower("text"), SYNONYMS), cut)
-    rows = docs.select("doc_id", F.explode(F.filter(F.split(words, " "), lambda w: w != "")).alias("word"))
-    per_doc = rows.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs")).filter("n >= 20")
+    # A document's words are added up by word before they are shuffled; texts of one document have blanks between them.
+    rows = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text")).select("doc_id", words.alias("words"))
+    rows = rows.select("doc_id", F.sort_array(F.filter(F.split("words", " "), lambda w: w != "")).alias("words")).select("doc_id", F.explode(marked("words")).alias("w")).select("doc_id", "w.word", "w.first")
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") & F.col("doc_id").isNotNull()).alias("n_docs")).filter("n >= 20")
 
 
 @query("""
