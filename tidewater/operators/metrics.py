@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tidewater.operators.ranks import join_groups, prefix_totals
 
 _EPSILON = 2.220446049250313e-16
-#: Bins of scores per group in a bootstrap, and rows whose draws are held at once.
-BOOT_BINS, ROWS_AT_ONCE = 64, 2000
+#: Bins of scores per group in a bootstrap, rows whose draws are held at once, and (group, score) sums that a task holds.
+BOOT_BINS, ROWS_AT_ONCE, SUMS_HELD = 64, 2000, 4096
 
 
 def auc(df: DataFrame, group: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
@@ -134,29 +134,49 @@ def bootstrap_sums(df: DataFrame, group: list[str], key: str, sums: dict[str, Co
 def bootstrap_auc(df: DataFrame, group: list[str], key: str, label: str, score: str, reps: int, seed: int = 0) -> DataFrame:
     """(group, rep, auc) of Poisson bootstrap replicates; the draws are those of bootstrap_counts().
 
-    A row is not repeated for each replicate: a batch of rows becomes, per (group, score), two arrays with the drawn
-    positives and negatives of every replicate. These are added up within bins of scores (at quantiles, as in
-    prefix_totals), and a group's few bins give the areas by running sums over whole arrays.
+    A row is not repeated for each replicate: a task's rows become, per (group, score), two arrays with the drawn
+    positives and negatives of every replicate (sent on before the task's end only where they are more than SUMS_HELD).
+    These are added up within bins of scores (at quantiles, as in prefix_totals), and a group's few bins give the areas
+    by running sums over whole arrays. Rows are dealt to all cores by key, so that a key's draws are made once.
     """
     known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*group, key_number(F.col(key)).alias("k"), F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
     cuts = known.groupBy(*group).agg(F.percentile_approx("s", [i / BOOT_BINS for i in range(1, BOOT_BINS)], 1000).alias("cuts"))
-    rows = join_groups(known, cuts, group).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
+    dealt = known.repartition(df.sparkSession.sparkContext.defaultParallelism, "k")
+    rows = join_groups(dealt, cuts, group).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
     schema = known.select(*group).schema
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in schema.fields)
     number = np.arange(reps, dtype=np.int64)
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*group, "bin", "s"]
+        slots: dict[tuple, int] = {}
+        heads: list[pd.DataFrame] = []
+        held = np.zeros((2, SUMS_HELD, reps), np.int32)
+
+        def send() -> Iterator[pd.DataFrame]:
+            out = pd.concat(heads) if heads else pd.DataFrame()
+            for lo in range(0, len(out), 256):
+                piece = out.iloc[lo : lo + 256]
+                yield piece.assign(pos=list(held[0, lo : lo + len(piece)]), neg=list(held[1, lo : lo + len(piece)]))
+
         for batch in batches:
             for lo in range(0, len(batch), ROWS_AT_ONCE):
                 part = batch.iloc[lo : lo + ROWS_AT_ONCE]
                 keys, place = np.unique(part["k"].to_numpy(), return_inverse=True)
                 w = draws(keys[:, None], number[None, :], seed)[place]
                 y = part["y"].to_numpy()[:, None]
-                at = part.groupby([*group, "bin", "s"], dropna=False, sort=False).ngroup().to_numpy()
+                at = part.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
                 order = np.argsort(at, kind="stable")
                 first = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
-                pos, neg = (np.add.reduceat((w * side)[order], first, axis=0) for side in (y, 1 - y))
-                yield part.iloc[order[first]][[*group, "bin", "s"]].assign(pos=list(pos), neg=list(neg))
+                if len(slots) + len(first) > SUMS_HELD:
+                    yield from send()
+                    slots, heads, held = {}, [], np.zeros((2, SUMS_HELD, reps), np.int32)
+                found, known_before = part.iloc[order[first]][names], len(slots)
+                slot = np.array([slots.setdefault(t, len(slots)) for t in found.itertuples(index=False, name=None)])
+                heads.append(found[slot >= known_before])
+                for i, side in enumerate((y, 1 - y)):
+                    held[i, slot] += np.add.reduceat((w * side)[order], first, axis=0).astype(np.int32)
+        yield from send()
 
     def in_bin(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("s")
