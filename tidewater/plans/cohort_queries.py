@@ -253,6 +253,10 @@ def full_outer_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("n_name", "r_name", "n_customers", "n_suppliers")
 
 
+#: Lines that a task of three_way_join takes.
+LINES_A_TASK = 500_000
+
+
 @query("""
 SELECT o_orderkey, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers, count(*) FILTER (days BETWEEN 0 AND 30) AS n_in_30_days, max(c_name) AS customer
 FROM (SELECT o.*, l.*, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS days FROM orders o JOIN lineitem l ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = o_custkey GROUP BY o_orderkey
@@ -261,6 +265,9 @@ def three_way_join(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("ordered"))
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", F.to_date("l_shipdate").alias("shipped"))
     names = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    # What a task sorts and counts stays the same at any size: partitions grow in number with the lines, not in rows.
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES_A_TASK))
+    orders, lines = orders.repartition(parts, "o_orderkey"), lines.repartition(parts, "o_orderkey")
     rows = orders.join(lines, "o_orderkey").withColumn("days", F.datediff("shipped", "ordered"))
     per_order = rows.groupBy("o_orderkey", "o_custkey").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("l_suppkey").alias("n_suppliers"), F.count_if(F.col("days").between(0, 30)).alias("n_in_30_days"))
     return per_order.join(names, "o_custkey").select("o_orderkey", "n_lines", "n_suppliers", "n_in_30_days", F.col("c_name").alias("customer"))
