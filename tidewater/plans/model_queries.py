@@ -46,10 +46,11 @@ def standardise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _model_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of labelled documents, stored once: a model reads its rows many times over, and each time would scan all texts."""
     words = F.size(F.split("text", " "))
-    docs = table(spark, folder, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), words.cast("double").alias("n_words"), (F.size(F.split("text", "\n"))).cast("double").alias("n_lines"), (F.length(F.regexp_replace("text", "[^#*$%&|<>]", ""))).cast("double").alias("n_symbols"), "lang", "source")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), words.cast("double").alias("n_words"), (F.size(F.split("text", "\n"))).cast("double").alias("n_lines"), (F.length(F.regexp_replace("text", "[^#*$%&|<>]+", ""))).cast("double").alias("n_symbols"), "lang", "source")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("y"))
-    return docs.join(labels, "doc_id").withColumn("part", sampling.random_split(F.col("doc_id"), [("train", 0.8), ("test", 0.2)]))
+    return materialize(docs.join(labels, "doc_id").withColumn("part", sampling.random_split(F.col("doc_id"), [("train", 0.8), ("test", 0.2)])), "model_rows")
 
 
 @query()
@@ -57,14 +58,15 @@ def train_and_score(spark: SparkSession, folder: str) -> DataFrame:
     """L1 logistic regression, boosted trees and a perceptron on document features: AUC per model on the test part."""
     rows = _model_rows(spark, folder)
     prepared = models.preprocessing(["n_chars", "n_words", "n_lines", "n_symbols"], ["lang"]).fit(rows.filter("part = 'train'")).transform(rows)
-    train, test = models.balanced_weights(prepared.filter("part = 'train'"), "y").cache(), prepared.filter("part = 'test'")
+    train = materialize(models.balanced_weights(prepared.filter("part = 'train'"), "y").select("features", "y", "weight"), "score_train")
+    test = prepared.filter("part = 'test'").select("doc_id", "features", "y")
     fitted = {"lasso": models.search_lasso(train, "y", (0.001, 0.01)).bestModel, "trees": models.boosted_trees("y").fit(train)}
     fitted["perceptron"] = models.perceptron("y", prepared.schema["features"].metadata["ml_attr"]["num_attrs"]).fit(train)
     out = None
     for name, model in fitted.items():
         part = models.scored(model, test, ["doc_id", "y"]).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return metrics.auc(out, ["model"], "y", "score")
+    return metrics.auc(materialize(out, "test_scores"), ["model"], "y", "score")
 
 
 @query()
