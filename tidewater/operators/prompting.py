@@ -132,8 +132,8 @@ def call_in_batches(df: DataFrame, prompt: str, open_client: Callable[[], Genera
 
 
 def once_per_text(df: DataFrame, text: str, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a costly step on distinct texts only and join its result back."""
-    keyed = df.withColumn("__text_key", F.sha2(F.col(text).cast("binary"), 256))
+    """Run a costly step on distinct texts only, null being one of them, and join its result back by `__text_key`; the step needn't return the text."""
+    keyed = df.withColumn("__text_key", F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")))
     distinct = keyed.groupBy("__text_key").agg(F.first(text).alias(text))
     return keyed.join(apply(distinct).drop(text), "__text_key").drop("__text_key")
 

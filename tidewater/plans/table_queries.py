@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -234,12 +236,13 @@ def embedded_texts(spark: SparkSession, folder: str) -> DataFrame:
     """A text model (here counts of kinds of characters) run once for each distinct text, in batches."""
 
     def embed(batches):
-        for batch in batches:
-            t = batch["text"].fillna("")
-            yield batch.assign(size=t.str.len(), digits=t.str.count("[0-9]"), capitals=t.str.count("[A-Z]"))
+        for batch in batches:  # counted in Arrow's buffers: texts become no Python objects and aren't sent back
+            t = batch["text"]
+            counts = (pc.utf8_length(t), pc.count_substring_regex(t, "[0-9]"), pc.count_substring_regex(t, "[A-Z]"))
+            yield pa.RecordBatch.from_arrays([batch["__text_key"], *[c.cast(pa.int64()) for c in counts]], ["__text_key", "size", "digits", "capitals"])
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    whole = prompting.once_per_text(docs, "text", lambda d: d.mapInPandas(embed, "__text_key string, text string, size long, digits long, capitals long"))
+    whole = prompting.once_per_text(docs, "text", lambda d: d.mapInArrow(embed, "__text_key string, size long, digits long, capitals long"))
     return whole.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("k")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), *[F.first(c).alias(c) for c in ("size", "digits", "capitals")]).drop("k")
 
 
