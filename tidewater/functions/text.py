@@ -78,6 +78,12 @@ def sentence_ngrams(text: Column, lengths: Sequence[int]) -> Column:
     return F.flatten(F.transform(words_of, lambda words: F.concat(*[grams(words, n) for n in lengths])))
 
 
+def sentence_words(text: Column) -> Column:
+    """The words of sentence_ngrams parted by blanks, and sentences by \\x01: these two alone stand between words."""
+    sentences = F.regexp_replace(F.regexp_replace(text, "\x01", " "), r"[.?!]+", "\x01")
+    return F.regexp_replace(F.lower(sentences), "[^\\p{L}\\p{N}_\x01]+", " ")
+
+
 def capitalise(text: Column) -> Column:
     """First letter upper, the rest lower."""
     return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substr(text, F.lit(2))))

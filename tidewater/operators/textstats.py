@@ -1,4 +1,4 @@
-"""Statistics of words and n-grams over a corpus, as explode-and-aggregate plans."""
+"""Statistics of words and n-grams over a corpus, as explode-and-aggregate plans; tf-idf sums by chunks of texts."""
 
 from __future__ import annotations
 
@@ -10,10 +10,14 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import sentence_ngrams
+from tidewater.functions.text import sentence_ngrams, sentence_words
+from tidewater.operators import term_chunks
 from tidewater.operators.ranks import mid_ranks
 from tidewater.sources.work import materialize
 
+#: Bytes of texts in a chunk of tfidf_terms.
+CHUNK = 8 << 20
+
 
 def ngram_totals(docs: DataFrame, text: str, lengths: Sequence[int]) -> DataFrame:
     """word, total and percentage of the n-grams without digits."""
@@ -48,34 +52,31 @@ def marked(words: str) -> Column:
     return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get(F.col(words), i - 1) != w, F.lit(True)).alias("first")))
 
 
-def _norms(terms: DataFrame, key: str, n: DataFrame) -> DataFrame:
-    """key and the length of its tf-idf vector, from (key, terms).
-
-    The only step that brings (document, term) pairs together by term: each is three numbers, the term as its 64-bit hash.
-    """
-    hashed = terms.select(key, F.sort_array(F.transform("terms", lambda t: F.xxhash64(t))).alias("h"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.coalesce(F.get(F.col("h"), i - 1) != F.get(F.col("h"), i), F.lit(True)))
-    runs = hashed.filter(F.size("h") > 0).select(key, "h", starts.alias("at"))
-    pairs = F.transform("at", lambda p, j: F.struct(F.get(F.col("h"), p).alias("h"), (F.coalesce(F.get(F.col("at"), j + 1), F.size("h")) - p).alias("tf")))
-    pairs = runs.select(key, F.explode(pairs).alias("p")).select(key, "p.h", "p.tf")
-    df = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    weighed = pairs.withColumn("df", df).crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    return weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-
-def tfidf_terms(docs: DataFrame, key: str, text: str, lengths: Sequence[int], k: int) -> DataFrame:
-    """The k terms of the greatest summed tf-idf, without digits and single letters.
+def tfidf_terms(docs: DataFrame, key: str, text: str, lengths: Sequence[int], k: int, size: str | None = None) -> DataFrame:
+    """The k terms of the greatest summed tf-idf, without digits and single letters. `size`, a column of bytes, spares a look at texts.
 
-    A term's sum is its idf times the sum of 1 / (its document's length) over its occurrences, so that occurrences
-    are added up by term before anything is shuffled; only the documents' lengths need pairs.
+    Texts are dealt to chunks by their key, once. A chunk sends its different terms, and gets the numbers of documents
+    that hold them back; with these it knows the lengths of its documents. A weight is 1 at most, so a term's sum is at most
+    the number of its documents: terms of fewer documents than the least of k sums needn't be added up. `least` is a guess of
+    that bound; if the k-th sum turns out to be below it, the sums are taken again down to what that sum proves.
     """
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    terms = by_key(docs, key, text).select(key, sentence_ngrams(F.col(text), lengths).alias("terms"))
-    rows = terms.join(_norms(terms, key, n), key, "left").select("norm", F.sort_array("terms").alias("terms")).select("norm", F.explode(marked("terms")).alias("t"))
-    sums = rows.select("norm", "t.word", "t.first").filter(~F.col("word").rlike("[0-9]") & ~F.col("word").rlike("^[a-zA-Z]$")).groupBy("word").agg(F.sum(1 / F.col("norm")).alias("s"), F.count_if("first").alias("df"))
-    weight = F.round(F.col("s") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1), 6)
-    found = sums.crossJoin(F.broadcast(n)).filter("s is not null").select("word", weight.alias("tfidf_sum"))
-    return found.orderBy(F.col("tfidf_sum").desc(), "word").limit(k)
+    n, size_of_all = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size or F.octet_length(text)), F.lit(0))).first()
+    chunks = max(size_of_all // CHUNK + 1, 3 * docs.sparkSession.sparkContext.defaultParallelism)
+    chunk = F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk")
+    rows = docs.select(chunk, F.col(key).alias("key"), F.concat(F.coalesce(sentence_words(F.col(text)), F.lit("")), F.lit("\x01")).alias("text"))
+
+    def found(least: int) -> DataFrame:
+        back = rows.groupBy("chunk").applyInArrow(term_chunks.sent(lengths, (chunks + 2) // 3), term_chunks.SENT).groupBy("bucket").applyInArrow(term_chunks.added, term_chunks.BACK)
+        sums = rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(term_chunks.weighed(lengths, n, least), term_chunks.SUMS)
+        sums = sums.filter(~F.col("word").rlike("[0-9]") & ~F.col("word").rlike("^[a-zA-Z]$")).groupBy("word").agg(F.round(F.sum("s"), 6).alias("tfidf_sum"))
+        return materialize(sums.orderBy(F.col("tfidf_sum").desc(), "word").limit(k), "tfidf-terms")
+
+    least = max(n // (8 * k), 1)
+    top = found(least)
+    many, last = top.agg(F.count(F.lit(1)), F.min("tfidf_sum")).first()
+    if least > 1 and (many < k or last < least):
+        top = found(max(int(last), 1) if many == k else 1)
+    return top.orderBy(F.col("tfidf_sum").desc(), "word")
 
 
 def word_contrast(docs: DataFrame, scores: DataFrame, key: str, text: str, score: str, quantile: float) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import documents, text
@@ -26,8 +26,8 @@ _BIGRAMS_SQL = "bigrams AS (SELECT doc_id, array_to_string(ws[i:i + 1], ' ') AS
 _UNIGRAMS_SQL = "unigrams AS (SELECT doc_id, unnest(ws) AS word FROM tokens)"
 
 
-def _clean_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", text.remove_words(text.clean(F.col("text")), STOP_WORDS).alias("text"))
+def _clean_docs(spark: SparkSession, folder: str, *more: Column) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", text.remove_words(text.clean(F.col("text")), STOP_WORDS).alias("text"), *more)
 
 
 @query(f"""
@@ -48,7 +48,7 @@ t AS (SELECT word, sum(w / norm) AS tfidf_sum FROM w JOIN n USING (doc_id) GROUP
 SELECT word, round(tfidf_sum, 6) AS tfidf_sum FROM t WHERE NOT regexp_matches(word, '[0-9]') AND NOT regexp_matches(word, '^[a-zA-Z]$') ORDER BY round(tfidf_sum, 6) DESC, word LIMIT 250
 """)
 def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return tfidf_terms(_clean_docs(spark, folder), "doc_id", "text", [1, 2], 250)
+    return tfidf_terms(_clean_docs(spark, folder, F.octet_length("text").alias("size")), "doc_id", "text", [1, 2], 250, "size")
 
 
 #: The vocabulary of vocabulary_tfidf.
